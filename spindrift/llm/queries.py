@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, quality_sql
 from .decontamination import decontaminate
 from .quality import quality_rules
+from .secrets import BASE, secret_scan
 from .sentencepiece_codec import sentencepiece_encode
 from .token_counts import token_counts
 
@@ -54,6 +55,21 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def _span_list(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan(common.read(spark, sf_dir, "documents"))
+    of = lambda *kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
+    return found.select(
+        "doc_id",
+        *(F.size(of(k)).cast("long").alias(f"n_{k}") for k in BASE),
+        F.sha2(_span_list(of(*BASE)), 256).alias("base_sha256"),
+        _span_list(F.col("spans")).alias("spans"),
+    )
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(common.read(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
@@ -73,6 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
         "op2_quality_rules": op2_quality_rules,
+        "op5_secret_scan": op5_secret_scan,
         "op6_token_counts": op6_token_counts,
         "op8_sentencepiece": op8_sentencepiece,
     }
