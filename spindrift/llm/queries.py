@@ -13,6 +13,7 @@ from .decontamination import decontaminate
 from .quality import quality_rules
 from .secrets import BASE, secret_scan
 from .sentencepiece_codec import sentencepiece_encode
+from .simhash import fingerprint_hex, near_duplicates
 from .token_counts import token_counts
 
 PIECES = "piece_bpe_32k.model"
@@ -55,6 +56,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grouped = near_duplicates(common.read(spark, sf_dir, "documents"))
+    return grouped.select("doc_id", fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def _span_list(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
@@ -89,6 +95,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
         "op2_quality_rules": op2_quality_rules,
+        "op3_simhash": op3_simhash,
         "op5_secret_scan": op5_secret_scan,
         "op6_token_counts": op6_token_counts,
         "op8_sentencepiece": op8_sentencepiece,
