@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import common, quality_sql
 from .decontamination import decontaminate
+from .lm_score import lm_scores
 from .quality import quality_rules
 from .secrets import BASE, secret_scan
 from .sentencepiece_codec import sentencepiece_encode
@@ -91,6 +92,10 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(common.read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
@@ -99,6 +104,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_secret_scan": op5_secret_scan,
         "op6_token_counts": op6_token_counts,
         "op8_sentencepiece": op8_sentencepiece,
+        "op10_lm_score": op10_lm_score,
     }
 
 
