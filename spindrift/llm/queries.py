@@ -15,6 +15,7 @@ from .quality import quality_rules
 from .secrets import BASE, secret_scan
 from .sentencepiece_codec import sentencepiece_encode
 from .simhash import fingerprint_hex, near_duplicates
+from .suffix_dedup import repeated_strings
 from .token_counts import token_counts
 
 PIECES = "piece_bpe_32k.model"
@@ -81,6 +82,17 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(common.read(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = repeated_strings(common.read(spark, sf_dir, "documents"))
+    return cut.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = sentencepiece_encode(common.read(spark, sf_dir, "documents"), public_tokenizers.path(PIECES), decoded=True)
     return coded.select(
@@ -103,6 +115,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_simhash": op3_simhash,
         "op5_secret_scan": op5_secret_scan,
         "op6_token_counts": op6_token_counts,
+        "op7_suffix_dedup": op7_suffix_dedup,
         "op8_sentencepiece": op8_sentencepiece,
         "op10_lm_score": op10_lm_score,
     }
