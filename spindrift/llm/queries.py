@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from . import common, quality_sql
 from .decontamination import decontaminate
 from .lm_score import lm_scores
+from .packing import pack_tokens
 from .quality import quality_rules
 from .secrets import BASE, secret_scan
 from .sentencepiece_codec import sentencepiece_encode
+from .sharding import assign_shards
 from .simhash import fingerprint_hex, near_duplicates
 from .suffix_dedup import repeated_strings
 from .token_counts import token_counts
@@ -63,6 +65,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.select("doc_id", fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op4_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_tokens(common.read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def _span_list(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
@@ -104,6 +110,36 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+SHARDS, SLOTS = [f"shard-{k:02d}" for k in range(16)], 2039
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assign_shards(common.read(spark, sf_dir, "documents").select("doc_id"), SHARDS, size=SLOTS)
+
+
+#: The shards claim slots by recursion, a turn a step: `taken` lists the claims so far.
+OP9_SQL = f"""
+WITH RECURSIVE shards AS (
+  SELECT k, 'shard-' || lpad(CAST(k AS VARCHAR), 2, '0') AS name FROM range(16) t(k)
+), preferences AS (
+  SELECT list((CAST('0x' || substr(md5(name || '/offset'), 1, 15) AS BIGINT)) % {SLOTS} ORDER BY k) AS first,
+         list((CAST('0x' || substr(md5(name || '/skip'), 1, 15) AS BIGINT)) % {SLOTS - 1} + 1 ORDER BY k) AS skip
+  FROM shards
+), turns(t, slot, taken) AS (
+  SELECT 0, CAST(NULL AS BIGINT), list_transform(range({SLOTS}), lambda x: false) FROM preferences
+  UNION ALL
+  SELECT t + 1, free, list_transform(taken, lambda x, i: x OR i = free + 1)
+  FROM (
+    SELECT t, taken, list_filter(list_transform(range({SLOTS}), lambda j: (first[t % 16 + 1] + j * skip[t % 16 + 1]) % {SLOTS}), lambda s: NOT taken[s + 1])[1] AS free
+    FROM turns, preferences WHERE t < {SLOTS}
+  )
+)
+SELECT doc_id, d.slot, name AS shard
+FROM (SELECT doc_id, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) % {SLOTS} AS slot FROM documents) d
+JOIN (SELECT slot, (t - 1) % 16 AS k FROM turns WHERE t > 0) USING (slot) JOIN shards USING (k)
+"""
+
+
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(common.read(spark, sf_dir, "documents"))
 
@@ -113,10 +149,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_decontamination": op1_decontamination,
         "op2_quality_rules": op2_quality_rules,
         "op3_simhash": op3_simhash,
+        "op4_token_packing": op4_token_packing,
         "op5_secret_scan": op5_secret_scan,
         "op6_token_counts": op6_token_counts,
         "op7_suffix_dedup": op7_suffix_dedup,
         "op8_sentencepiece": op8_sentencepiece,
+        "op9_sharding": op9_sharding,
         "op10_lm_score": op10_lm_score,
     }
 
@@ -125,4 +163,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontamination": OP1_SQL,
         "op2_quality_rules": quality_sql.SQL,
+        "op9_sharding": OP9_SQL,
     }
