@@ -117,12 +117,14 @@ def decontaminate(
     one_in: int = 20,
     block_bytes: int = 16 << 20,
     shard_bytes: int = 16 << 20,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Find benchmark phrases in documents.
 
     Returns the id column, n_words, n_hit, n_items, `items` (array of item ids as strings,
-    sorted), `spans` (array of [start, end) word ranges to remove, merged) and contaminated
-    (n_hit > 0 and one_in * n_hit >= n_words).
+    sorted), `spans` (array of [start, end) word ranges to remove, merged), contaminated and
+    `carried`, a struct of the columns named in `carry`, if any.  Contaminated means
+    n_hit > 0 and one_in * n_hit >= n_words.
 
     Words are runs of ASCII letters, digits and characters beyond ASCII, lower-cased in A-Z.
     A phrase is `window` consecutive words of an item, or all words of a shorter one.  Each
@@ -141,7 +143,8 @@ def decontaminate(
     bench = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text_col).cast("string").alias("words"))
     total = bench.agg(F.sum(F.octet_length("words"))).first()[0] or 0
     blocks = max(1, -(-2 * total // block_bytes)) if total > block_bytes else 1
-    source = keyed_text(docs, id_col, text_col)
+    source = keyed_text(docs, id_col, text_col, *([F.struct(*carry).alias("carried")] if carry else []))
+    fixed = len(source.columns)
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     found = [T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(span)), T.StructField("items", T.ArrayType(T.StringType()))]
     schema = T.StructType([*source.schema.fields, *found])
@@ -155,14 +158,13 @@ def decontaminate(
             for batch in slices(batches, shard_bytes):
                 texts = batch.column(1).cast(pa.large_binary()).to_pylist()
                 counts, spans, items = search_shard(texts, phrases.value)
-                if batch.num_columns > 2:
-                    before = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+                if batch.num_columns > fixed:
+                    before = batch.column(fixed + 1).to_pylist(), batch.column(fixed + 2).to_pylist()
                     spans = [_merged(s + [(x["start"], x["end"]) for x in old]) for s, old in zip(spans, before[0])]
                     items = [s | set(old) for s, old in zip(items, before[1])]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0),
-                        batch.column(1),
+                        *(batch.column(c) for c in range(fixed)),
                         pa.array(counts, pa.int64()),
                         pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], pa.list_(arrow_span)),
                         pa.array([sorted(s, key=str.encode) for s in items], pa.list_(pa.string())),
@@ -180,4 +182,5 @@ def decontaminate(
         "items",
         "spans",
         ((n_hit > 0) & (one_in * n_hit >= F.col("n_words"))).alias("contaminated"),
+        *source.columns[2:],
     )

@@ -82,9 +82,11 @@ def _features(text: bytes | None, lang: str | None) -> tuple:
     )
 
 
-def document_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The id column, the reference language, the base counts and both histograms."""
-    source = keyed_text(docs, id_col, text_col, F.col(lang_col).cast("string").alias("lang"))
+def document_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", carry: tuple[str, ...] = ()) -> DataFrame:
+    """The id column, the reference language, the base counts and both histograms, and
+    `carried`, a struct of the columns named in `carry`, if any."""
+    carried = [F.struct(*carry).alias("carried")] if carry else []
+    source = keyed_text(docs, id_col, text_col, F.col(lang_col).cast("string").alias("lang"), *carried)
     numbers = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     schema = T.StructType(
         [
@@ -93,6 +95,7 @@ def document_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             *(T.StructField(n, T.LongType()) for n in numbers),
             T.StructField("classes", T.ArrayType(T.LongType())),
             T.StructField("common", T.ArrayType(T.LongType())),
+            *source.schema.fields[3:],
         ]
     )
 
@@ -106,6 +109,7 @@ def document_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                     pa.array([g if g in COMMON_WORDS else OTHER for g in langs], pa.string()),
                     *(pa.array([r[k] for r in rows], pa.int64()) for k in range(5)),
                     *(pa.array([r[k] for r in rows], pa.list_(pa.int64())) for k in (5, 6)),
+                    *batch.columns[3:],
                 ],
                 names=schema.names,
             )
@@ -141,12 +145,13 @@ def quality_rules(
     min_common_words: int = 50,
     max_class_distance: float = 0.3,
     max_common_distance: float = 0.5,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Judge each document by counts and by its distance from its language.
 
     Returns the id column, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    base_failed, `class_distance`, `common_distance`, `rejected_by` (array of rule names)
-    and kept.
+    base_failed, `class_distance`, `common_distance`, `rejected_by` (array of rule names),
+    kept and `carried`, a struct of the columns named in `carry`, if any.
 
     References are the character-class and common-word histograms of each language, summed
     over all documents that pass the base rules, so nothing is sampled.  A document is
@@ -158,11 +163,16 @@ def quality_rules(
     Null texts are empty: no words, rejected by the base rules.  A null language counts as
     one without a list.  Repeated rows and null ids give a row each; an empty table gives an
     empty result; other columns are ignored.  The features are written to the shared folder
-    once; only five reference rows are broadcast.
+    once, or computed again where texts would be carried along; only five reference rows are
+    broadcast.
     """
-    features = stored(document_features(docs, id_col, text_col, lang_col), "quality")
+    features = document_features(docs, id_col, text_col, lang_col)
+    if not carry:
+        features = stored(features, "quality")
     base_failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    judged = features.join(F.broadcast(language_references(features, ~base_failed)), "reference", "left")
+    references = F.broadcast(language_references(features, ~base_failed))
+    judged = document_features(docs, id_col, text_col, lang_col, carry) if carry else features
+    judged = judged.join(references, "reference", "left")
     too_far = lambda name, limit: F.coalesce(F.col(name) > limit, F.lit(False))
     rules = F.array(
         F.when(F.col("n_words") < min_words, F.lit("min_words")),
@@ -182,5 +192,6 @@ def quality_rules(
             "common_distance",
             "rejected_by",
             (F.size("rejected_by") == 0).alias("kept"),
+            *(["carried"] if carry else []),
         )
     )

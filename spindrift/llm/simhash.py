@@ -239,5 +239,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(rooted.join(ids, "root").select("fp", "component_id"), "fp").select(id_col, "fp", "component_id")
 
 
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
+    """The rows of `docs` with the least id of their near-duplicate group, with all columns.
+
+    Ids are taken to name rows: of rows with one id a single one stays.  Rows without an id
+    can't be told apart and stay.
+    """
+    least = near_duplicates(docs, id_col, text_col, shingle).filter(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
+    return docs.join(least, id_col, "left_semi").dropDuplicates([id_col]).unionByName(docs.filter(F.col(id_col).isNull())).select(docs.columns)
+
+
 def fingerprint_hex(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
