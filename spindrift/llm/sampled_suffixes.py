@@ -76,9 +76,9 @@ def window_anchors(rolling: Rolling, lengths: np.ndarray, window: int, lead: int
     marks |= np.arange(len(marks), dtype=np.uint64)
     anchors = (_sliding_min(marks, window - lead + 1) & _POSITION).astype(np.int64)
     ends = np.cumsum(lengths)
-    first = np.repeat(ends - lengths, np.maximum(lengths - window + 1, 0))
-    inner = np.arange(len(first)) - np.repeat(np.cumsum(np.maximum(lengths - window + 1, 0)) - np.maximum(lengths - window + 1, 0), np.maximum(lengths - window + 1, 0))
-    starts = first + inner
+    windows = np.maximum(lengths - window + 1, 0)
+    inner = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+    starts = np.repeat(ends - lengths, windows) + inner
     if not len(starts):
         return empty, empty, empty
     owner = anchors[starts]

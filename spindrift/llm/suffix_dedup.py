@@ -143,8 +143,7 @@ def repeated_strings(
             raw = b"".join(texts)
             pieces = []
             keys = []
-            # Anchors hold 24-bit positions, so documents are taken 16 MB at a time; one
-            # longer document is taken in overlapping parts, each window in one part.
+            # Hashing takes some hundred bytes of memory a byte, so it goes part by part.
             for offset, part, part_lengths in _parts(raw, lengths, window):
                 data = np.frombuffer(part, np.uint8)
                 rolling = Rolling(data)
@@ -328,19 +327,22 @@ def repeated_strings(
     return blocks.select("block", "ids", "lengths", "text").groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(cut, T.StructType(fields))
 
 
-def _parts(raw: bytes, lengths: np.ndarray, window: int, most: int = 1 << 24) -> Iterator[tuple[int, bytes, np.ndarray]]:
-    """(offset, bytes, document lengths) pieces of at most `most` bytes that together hold
-    every window of each document once."""
-    if len(raw) <= most:
-        yield 0, raw, lengths
-        return
-    at = 0
-    for n in lengths.tolist():
-        step = most - window + 1
-        for s in range(0, max(n - window + 1, 1), step):
-            size = min(n - s, most)
-            yield at + s, raw[at + s : at + s + size], np.array([size])
-        at += n
+def _parts(raw: bytes, lengths: np.ndarray, window: int, most: int = 2 << 20) -> Iterator[tuple[int, bytes, np.ndarray]]:
+    """(offset, bytes, document lengths) pieces of about `most` bytes that together hold
+    every window of each document once; a longer document comes in overlapping pieces."""
+    ends = np.cumsum(lengths)
+    first = 0
+    while first < len(lengths):
+        at = int(ends[first] - lengths[first])
+        last = max(first + 1, int(np.searchsorted(ends, at + most, side="right")))
+        n = int(ends[last - 1]) - at
+        if n <= most:
+            yield at, raw[at : at + n], lengths[first:last]
+        else:
+            for s in range(0, max(n - window + 1, 1), most - window + 1):
+                size = min(n - s, most)
+                yield at + s, raw[at + s : at + s + size], np.array([size])
+        first = last
 
 
 def _compare_groups(table: pa.Table, marks: list, window: int) -> Iterator[pa.RecordBatch]:
