@@ -217,12 +217,13 @@ def compiled_map(pairs):
             node = node.setdefault(b, {})
         node[None] = at[key]
     units = {0: 0}
-    used = {0}
+    used, bases = {0}, set()
     todo = [(0, trie)]
     while todo:
         place, node = todo.pop()
         codes = [0 if k is None else k for k in node]
-        base = next(b for b in range(1, 1 << 16) if all(b ^ c not in used for c in codes) and (b ^ place) < 1 << 21)
+        base = next(b for b in range(1, 1 << 16) if b not in bases and all(b ^ c not in used for c in codes) and (b ^ place) < 1 << 21)
+        bases.add(base)  # nodes must not share one, else one's children look like the other's
         units[place] |= (base ^ place) << 10 | ((1 << 8) if None in node else 0)
         for k, child in node.items():
             used.add(base ^ (0 if k is None else k))
