@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed value: keys whose values are not shown.
 REDACTED_KEYS = r"(?i)(authorization|cookie|token|secret|password|client.?secret|code|state|verifier)"
@@ -41,7 +42,7 @@ def _redacted(value: object) -> object:
     return value
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def redact_json(texts: pd.Series) -> pd.Series:
     """JSON of any depth with the values of sensitive keys replaced; a text that is no JSON
     is replaced whole."""

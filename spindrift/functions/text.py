@@ -7,12 +7,13 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Markers of a version, in order of precedence.
 VERSION_MARKERS = ("remix", "live", "radio edit", "extended mix", "clean", "explicit", "demo", "acoustic", "instrumental", "remaster")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     """Compatibility composition, which Spark has no built-in for."""
     return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t), na_action="ignore")

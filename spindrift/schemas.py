@@ -16,7 +16,24 @@ FEED_STATES = ("new", "upcoming", "saved", "dismissed", "listened", "needs_revie
 MATCH_RULES = ("exact_provider_id", "exact_isrc", "exact_barcode_position", "exact_musicbrainz", "metadata", "new_canonical", "manual_review")
 
 CREDITS = "array<struct<name:string,role:string>>"
-CANDIDATE = T.StructType.fromDDL(
+_TYPES = {
+    "string": T.StringType(),
+    "long": T.LongType(),
+    "int": T.IntegerType(),
+    "boolean": T.BooleanType(),
+    "timestamp": T.TimestampType(),
+    "decimal(4,3)": T.DecimalType(4, 3),
+    "array<string>": T.ArrayType(T.StringType()),
+    CREDITS: T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("role", T.StringType())])),
+}
+
+
+def struct_of(columns: str) -> T.StructType:
+    """A schema of "name type, name type": unlike a DDL string it needs no session."""
+    return T.StructType([T.StructField(n, _TYPES[t]) for n, t in (c.split() for c in columns.split(", "))])
+
+
+CANDIDATE = struct_of(
     "ordinal long, provider string, external_release_id string, external_track_id string, source_label string,"
     " artist_external_id string, artist_name string, title string, release_title string, release_type string,"
     f" release_date string, release_date_precision string, first_seen_at timestamp, credits {CREDITS},"
@@ -25,7 +42,7 @@ CANDIDATE = T.StructType.fromDDL(
     " availability string, provider_url string, evidence_url string, evidence_type string, payload_hash string, is_upcoming boolean"
 )
 #: A canonical track as the matcher sees it; `ordinal` fixes what "first" means.
-TRACK = T.StructType.fromDDL(
+TRACK = struct_of(
     f"ordinal long, track_id string, title string, credits {CREDITS}, duration_ms int, disc_number int, track_number int,"
     " isrc string, upc string, ean string, musicbrainz_recording_id string, musicbrainz_release_group_id string, version string"
 )
@@ -58,7 +75,7 @@ TABLES: dict[str, tuple[str, tuple[str, ...]]] = {
 
 
 def table_schema(name: str) -> T.StructType:
-    return T.StructType.fromDDL(TABLES[name][0])
+    return struct_of(TABLES[name][0])
 
 
 def candidate_rules() -> dict[str, Column]:
