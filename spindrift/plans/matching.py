@@ -39,7 +39,7 @@ def with_match_keys(df: DataFrame, compose: bool = True) -> DataFrame:
             "k_credits": F.coalesce(normalized_credits(credits), F.lit("")),
             "k_version": F.coalesce(F.col("version"), extract_version(F.col("title"), compose=compose)),
         }
-    ).withColumn("k_place", F.when(zero_to_null(F.col("track_number")).isNotNull(), F.concat_ws("@", "k_barcode", "k_position")))
+    ).withColumn("k_place", F.when(zero_to_null(F.col("track_number")).isNotNull(), F.concat("k_barcode", F.lit("@"), "k_position")))
 
 
 def _spread(key: str) -> Column:

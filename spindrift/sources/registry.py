@@ -11,7 +11,7 @@ from ..schemas import PROVIDERS
 #: Sources that a scan can use; the other providers are known by name only.
 AVAILABLE = ("mock", "spotify", "musicbrainz")
 #: What makes a source configured.
-REQUIRED = {"spotify": ("SPOTIFY_CLIENT_ID", "SPOTIFY_CLIENT_SECRET"), "musicbrainz": ("MUSICBRAINZ_CONTACT",)}
+REQUIRED = {"spotify": ("SPOTIFY_CLIENT_ID", "SPOTIFY_CLIENT_SECRET", "APP_ENCRYPTION_KEY"), "musicbrainz": ("MUSICBRAINZ_CONTACT_EMAIL",)}
 
 
 def parse_options(args: list[str], now: dt.datetime) -> Options:
@@ -44,13 +44,20 @@ def parse_options(args: list[str], now: dt.datetime) -> Options:
 
 
 def configured(environment: Mapping[str, str]) -> dict[str, bool]:
-    return {name: all(environment.get(k) for k in keys) for name, keys in REQUIRED.items()}
+    """Sources that are not switched off and have all they need."""
+    out = {}
+    for name, keys in REQUIRED.items():
+        flag = environment.get(f"{name.upper()}_ENABLED", "true")
+        if flag not in ("true", "false"):
+            raise ValueError(f"{name.upper()}_ENABLED must be true or false")
+        out[name] = flag == "true" and all(environment.get(k) for k in keys)
+    return out
 
 
 def backfill_days(environment: Mapping[str, str], default: int = 60) -> int:
-    days = int(environment.get("BACKFILL_DAYS") or default)
+    days = int(environment.get("INITIAL_BACKFILL_DAYS") or default)
     if not 1 <= days <= 3650:
-        raise ValueError("BACKFILL_DAYS must be from 1 to 3650")
+        raise ValueError("INITIAL_BACKFILL_DAYS must be from 1 to 3650")
     return days
 
 
