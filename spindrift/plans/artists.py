@@ -15,7 +15,7 @@ def artist_score(name: Column, aliases: Column, found_name: Column, found_aliase
     plain = lambda c: normalize_text(c, compose=False)
     accepted = F.concat(F.array(normalize_text(name, compose)), F.transform(F.coalesce(aliases, F.array().cast("array<string>")), plain))
     exact = F.array_contains(accepted, normalize_text(found_name, compose))
-    by_alias = F.exists(F.coalesce(found_aliases, F.array().cast("array<string>")), lambda a: F.array_contains(accepted, plain(a)))
+    by_alias = F.arrays_overlap(accepted, F.transform(F.coalesce(found_aliases, F.array().cast("array<string>")), plain))
     known = F.coalesce(disambiguation, F.lit("")) != ""
     points = F.floor((source_score * 9 + 1) / 2) + F.when(exact, 400).otherwise(0) + F.when(by_alias, 100).otherwise(0) + F.when(known, 20).otherwise(0)
     reasons = F.array(
