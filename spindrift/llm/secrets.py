@@ -112,10 +112,11 @@ def secret_scan(
     text_col: str = "text",
     rules: tuple[Rule, ...] = RULES,
     redact_as: str | None = None,
-    keep_cols: tuple[str, ...] = (),
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Find secrets; returns the id column, `keep_cols` and `spans`, an array of
-    (kind, start, end) in code points of the text, end exclusive.
+    """Find secrets; returns the id column, `spans`, an array of (kind, start, end) in code
+    points of the text, end exclusive, and `carried`, a struct of the columns named in
+    `carry`, if any.
 
     Each rule's regular expression is turned into a Boolean query over trigrams that any
     match holds.  A shard of documents gets an inverted index from those trigrams to its
@@ -131,7 +132,7 @@ def secret_scan(
     ids give a row each; an empty table gives an empty result; other columns are ignored.
     One pass, no shuffle.
     """
-    source = keyed_text(docs, id_col, text_col, *keep_cols)
+    source = keyed_text(docs, id_col, text_col, *([F.struct(*carry).alias("carried")] if carry else []))
     span = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     kept = source.schema.fields[2:]
     fields = [source.schema[0], *kept, T.StructField("spans", T.ArrayType(span))]

@@ -151,7 +151,7 @@ def test_trigram_queries():
 
 def test_redaction_and_edges(edges, no_rows):
     assert redacted("ab SECRET cd", [(3, 9, "k"), (5, 8, "j")], "X") == "ab X cd"
-    rows = secret_scan(edges, redact_as="[X]", keep_cols=("lang",)).collect()
+    rows = secret_scan(edges, redact_as="[X]", carry=("lang", "spans")).collect()
     assert len(rows) == len(EDGES) and secret_scan(no_rows).count() == 0
     by_id = {r.doc_id: r for r in rows}
     assert [s.kind for s in by_id[6].spans] == ["assign", "access"] and by_id[6].redacted.endswith("[X] [X]")
