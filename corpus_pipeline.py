@@ -38,10 +38,9 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets replaced in the text and its length counted again."""
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    clean = secret_scan(docs, redact_as=REDACTED, keep_cols=others)
+    clean = secret_scan(docs, redact_as=REDACTED, carry=tuple(c for c in docs.columns if c != "text"))
     columns = {"text": F.col("redacted"), "n_chars": F.length("redacted").cast("long")}
-    return clean.select(*(columns[c].alias(c) if c in columns else F.col(c) for c in docs.columns))
+    return clean.select(*(columns[c].alias(c) if c in columns else F.col(f"carried.{c}").alias(c) for c in docs.columns))
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
