@@ -124,7 +124,9 @@ def repeated_strings(
        equal lead are ordered by a multikey sort and neighbours are compared.  Equal leads
        share a bucket, so no comparison is lost at a boundary.  Groups of over `large_group`
        contexts are dealt by ranges of offsets as well, since windows at different offsets
-       from their anchors never match: a common passage spreads over many tasks.
+       from their anchors never match, and by a hash of the bytes that all windows of such a
+       range share, since equal windows share them: a common passage spreads over many
+       tasks.  Equal pieces of a block settle each other and send one row.
     4. Blocks gather their spans and cut their documents.
 
     Null texts are empty: nothing to remove, `kept` empty.  Repeated rows are copies of each
@@ -237,30 +239,38 @@ def repeated_strings(
         again[np.unique(numbers, return_index=True)[1]] = False
         flag[again] &= ~np.uint8(SHIP)
         done = flag & REPEATED > 0
-        a, b = _merge(first[done], (first + more + window)[done])
         out: dict[str, list] = {n: [] for n in suffixes.names}
 
         def add(**values):
             for n in suffixes.names:
                 out[n].append(values.get(n))
 
-        add(block=row["block"], spans=np.stack([a, b]).astype(np.int64).tobytes())
         text = memoryview(_unzip(row["text"])) if (flag & SHIP).any() else b""
+        pieces: dict[tuple[bytes, int, bytes], list[tuple[int, int, bool]]] = {}
         for r in np.flatnonzero(flag & SHIP).tolist():
             f, m, o = int(first[r]), int(more[r]), int(back[r])
-            head = bytes(text[f + o : f + o + lead])
+            head, needed = bytes(text[f + o : f + o + lead]), not flag[r] & REPEATED
             if not flag[r] & LARGE:
-                add(block=row["block"], first=f, offset=o, chunk=WHOLE, needed=not flag[r] & REPEATED, lead=head, context=bytes(text[f : f + m + window]))
+                add(block=row["block"], first=f, offset=o, chunk=WHOLE, core=0, needed=needed, lead=head, context=bytes(text[f : f + m + window]))
                 continue
             at, end = f, f + m
             while at <= end:  # offsets of one range: o - (s - f) from chunk * OFFSETS on
                 here = o - (at - f)
                 upto = min(end, at + here % OFFSETS)
-                add(block=row["block"], first=at, offset=here, chunk=here // OFFSETS, needed=not flag[r] & REPEATED, lead=head, context=bytes(text[at : upto + window]))
+                pieces.setdefault((head, here, bytes(text[at : upto + window])), []).append((at, upto, needed))
                 at = upto + 1
+        more_spans = []
+        for (head, here, context), places in pieces.items():
+            several = len(places) > 1  # equal pieces of one block settle each other; one is sent for all
+            more_spans += [(at, upto + window) for at, upto, needed in places if several and needed]
+            core = context[here % OFFSETS : here % OFFSETS + window - OFFSETS + 1]
+            add(block=row["block"], first=places[0][0], offset=here, chunk=here // OFFSETS, core=xxhash.xxh3_64_intdigest(core) >> 1, needed=places[0][2] and not several, lead=head, context=context)
+        extra = np.array(more_spans, np.int64).reshape(-1, 2)
+        a, b = _merge(np.concatenate([first[done], extra[:, 0]]), np.concatenate([(first + more + window)[done], extra[:, 1]]))
+        add(block=row["block"], spans=np.stack([a, b]).astype(np.int64).tobytes())
         return pa.Table.from_pydict(out, schema=suffixes)
 
-    suffixes = pa.schema([("block", pa.int64()), ("spans", pa.binary()), ("first", pa.int64()), ("offset", pa.int32()), ("chunk", pa.int32()), ("needed", pa.bool_()), ("lead", pa.binary()), ("context", pa.binary())])
+    suffixes = pa.schema([("block", pa.int64()), ("spans", pa.binary()), ("first", pa.int64()), ("offset", pa.int32()), ("chunk", pa.int32()), ("core", pa.int64()), ("needed", pa.bool_()), ("lead", pa.binary()), ("context", pa.binary())])
 
     def leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -268,7 +278,7 @@ def repeated_strings(
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("block", "text", "runs", "numbers")), pa.array(own, pa.binary())], names=["block", "text", "runs", "numbers", "leads"])
 
     texts = blocks.select("block", "text", "runs", "numbers", "keys").mapInArrow(leads, "block long, text binary, runs binary, numbers binary, leads binary")
-    sifted = stored(texts.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(sift, "block long, spans binary, first long, offset int, chunk int, needed boolean, lead binary, context binary"), "suffixes")
+    sifted = stored(texts.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(sift, "block long, spans binary, first long, offset int, chunk int, core long, needed boolean, lead binary, context binary"), "suffixes")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -278,7 +288,7 @@ def repeated_strings(
             table = pa.Table.from_batches([batch])
             if held is not None:
                 table = pa.concat_tables([held, table])
-            marks = list(zip(table.column("lead").to_pylist(), table.column("chunk").to_pylist()))
+            marks = _marks(table)
             cut = len(marks) - 1
             while cut > 0 and marks[cut - 1] == marks[-1]:
                 cut -= 1
@@ -286,13 +296,13 @@ def repeated_strings(
             if cut:
                 yield from _compare_groups(table.slice(0, cut), marks[:cut], window)
         if held is not None:
-            yield from _compare_groups(held, list(zip(held.column("lead").to_pylist(), held.column("chunk").to_pylist())), window)
+            yield from _compare_groups(held, _marks(held), window)
 
     compared = (
         sifted.filter("context IS NOT NULL")
-        .select("lead", "chunk", "block", "first", "offset", "needed", "context")
-        .repartitionByRange("lead", "chunk")
-        .sortWithinPartitions("lead", "chunk")
+        .select("lead", "chunk", "core", "block", "first", "offset", "needed", "context")
+        .repartitionByRange("lead", "chunk", "core")
+        .sortWithinPartitions("lead", "chunk", "core")
         .mapInArrow(compare, "block long, spans binary")
     )
     spans = sifted.filter("spans IS NOT NULL").select("block", "spans").unionByName(compared)
@@ -345,6 +355,11 @@ def _parts(raw: bytes, lengths: np.ndarray, window: int, most: int = 2 << 20) ->
         first = last
 
 
+def _marks(table: pa.Table) -> list[tuple]:
+    """What rows must have in common to be compared."""
+    return list(zip(*(table.column(c).to_pylist() for c in ("lead", "chunk", "core"))))
+
+
 def _compare_groups(table: pa.Table, marks: list, window: int) -> Iterator[pa.RecordBatch]:
     """Spans of the needed windows of whole groups that equal another window of theirs."""
     step = 4000
