@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.keyed import upsert
 from ..schemas import struct_of, validated
 from ..storage import Store
 from .resolution import persist
@@ -52,7 +53,8 @@ Source = Callable[[SparkSession, Options], DataFrame]
 def run_scan(store: Store, sources: dict[str, Source], options: Options) -> Summary:
     """Scan each source, resolve what it gives and publish all tables of a source at once.
 
-    A source that fails is recorded and the others go on; the run fails if the requested one
+    A source is scanned under a lease, and its `next_cursor`, if it has one, is stored.  A
+    source that fails is recorded and the others go on; the run fails if the requested one
     fails or all do.  A dry run counts and writes nothing.
     """
     spark, out = store.spark, Summary(dry_run=options.dry_run)
@@ -63,12 +65,16 @@ def run_scan(store: Store, sources: dict[str, Source], options: Options) -> Summ
             discovered = candidates.count()
             counts = {"discovered": discovered, "inserted": 0, "skipped": 0, "needs_review": 0}
             if not options.dry_run:
-                tables = store.tables()
-                changed, decided = persist(candidates, tables, run_id)
-                n = decided.agg(F.count("*").alias("n"), F.count_if(F.col("kind") == "review").alias("review")).first()
-                counts |= {"inserted": n.n, "skipped": discovered - n.n, "needs_review": n.review}
-                changed["scan_runs"] = tables["scan_runs"].unionByName(run_row(spark, run_id, name, "completed", options.now, counts))
-                store.commit(changed)
+                with store.lease(name, run_id, options.now):
+                    tables = store.tables()
+                    changed, decided = persist(candidates, tables, run_id)
+                    n = decided.agg(F.count("*").alias("n"), F.count_if(F.col("kind") == "review").alias("review")).first()
+                    counts |= {"inserted": n.n, "skipped": discovered - n.n, "needs_review": n.review}
+                    changed["scan_runs"] = tables["scan_runs"].unionByName(run_row(spark, run_id, name, "completed", options.now, counts))
+                    cursor = getattr(source, "next_cursor", None)
+                    if cursor:
+                        changed["cursors"] = with_cursor(tables["cursors"], name, cursor)
+                    store.commit(changed)
             out.by_provider[name] = counts
             for k, v in counts.items():
                 setattr(out, k, getattr(out, k) + v)
@@ -89,6 +95,12 @@ def run_row(spark: SparkSession, run_id: str, provider: str, status: str, now: d
     return spark.createDataFrame([(run_id, provider, status, now, now, *(counts.get(k) for k in ("discovered", "inserted", "skipped", "needs_review")), error)], schema)
 
 
+def with_cursor(cursors: DataFrame, provider: str, value: str, scope: str = "global", scope_id: str = "default") -> DataFrame:
+    """The cursors after the last value of a scope was set."""
+    row = cursors.sparkSession.createDataFrame([(provider, scope, scope_id, value, 1)], "provider string, scope string, scope_id string, value string, at int")
+    return upsert(cursors, row, ["provider", "scope", "scope_id"], "at", ["value"])
+
+
 def run_counters(decided: DataFrame, by: list[str]) -> DataFrame:
     """Counters of each source; a total is their sum (see `run_totals`)."""
     return decided.groupBy(*by).agg(F.count("*").alias("discovered"), F.count_if("fresh").alias("inserted"), F.count_if(~F.col("fresh")).alias("skipped"), F.count_if(F.col("fresh") & F.col("review")).alias("needs_review"))

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from .functions import classify, dates, hashing, links, text
 from .operators import keyed, nested
-from .plans import artists, exports, feed, imports, matching, resolution, runs
+from .plans import artists, exports, feed, imports, matching, resolution, runs, views
 from .schemas import TRACK, duplicate_keys, exactly_one, violations
 from .streaming import gates, incremental
 
@@ -582,6 +582,54 @@ def q_watchlist(spark, d):
     return rows.select("artist", micros("last_seen_at").alias("last_seen_us"), "n_rows", text.blank_to_null(F.array_join("providers", ",")).alias("providers"))
 
 
+# -- views ----------------------------------------------------------------------------------------
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_custkey IN (7, 11)")
+def q_owned_private(spark, d):
+    status = F.col("o_orderstatus")
+    playlists = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("owner_id"), F.when(status != "P", status != "F").alias("public"))
+    return playlists.filter(views.owned_private(F.lit(7), F.lit(11))).select("o_orderkey")
+
+
+@query("SELECT p_partkey FROM part WHERE lower(p_name || p_brand) IN (SELECT lower(p_name || p_brand) FROM part GROUP BY 1 HAVING count(*) > 1)")
+def q_duplicate_names(spark, d):
+    rows = table(spark, d, "part").select("p_partkey", F.concat("p_name", "p_brand").alias("name"))
+    return views.duplicate_names(rows, "p_partkey", "name").select("p_partkey")
+
+
+@query("""
+SELECT o_orderkey AS candidate_id, l_partkey AS provider_track_id, CASE WHEN o_orderpriority < '3' THEN 'exact_isrc' ELSE 'metadata' END AS match_rule, coalesce(c_acctbal > 9000, false) AS manually_confirmed
+FROM orders JOIN lineitem ON o_orderkey = l_orderkey AND l_linestatus = 'O' LEFT JOIN customer ON o_custkey = c_custkey
+""")
+def q_sync_items(spark, d):
+    orders, lines = table(spark, d, "orders"), table(spark, d, "lineitem")
+    rule = F.when(F.col("o_orderpriority") < "3", F.lit("exact_isrc")).otherwise(F.lit("metadata"))
+    candidates = orders.select(F.col("o_orderkey").alias("candidate_id"), F.col("o_orderkey").alias("track_id"), rule.alias("match_rule"), F.lit(1).alias("match_confidence"))
+    places = lines.select(F.col("l_orderkey").alias("track_id"), F.col("l_partkey").alias("provider_track_id"), F.lit("").alias("provider_url"), F.when(F.col("l_linestatus") == "O", F.lit("spotify")).otherwise(F.lit("mock")).alias("provider"))
+    rich = table(spark, d, "customer").filter("c_acctbal > 9000").select(F.col("c_custkey").alias("o_custkey"))
+    decisions = orders.join(rich, "o_custkey").select(F.col("o_orderkey").alias("candidate_id"), F.lit("confirm").alias("decision"))
+    return views.items_to_export(candidates, places, decisions).select("candidate_id", "provider_track_id", "match_rule", "manually_confirmed")
+
+
+@query("""
+SELECT o_orderkey AS link_id, coalesce(c_name, 'Unknown title') AS title, coalesce(c_mktsegment, 'Unknown artist') AS artist, CASE WHEN o_totalprice < 100000 THEN 'disabled' WHEN o_orderpriority < '3' THEN 'configured' ELSE 'missing' END AS status
+FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) ON o_custkey = c_custkey WHERE o_orderstatus = 'F'
+""")
+def q_link_rows(spark, d):
+    links = table(spark, d, "orders").select(F.col("o_orderkey").alias("link_id"), F.col("o_custkey").alias("item_id"), F.when(F.col("o_orderstatus") == "F", F.lit("USER_LINKED_VERIFIED")).otherwise(F.lit("NOT_CHECKED")).alias("state"), views.status_label(F.col("o_totalprice") >= 100000, F.col("o_orderpriority") < "3").alias("status"))
+    items = table(spark, d, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("title"), F.col("c_mktsegment").alias("artist"))
+    return views.link_rows(links, items).select("link_id", "title", "artist", "status")
+
+
+@query("SELECT p_partkey, p_size < 25 OR p_type = 'PROMO' AS selected FROM part UNION ALL SELECT s_suppkey + 1000000, true FROM supplier")
+def q_selection(spark, d):
+    part = table(spark, d, "part").select("p_partkey", F.lit(True).alias("selected"))
+    chosen = table(spark, d, "part").filter("p_size < 25 OR p_type = 'PROMO'").select("p_partkey", F.lit(True).alias("selected"))
+    more = table(spark, d, "supplier").select((F.col("s_suppkey") + 1_000_000).alias("p_partkey"), F.lit(True).alias("selected"))
+    return views.append_once(views.with_selection(part, False, chosen, "p_partkey"), more.unionByName(chosen), "p_partkey")
+
+
 # -- runs and counters ----------------------------------------------------------------------------
 
 _COUNTS = "SELECT o_orderpriority AS provider, count(*) AS discovered, count(*) FILTER (o_orderstatus <> 'F') AS inserted, count(*) FILTER (o_orderstatus = 'F') AS skipped, count(*) FILTER (o_orderstatus = 'P') AS needs_review FROM orders GROUP BY 1"

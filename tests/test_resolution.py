@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spindrift.plans import matching, resolution
-from spindrift.plans.runs import Options, recent_runs, run_scan
+from spindrift.plans.runs import Options, recent_runs, run_scan, with_cursor
 from spindrift.schemas import CANDIDATE, TRACK, candidate_rules, validated, violations
 from spindrift.storage import Store
 from spindrift.streaming.incremental import resolve_stream
@@ -150,6 +150,19 @@ def test_golden_numbers_and_rerun(spark, tmp_path):
     assert store.table("tracks").count() == 0
 
 
+def test_lease_and_cursor(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store")
+    now = dt.datetime(2030, 4, 2)
+    with store.lease("mock", "me", now), pytest.raises(RuntimeError, match="another run"), store.lease("mock", "you", now + dt.timedelta(minutes=30)):
+        pass
+    with store.lease("mock", "me", now), store.lease("mock", "you", now + dt.timedelta(minutes=31)):
+        pass  # ended leases are taken over, and their first owner releases nothing
+    with store.lease("mock", "third", now):
+        pass
+    one = with_cursor(store.table("cursors"), "mock", "a")
+    assert [(r.provider, r.value) for r in with_cursor(one, "mock", "b").collect()] == [("mock", "b")]
+
+
 def test_candidate_rules(spark):
     good = spark.createDataFrame([candidate(0)], CANDIDATE)
     assert validated(good).count() == 1
