@@ -124,13 +124,16 @@ def language_references(features: DataFrame, usable: Column) -> DataFrame:
     return features.groupBy("reference").agg(*sums)
 
 
-def jensen_shannon(counts: Column, reference: Column) -> Column:
+def total(counts: Column) -> Column:
+    return F.nullif(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x), F.lit(0.0))
+
+
+def jensen_shannon(counts: Column, reference: Column, n: Column, n_reference: Column) -> Column:
     """Jensen-Shannon distance (base 2, from 0 to 1) of two arrays of counts; null where
-    either is empty."""
-    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
+    either is empty.  `n` and `n_reference` are their totals, as columns of their own: within
+    the lambda they would be added up again for each element."""
     term = lambda p, m: F.when(p > 0, p * F.log2(p / m)).otherwise(0.0)
-    a, b = F.nullif(total(counts), F.lit(0.0)), F.nullif(total(reference), F.lit(0.0))
-    parts = F.zip_with(counts, reference, lambda x, y: 0.5 * (term(x / a, (x / a + y / b) / 2) + term(y / b, (x / a + y / b) / 2)))
+    parts = F.zip_with(counts, reference, lambda x, y: 0.5 * (term(x / n, (x / n + y / n_reference) / 2) + term(y / n_reference, (x / n + y / n_reference) / 2)))
     return F.sqrt(F.greatest(F.aggregate(parts, F.lit(0.0), lambda s, x: s + x), F.lit(0.0)))
 
 
@@ -172,7 +175,8 @@ def quality_rules(
     base_failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     references = F.broadcast(language_references(features, ~base_failed))
     judged = document_features(docs, id_col, text_col, lang_col, carry) if carry else features
-    judged = judged.join(references, "reference", "left")
+    judged = judged.join(references, "reference", "left").withColumns({f"n_{c}": total(F.col(c)) for c in ("classes", "common", "ref_classes", "ref_common")})
+    distance = lambda c: jensen_shannon(F.col(c), F.col(f"ref_{c}"), F.col(f"n_{c}"), F.col(f"n_ref_{c}"))
     too_far = lambda name, limit: F.coalesce(F.col(name) > limit, F.lit(False))
     rules = F.array(
         F.when(F.col("n_words") < min_words, F.lit("min_words")),
@@ -181,8 +185,8 @@ def quality_rules(
         F.when(too_far("common_distance", max_common_distance), F.lit("common_distance")),
     )
     return (
-        judged.withColumn("class_distance", F.when(F.col("word_chars") >= min_class_chars, jensen_shannon(F.col("classes"), F.col("ref_classes"))))
-        .withColumn("common_distance", F.when(F.col("n_words") >= min_common_words, jensen_shannon(F.col("common"), F.col("ref_common"))))
+        judged.withColumn("class_distance", F.when(F.col("word_chars") >= min_class_chars, distance("classes")))
+        .withColumn("common_distance", F.when(F.col("n_words") >= min_common_words, distance("common")))
         .withColumn("rejected_by", F.filter(rules, lambda r: r.isNotNull()))
         .select(
             id_col,
