@@ -27,12 +27,22 @@ class Rule:
     least: int = 1
 
 
+#: What parts the lines of a key: white space, also escaped, and marks of quotes and comments.
+_BETWEEN = r"""(?:\s|\\[nrt]|["'+,;>#*|])"""
+#: After the BEGIN line of a private key: all up to its END line; where the next BEGIN or
+#: another END comes first, or none at all, the header fields and base64 lines.
+_KEY_BODY = (
+    r"(?:(?:[^-]++|-(?!----(?:BEGIN|END) ))*+-----END [A-Z ]*PRIVATE KEY-----"
+    rf"|(?:{_BETWEEN}*+[A-Z][A-Za-z0-9-]*+:\x20[^\r\n\\]*+)*+(?:{_BETWEEN}*+[A-Za-z0-9+/]{{16,}}+={{0,2}})++"
+    rf"""(?:{_BETWEEN}++[A-Za-z0-9+/]{{1,15}}+(?:={{1,2}}|(?=[\x20\t]*(?:[\r\n"'\\<`]|-----|\Z))))?)?"""
+)
+
 #: Spans of one start are listed in the order of these rules.  The first three are the base.
 RULES = (
     Rule("assign", r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 6),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
     Rule("hex", r"[0-9a-f]+", 0, 24),
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----" + _KEY_BODY),
     Rule("temporary_access", r"ASIA[A-Z0-9]+", 0, 20),
     Rule("code_host", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),

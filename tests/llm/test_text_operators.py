@@ -142,6 +142,37 @@ def test_secrets_match_plain_expressions(spark, sf_dir):
     assert Scanner(RULES).scan(texts) == [brute_secrets(t) for t in texts]
 
 
+KEY_LINES = ["MIIEpAIBAAKCAQEA" + "kQ7+/x9Z" * 6, "b3BlbnNzaC1rZXk" + "Vt3+/yW8m" * 5 + "aBcD", "Zm9v+/9hYg=="]
+
+
+@pytest.mark.parametrize(
+    ("before", "after"),
+    [
+        ("-----BEGIN RSA PRIVATE KEY-----\n", "\n-----END RSA PRIVATE KEY-----"),
+        ("-----BEGIN PRIVATE KEY-----\n", ""),
+        ("-----BEGIN PRIVATE KEY-----\n", "\n-----END CERTIFICATE-----"),
+        ("-----BEGIN EC PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n\n", "\n"),
+        ("-----BEGIN OPENSSH PRIVATE KEY-----\n", "\n-----BEGIN PUBLIC KEY-----\n"),
+    ],
+)
+@pytest.mark.parametrize("line", ["\n", "\r\n", "\\n", "\n  > ", '\\n" +\n  "'])
+def test_no_byte_of_a_private_key_remains(spark, before, after, line):
+    text = "The key is\n" + before.replace("\n", line) + line.join(KEY_LINES) + after.replace("\n", line) + "\nand the prose goes on."
+    found = secret_scan(spark.createDataFrame([(1, text)], "doc_id long, text string"), redact_as="[X]").first()
+    assert found.redacted.startswith("The key is\n[X]") and found.redacted.endswith("\nand the prose goes on.")
+    assert not any(part in found.redacted for part in KEY_LINES)
+    assert [s.start for s in found.spans if s.kind == "private_key"] == [11]
+
+
+def test_private_key_spans_leave_prose():
+    own = Scanner(RULES)
+    header = "-----BEGIN PRIVATE KEY-----"
+    assert own.scan([f"a {header} line opens it.\nMore: words"]) == [[(2, 2 + len(header), "private_key")]]
+    two = f"{header}\n{KEY_LINES[0]}\n-----END PRIVATE KEY----- between {header}\n{KEY_LINES[0]}\n-----END PRIVATE KEY-----"
+    assert redacted(two, [s for s in own.scan([two])[0] if s[2] == "private_key"], "X") == "X between X"
+    assert trigram_query(RULES[3].pattern) == trigram_query(header.replace("PRIVATE", "[A-Z ]*PRIVATE"))
+
+
 def test_trigram_queries():
     assert trigram_query("[0-9a-f]+") is True and trigram_query("a?b?c?") is True
     assert trigram_query("abcd") == ("and", [b"abc", b"bcd"])
