@@ -91,6 +91,79 @@ class Grams:
         return out
 
 
+class Automaton:
+    """The part of the backoff automaton that a block's texts can reach.
+
+    Nodes are the block's grams, level after level, and node 0 is the root, the empty
+    context.  A node seen in training is the target of an arc from its prefix by its last
+    word, with a log10 weight; one shorter than `order` is also a state, with a failure arc
+    to its suffix at a log10 cost.  The root has an arc for every word.
+    """
+
+    def __init__(self, grams: Grams, counts: list[np.ndarray], base: np.ndarray, strength: float):
+        order = len(counts)
+        self.order = order
+        self.first = np.cumsum([1, *grams.sizes])  # the node of each level's gram 0
+        self.level = np.repeat(np.arange(order + 1), [1, *grams.sizes])
+        suffix = [np.zeros(grams.sizes[0], np.int64)]
+        weights = [base]
+        for k, (prefix, _) in enumerate(grams.parts, 1):
+            inside = np.flatnonzero(grams.at[k] >= 0)
+            shorter = np.empty(grams.sizes[k], np.int64)
+            shorter[grams.at[k][inside]] = grams.at[k - 1][inside]
+            weights.append((counts[k] + strength * weights[-1][shorter]) / (counts[k - 1][prefix] + strength))
+            suffix.append(self.first[k - 1] + shorter)
+        self.seen = np.concatenate([[True], np.ones(grams.sizes[0], bool), *(c > 0 for c in counts[1:])])
+        self.weight = np.log10(np.concatenate([[1.0], *weights]))
+        self.failure = np.concatenate([[0], *suffix])
+        count = np.concatenate([[0.0], *counts])
+        self.cost = np.log10(strength / (count + strength))
+        # Where a walk is after an arc: the longest suffix that is a state.
+        state = (count > 0) & (self.level < order)
+        state[0] = True
+        self.settle = np.where(state, np.arange(len(state)), self.failure)
+        while not state[self.settle].all():
+            self.settle = np.where(state[self.settle], self.settle, self.failure[self.settle])
+
+    def walk(self, grams: Grams, lengths: np.ndarray, piece: int = 1024) -> np.ndarray:
+        """The log10 weight of each position.
+
+        All texts step at once, each with the state it carries.  Long ones are walked in
+        pieces; a piece starts in the state of the position before, which depends on the
+        last words alone.
+        """
+        nodes = np.stack([np.where(at >= 0, self.first[k] + at, -1) for k, at in enumerate(grams.at)])
+        begins = np.cumsum(lengths) - lengths
+        parts = -(-lengths // piece)
+        nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        at = np.repeat(begins, parts) + nth * piece
+        left = np.minimum(np.repeat(lengths, parts) - nth * piece, piece)
+        longest = np.argsort(-left, kind="stable")
+        at, left, nth = at[longest], left[longest], nth[longest]
+        state = np.zeros(len(at), np.int64)
+        later = np.flatnonzero(nth > 0)
+        for k in range(self.order):  # the longest gram before the piece that the block holds
+            node = nodes[k, at[later] - 1]
+            state[later] = np.where(node >= 0, node, state[later])
+        state = self.settle[state]
+        out = np.zeros(nodes.shape[1])
+        running = np.searchsorted(-left, -np.arange(piece), side="left")
+        for step in range(int(left[0]) if len(left) else 0):
+            n = running[step]
+            here, own = at[:n] + step, state[:n]
+            weight = np.zeros(n)
+            target = nodes[self.level[own], here]
+            stuck = np.flatnonzero(~self.seen[target])
+            while len(stuck):
+                weight[stuck] += self.cost[own[stuck]]
+                own[stuck] = self.failure[own[stuck]]
+                target[stuck] = nodes[self.level[own[stuck]], here[stuck]]
+                stuck = stuck[~self.seen[target[stuck]]]
+            out[here] = weight + self.weight[target]
+            state[:n] = self.settle[target]
+        return out
+
+
 def _bucket_order(h16: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """(gram numbers bucket by bucket, where each bucket starts)."""
     bucket = (h16.astype(np.int64) * buckets) >> 16
@@ -176,8 +249,8 @@ def lm_scores(
     How it runs: documents are packed into blocks of about `block_bytes` of text.  Each block
     sends its distinct n-grams with their training counts, hashed into buckets of about
     `bucket_bytes`; a bucket adds the counts up and answers each block with the totals of its
-    n-grams alone, in the block's order; the block then walks its documents over the arcs it
-    has received.  So the model is never in one place and no table is broadcast.  A frequent
+    n-grams alone, in the block's order; the block then builds the part of the automaton that
+    its texts can reach and walks them through it.  So the model is never in one place and no table is broadcast.  A frequent
     n-gram costs one entry a block.  Blocks times buckets is the number of exchanged rows, so
     both sizes should grow with the square root of the corpus on larger executors.
 
@@ -260,12 +333,7 @@ def lm_scores(
             counts.append(own)
         base = (counts[0] + 0.5) / (n_train + 0.5 * (n_distinct + 1))
         known = (counts[0] > 0)[grams.at[0]]
-        p = base[grams.at[0]]
-        base_log = np.log10(p)
-        for k in range(1, order):
-            inside = np.flatnonzero(grams.at[k] >= 0)
-            state = counts[k - 1][grams.at[k - 1][inside - 1]]
-            p[inside] = (counts[k][grams.at[k][inside]] + strength * p[inside]) / (state + strength)
+        base_log = np.log10(base)[grams.at[0]]
         starts = np.cumsum(lengths) - lengths
         ids = pa.ipc.open_stream(row["ids"]).read_all().column(0)
         return pa.Table.from_arrays(
@@ -276,7 +344,7 @@ def lm_scores(
                 pa.array(np.add.reduceat(known.astype(np.int64), starts)),
                 pa.array(np.full(len(lengths), n_train, np.int64)),
                 pa.array(np.add.reduceat(base_log, starts)),
-                pa.array(np.add.reduceat(np.log10(p), starts)),
+                pa.array(np.add.reduceat(Automaton(grams, counts, base, strength).walk(grams, lengths), starts)),
             ],
             names=[f.name for f in fields],
         )

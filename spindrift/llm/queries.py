@@ -141,7 +141,7 @@ JOIN (SELECT slot, (t - 1) % 16 AS k FROM turns WHERE t > 0) USING (slot) JOIN s
 
 
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scores(common.read(spark, sf_dir, "documents"))
+    return lm_scores(common.read(spark, sf_dir, "documents"), order=3)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -17,7 +17,7 @@ from hypothesis import strategies as st
 from spindrift.llm import golay
 from spindrift.llm import queries as Q
 from spindrift.llm.components import connected_components
-from spindrift.llm.lm_score import lm_scores, tokens
+from spindrift.llm.lm_score import Automaton, Grams, lm_scores, tokens
 from spindrift.llm.packing import best_fit_decreasing, byte_pair_encoder, pack_tokens
 from spindrift.llm.sharding import assign_shards, lookup_table, write_shards
 from spindrift.llm.simhash import MAX_BITS, _compare, fingerprint, fuzzy_keys, keep_one_of_each, near_duplicates, near_links, stars
@@ -283,6 +283,26 @@ def test_lm_matches_brute_force(spark, edges, order):
         assert a[:5] == b[:5] and a[5] == pytest.approx(b[5]) and a[6] == pytest.approx(b[6])
 
 
+def test_lm_query_scores_trigrams(spark, sf_dir):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    got = {r.doc_id: r.score for r in Q.op10_lm_score(spark, sf_dir).collect()}
+    assert got == pytest.approx({r[0]: r[6] for r in brute_scores(docs, 3, 300.0)})
+
+
+@pytest.mark.parametrize("piece", [3, 1024])
+def test_automaton_fails_to_shorter_contexts(piece):
+    # Training text 0 1 2 0 1 3; the other is 0 1 2 2 3 1, as words of one block.
+    lengths, trained = np.array([6, 6]), np.repeat([True, False], 6)
+    grams = Grams(np.array([0, 1, 2, 0, 1, 3, 0, 1, 2, 2, 3, 1], np.int64), lengths, 4, 3)
+    counts = [np.bincount(at[trained & (at >= 0)], minlength=n).astype(float) for at, n in zip(grams.at, grams.sizes)]
+    base = (counts[0] + 0.5) / 8.5
+    got = 10 ** Automaton(grams, counts, base, 1.0).walk(grams, lengths, piece)[6:]
+    w01 = (2 + base[1]) / 3
+    w012 = (1 + (1 + base[2]) / 3) / 3
+    # State (1 2) has no arc by 2: it fails to (2), that to the root; (2) has none by 3; (3) none by 1.
+    assert got == pytest.approx([base[0], w01, w012, base[2] / 2 / 2, base[3] / 2, base[1] / 2])
+
+
 def test_lm_beats_unigrams_on_held_out_text(spark, sf_dir, no_rows):
     rows = Q.op10_lm_score(spark, sf_dir).filter("held_out").collect()
     assert rows and sum(r.score for r in rows) > sum(r.base_score for r in rows)
