@@ -5,8 +5,9 @@ the identifiers that they linked.  Here the whole batch is matched at once again
 last round created, with ordinals keeping later rows out of sight, until a round changes
 nothing.  A state that repeats itself satisfies the sequential definition for every row, and
 by induction over ordinals there is one such state only; so the result is the sequential
-one.  Rounds follow the longest chain of rows that each change the next, a handful in
-practice, since all rows of a title after its first see that first.
+one.  Each round settles at least the next ordinal, so the rounds end.  They follow the
+longest chain of rows that each change the next, a handful in practice, since all rows of a
+title after its first see that first.  Only the last round's tables are kept.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from ..functions.text import blank_to_null, normalize_identifier, normalize_text
 from ..operators.keyed import first_by, insert_or_ignore, upsert
 from ..operators.nested import child_rows, ordered_children, with_children
 from ..schemas import TRACK
-from ..storage import settled
+from ..storage import discard, settled
 from .matching import confidence, match
 
 KEY = ["provider", "external_release_id", "external_track_id"]
@@ -44,7 +45,7 @@ def fresh_candidates(candidates: DataFrame, tables: dict[str, DataFrame]) -> Dat
     return first_by(candidates, KEY, "ordinal").join(tables["release_candidates"].select(*KEY), KEY, "left_anti").select(*candidates.columns)
 
 
-def decide(candidates: DataFrame, tracks: DataFrame, links: DataFrame, compose: bool = True, max_rounds: int = 50) -> DataFrame:
+def decide(candidates: DataFrame, tracks: DataFrame, links: DataFrame, compose: bool = True) -> DataFrame:
     """Candidates with kind, rule, points, reasons and track_id, as if read in order.
 
     `links` (provider, external_track_id, track_id) are identifiers linked before the batch;
@@ -54,7 +55,7 @@ def decide(candidates: DataFrame, tracks: DataFrame, links: DataFrame, compose:
     tracks = tracks.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in TRACK])
     own_id = derived_id("track", *KEY)
     before, decided = None, None
-    for _ in range(max_rounds):
+    while True:
         seen, known = tracks, links.select("provider", "external_track_id", F.lit(-1).cast("long").alias("at"), "track_id")
         if decided is not None:
             made = decided.filter("kind = 'new'").withColumns({"musicbrainz_recording_id": F.lit(None).cast("string"), "musicbrainz_release_group_id": F.lit(None).cast("string"), "duration_ms": zero_to_null(F.col("duration_ms")), "version": blank_to_null(F.col("version"))})
@@ -71,15 +72,15 @@ def decide(candidates: DataFrame, tracks: DataFrame, links: DataFrame, compose:
             F.when(linked, F.array(F.lit("Provider track identifier is identical"))).otherwise(F.col("reasons")).alias("reasons"),
             F.when(linked, F.col("_link.track_id")).when(F.col("kind") == "new", own_id).otherwise(F.col("track_id")).alias("track_id"),
         )
-        decided = settled(now, "decisions")
+        last, decided = decided, settled(now, "decisions")
+        discard(last)
         after = _changed(decided, "kind", "rule", "points", "track_id")
         if after == before:
             return decided
         before = after
-    raise RuntimeError(f"decisions did not settle in {max_rounds} rounds")
 
 
-def place_in_releases(decided: DataFrame, tables: dict[str, DataFrame], max_rounds: int = 50) -> DataFrame:
+def place_in_releases(decided: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
     """Decisions with release_id (that of the track) and creates_release.
 
     A new track joins the release linked to its provider's release id, else one with its UPC
@@ -90,8 +91,8 @@ def place_in_releases(decided: DataFrame, tables: dict[str, DataFrame], max_roun
     old_tracks = tables["tracks"].select("track_id", F.col("release_id").alias("_of"))
     old_links = tables["release_external_ids"].select("provider", F.col("external_id").alias("external_release_id"), F.lit(-1).cast("long").alias("at"), "release_id")
     old = tables["releases"].select(F.lit(-1).cast("long").alias("at"), "release_id", "upc", "ean")
-    before, now = None, d.select("*", F.when(F.col("kind") == "new", F.col("_own")).alias("release_id"), (F.col("kind") == "new").alias("creates_release"))
-    for _ in range(max_rounds):
+    before, last, now = None, None, d.select("*", F.when(F.col("kind") == "new", F.col("_own")).alias("release_id"), (F.col("kind") == "new").alias("creates_release"))
+    while True:
         made = now.filter("kind = 'new'").select("track_id", F.col("release_id").alias("_of"))
         placed = now.drop("release_id", "creates_release").join(old_tracks.unionByName(made), "track_id", "left")
         links = old_links.unionByName(placed.filter("kind <> 'review' AND _of IS NOT NULL").select("provider", "external_release_id", F.col("ordinal").alias("at"), F.col("_of").alias("release_id")))
@@ -103,11 +104,12 @@ def place_in_releases(decided: DataFrame, tables: dict[str, DataFrame], max_roun
         found = F.coalesce(earlier("_link")["release_id"], F.least(earlier("_by_upc"), earlier("_by_ean"))["release_id"])
         new = F.col("kind") == "new"
         now = settled(out.select(*d.columns, F.when(new, F.coalesce(found, F.col("_own"))).otherwise(F.col("_of")).alias("release_id"), (new & found.isNull()).alias("creates_release")), "releases")
+        discard(last)
+        last = now
         after = _changed(now, "release_id", "creates_release")
         if after == before:
             return now.drop("_upc", "_ean", "_own")
         before = after
-    raise RuntimeError(f"releases did not settle in {max_rounds} rounds")
 
 
 def _json(*columns: str):

@@ -91,6 +91,23 @@ def test_a_batch_equals_the_sequential_version(spark, seed):
     assert {r.ordinal: (r.kind, r.rule, r.points, names.get(r.track_id, r.track_id)) for r in got} == sequential(rows, tracks, {("mock", "t3"): "old-1"})
 
 
+def test_rounds_go_on_until_nothing_changes(spark, monkeypatch):
+    """A chain where each row matches the track of the row before, if that made one, takes a
+    round for every two rows.  Matching is replaced by this one rule, so that rounds are short."""
+
+    def by_previous(candidates, tracks, compose=True):
+        before = tracks.select((F.col("ordinal") + 1).alias("ordinal"), "track_id")
+        joined = candidates.join(F.broadcast(before), "ordinal", "left")
+        hit = F.col("track_id").isNotNull()
+        return joined.select(*candidates.columns, F.when(hit, "automatic").otherwise("new").alias("kind"), F.lit("chain").alias("rule"), F.lit(100).alias("points"), F.array(F.lit("")).alias("reasons"), "track_id")
+
+    monkeypatch.setattr(resolution, "match", by_previous)
+    rows = [candidate(i) for i in range(120)]
+    no_links = spark.createDataFrame([], "provider string, external_track_id string, track_id string")
+    got = resolution.decide(spark.createDataFrame(rows, CANDIDATE).coalesce(1), spark.createDataFrame([], TRACK), no_links).collect()
+    assert sorted(r.ordinal for r in got if r.kind == "new") == list(range(0, 120, 2)) and len(got) == 120
+
+
 def pair(spark, c, t, **more):
     """The decision on one candidate against one track."""
     base = {"title": "Song", "credits": [("A", "primary")], "duration_ms": 200000}
