@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 #: Text bytes that a Python worker handles at once.  It bounds a task's memory; one longer
 #: document makes a slice of its own.
 SLICE_BYTES = 4 << 20
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -66,10 +67,16 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """`df` written to the shared folder and read again: its lineage ends there, and a lost
-    executor costs no recomputation of what came before."""
+    executor costs no recomputation of what came before.  The shuffle files of the written
+    query are deleted when it ends, as nothing can read them again."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

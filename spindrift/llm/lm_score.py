@@ -47,6 +47,20 @@ def _unpack(data: bytes, dtype: type, width: int) -> np.ndarray:
     return out.view(dtype).reshape(-1)
 
 
+def _pack_sorted(keys: np.ndarray) -> bytes:
+    """Rising 64-bit keys, as differences."""
+    return _pack(np.diff(keys, prepend=np.uint64(0)), 8)
+
+
+def _unpack_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(data, np.uint64, 8), dtype=np.uint64)
+
+
+def key_bits(level: int) -> int:
+    """Bits of hash that tell grams apart: all of a word's, 56 of a longer gram's."""
+    return 64 if level == 1 else 56
+
+
 def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """A 64-bit hash of pairs of 64-bit hashes; the order matters."""
     h = (a ^ (a >> np.uint64(29))) * _MIX + b
@@ -54,11 +68,6 @@ def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _mixed16(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    h = a.astype(np.uint32) * np.uint32(40503) + b.astype(np.uint32) * np.uint32(30011) + np.uint32(1)
-    return ((h ^ (h >> np.uint32(13))) & np.uint32(0xFFFF)).astype(np.uint16)
-
-
 class Grams:
     """The distinct n-grams of a block of documents, one level after the other.
 
@@ -83,12 +92,12 @@ class Grams:
             self.sizes.append(len(distinct))
             self.parts.append((distinct // n_words, distinct % n_words))
 
-    def spread(self, words: np.ndarray, mix) -> list[np.ndarray]:
-        """A hash of each gram of each level from the hashes of the words."""
-        out = [words]
+    def keys(self, words: np.ndarray) -> list[np.ndarray]:
+        """The key of each gram of each level, from the hashes of the words."""
+        hashes = [words]
         for prefix, last in self.parts:
-            out.append(mix(out[-1][prefix], words[last]))
-        return out
+            hashes.append(_mixed(hashes[-1][prefix], words[last]))
+        return [h >> np.uint64(64 - key_bits(k)) for k, h in enumerate(hashes, 1)]
 
 
 class Automaton:
@@ -96,31 +105,36 @@ class Automaton:
 
     Nodes are the block's grams, level after level, and node 0 is the root, the empty
     context.  A node seen in training is the target of an arc from its prefix by its last
-    word, with a log10 weight; one shorter than `order` is also a state, with a failure arc
+    word, with a log10 weight; one shorter than the order is also a state, with a failure arc
     to its suffix at a log10 cost.  The root has an arc for every word.
+
+    `counts` and `follow` list, level by level, the training count of each gram and the
+    number of different words seen after it; `discounts` are those of levels 2 and up.
     """
 
-    def __init__(self, grams: Grams, counts: list[np.ndarray], base: np.ndarray, strength: float):
+    def __init__(self, grams: Grams, counts: list[np.ndarray], follow: list[np.ndarray], base: np.ndarray, discounts: list[float]):
         order = len(counts)
         self.order = order
         self.first = np.cumsum([1, *grams.sizes])  # the node of each level's gram 0
         self.level = np.repeat(np.arange(order + 1), [1, *grams.sizes])
         suffix = [np.zeros(grams.sizes[0], np.int64)]
         weights = [base]
+        failing = [np.ones(1)]  # the share of each node's mass that goes along its failure arc
         for k, (prefix, _) in enumerate(grams.parts, 1):
             inside = np.flatnonzero(grams.at[k] >= 0)
             shorter = np.empty(grams.sizes[k], np.int64)
             shorter[grams.at[k][inside]] = grams.at[k - 1][inside]
-            weights.append((counts[k] + strength * weights[-1][shorter]) / (counts[k - 1][prefix] + strength))
+            share = discounts[k - 1] * follow[k - 1] / np.maximum(counts[k - 1], 1)
+            weights.append(np.maximum(counts[k] - discounts[k - 1], 0) / np.maximum(counts[k - 1][prefix], 1) + share[prefix] * weights[-1][shorter])
             suffix.append(self.first[k - 1] + shorter)
+            failing.append(share)
+        failing.append(np.ones(grams.sizes[-1]))
         self.seen = np.concatenate([[True], np.ones(grams.sizes[0], bool), *(c > 0 for c in counts[1:])])
-        self.weight = np.log10(np.concatenate([[1.0], *weights]))
+        # Nothing follows an end: its context has no mass, and no walk leaves from it.
+        self.weight, self.cost = (np.log10(x, out=np.zeros(len(x)), where=x > 0) for x in map(np.concatenate, ([np.ones(1), *weights], failing)))
         self.failure = np.concatenate([[0], *suffix])
-        count = np.concatenate([[0.0], *counts])
-        self.cost = np.log10(strength / (count + strength))
         # Where a walk is after an arc: the longest suffix that is a state.
-        state = (count > 0) & (self.level < order)
-        state[0] = True
+        state = (np.concatenate([[1.0], *follow, np.zeros(grams.sizes[-1])]) > 0) & (self.level < order)
         self.settle = np.where(state, np.arange(len(state)), self.failure)
         while not state[self.settle].all():
             self.settle = np.where(state[self.settle], self.settle, self.failure[self.settle])
@@ -164,16 +178,7 @@ class Automaton:
         return out
 
 
-def _bucket_order(h16: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """(gram numbers bucket by bucket, where each bucket starts)."""
-    bucket = (h16.astype(np.int64) * buckets) >> 16
-    order = np.argsort(bucket, kind="stable")
-    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
-
-
-_BLOCK = "block long, n_docs long, n_tokens long, tokens binary, lengths binary, train binary, spread binary, words binary, ids binary"
-#: Bytes kept of a hash: all of a word's, six of a longer gram's beside its bucket's bits.
-_WIDTH = {1: 8}
+_BLOCK = "block long, n_docs long, n_tokens long, tokens binary, lengths binary, train binary, words binary, ids binary"
 
 
 def _blocks(docs: DataFrame, block_bytes: int, folds: int, fold: int) -> DataFrame:
@@ -181,8 +186,6 @@ def _blocks(docs: DataFrame, block_bytes: int, folds: int, fold: int) -> DataFra
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
-        held: list[pa.RecordBatch] = []
-
         for batch in slices(batches, block_bytes):
             vocabulary: dict[bytes, int] = {}
             lengths, coded = [], []
@@ -191,11 +194,14 @@ def _blocks(docs: DataFrame, block_bytes: int, folds: int, fold: int) -> DataFra
                 lengths.append(len(own))
                 coded.append(np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in own), np.int32, len(own)))
             words = np.fromiter((xxhash.xxh64_intdigest(w) for w in vocabulary), np.uint64, len(vocabulary))
+            by_hash = np.argsort(words, kind="stable")
+            number_of = np.empty(len(words), np.int32)
+            number_of[by_hash] = np.arange(len(words))
             train = np.array([not is_held_out(i, folds, fold) for i in batch.column(0).to_pylist()], np.uint8)
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, pa.schema([("id", batch.schema.field(0).type)])) as writer:
                 writer.write_batch(pa.RecordBatch.from_arrays([pa.array(batch.column(0).to_pylist(), batch.schema.field(0).type)], names=["id"]))
-            sequence = np.concatenate(coded)
+            sequence = number_of[np.concatenate(coded)]
             yield pa.RecordBatch.from_pydict(
                 {
                     "block": [number],
@@ -204,31 +210,92 @@ def _blocks(docs: DataFrame, block_bytes: int, folds: int, fold: int) -> DataFra
                     "tokens": [_pack(sequence, 4)],
                     "lengths": [_pack(np.array(lengths, np.int32), 4)],
                     "train": [train.tobytes()],
-                    "spread": [_pack((words >> np.uint64(48)).astype(np.uint16), 2)],
-                    "words": [words.tobytes()],
+                    "words": [_pack_sorted(words[by_hash])],
                     "ids": [sink.getvalue().to_pybytes()],
                 },
                 schema=schema,
             )
             number += 1
 
-    schema = pa.schema([(n, pa.int64()) for n in ("block", "n_docs", "n_tokens")] + [(n, pa.binary()) for n in ("tokens", "lengths", "train", "spread", "words", "ids")])
+    schema = pa.schema([(n, pa.int64()) for n in ("block", "n_docs", "n_tokens")] + [(n, pa.binary()) for n in ("tokens", "lengths", "train", "words", "ids")])
     return docs.mapInArrow(build, _BLOCK)
 
 
-def _open(row: dict, order: int) -> tuple[Grams, np.ndarray, np.ndarray, np.ndarray]:
+def _open(row: dict, order: int) -> tuple[Grams, np.ndarray, np.ndarray]:
     lengths = _unpack(row["lengths"], np.int32, 4).astype(np.int64)
-    spread = _unpack(row["spread"], np.uint16, 2)
-    grams = Grams(_unpack(row["tokens"], np.int32, 4).astype(np.int64), lengths, len(spread), order)
-    return grams, lengths, spread, np.frombuffer(row["train"], np.uint8).astype(bool)
+    words = _unpack_sorted(row["words"])
+    return Grams(_unpack(row["tokens"], np.int32, 4).astype(np.int64), lengths, len(words), order), lengths, words
+
+
+def _in_order(rows: list[dict], keys: np.ndarray, column: str, dtype: type) -> np.ndarray:
+    """Answers of all buckets to one level of a block, by gram number."""
+    out = np.zeros(len(keys), dtype)
+    if len(keys):
+        out[np.argsort(keys, kind="stable")] = np.concatenate([_unpack(r[column], dtype, np.dtype(dtype).itemsize) for r in sorted(rows, key=lambda r: r["bucket"])])
+    return out
+
+
+_MESSAGE = [("bucket", pa.int64()), ("block", pa.int64()), *((n, pa.binary()) for n in ("keys", "counts", "follow"))]
+_ANSWER = [("block", pa.int64()), ("bucket", pa.int64()), ("level", pa.int32()), *((n, pa.binary()) for n in ("totals", "follow", "own")), *((n, pa.int64()) for n in ("n", "v", "n1", "n2"))]
+
+
+def _messages(row: dict, above: list[dict], level: int, order: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """A block's grams of one level, bucket by bucket in key order: keys, training counts
+    and, with the answers `above` of the next level, how many different words follow."""
+    grams, lengths, words = _open(row, min(level + 1, order))
+    trained = np.repeat(np.frombuffer(row["train"], np.uint8).astype(bool), lengths)
+    keys = grams.keys(words)
+    at = grams.at[level - 1]
+    counts = np.bincount(at[trained & (at >= 0)], minlength=grams.sizes[level - 1]).astype(np.uint32)
+    follow = np.zeros(len(counts), np.uint32)
+    if level < order:
+        # Each gram in training is owned by one block, which counts it for its context.
+        owned = _in_order(above, keys[level], "own", np.uint8) > 0
+        follow = np.bincount(grams.parts[level - 1][0][owned], minlength=len(counts)).astype(np.uint32)
+    ordered = np.argsort(keys[level - 1], kind="stable")
+    keys, counts, follow = keys[level - 1][ordered], counts[ordered], follow[ordered]
+    span = 1 << key_bits(level)
+    bounds = np.array([-(-b * span // buckets) for b in range(buckets)], np.uint64)
+    starts = np.append(np.searchsorted(keys, bounds), len(keys))
+    filled = np.flatnonzero(np.diff(starts)).tolist()
+    for first in range(0, len(filled), 64):
+        out: dict[str, list] = {n: [] for n, _ in _MESSAGE}
+        for b in filled[first : first + 64]:
+            s, e = starts[b], starts[b + 1]
+            for n, v in zip(out, (b, row["block"], _pack_sorted(keys[s:e]), _pack(counts[s:e], 4), _pack(follow[s:e], 4))):
+                out[n].append(v)
+        yield pa.RecordBatch.from_pydict(out, schema=pa.schema(_MESSAGE))
+
+
+def _add_up(table: pa.Table, level: int) -> pa.Table:
+    """Totals of the keys of one bucket for each block that sent them, in its order, and the
+    bucket's own sums as a row without a block."""
+    rows = table.to_pylist()
+    keys = [_unpack_sorted(r["keys"]) for r in rows]
+    ends = np.cumsum([len(k) for k in keys])[:-1]
+    distinct, number = np.unique(np.concatenate(keys), return_inverse=True)
+    counts = np.concatenate([_unpack(r["counts"], np.uint32, 4) for r in rows])
+    sums = np.bincount(number, weights=counts, minlength=len(distinct)).astype(np.uint64)
+    follow = np.bincount(number, weights=np.concatenate([_unpack(r["follow"], np.uint32, 4) for r in rows]), minlength=len(distinct)).astype(np.uint64)
+    trained = np.flatnonzero(counts)
+    own = np.zeros(len(number), np.uint8)
+    own[trained[np.unique(number[trained], return_index=True)[1]]] = 1
+    bucket = rows[0]["bucket"]
+    out: dict[str, list] = {n: [] for n, _ in _ANSWER}
+    for r, *values in zip(rows, *(np.split(x, ends) for x in (sums[number], follow[number], own))):
+        packed = [_pack(v, v.dtype.itemsize) for v in values]
+        for n, v in zip(out, (r["block"], bucket, level, *packed, None, None, None, None)):
+            out[n].append(v)
+    for n, v in zip(out, (None, bucket, level, None, None, None, int(sums.sum()), *(int(x) for x in ((sums > 0).sum(), (sums == 1).sum(), (sums == 2).sum())))):
+        out[n].append(v)
+    return pa.Table.from_pydict(out, schema=pa.schema(_ANSWER))
 
 
 def lm_scores(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    order: int = 2,
-    strength: float = 300.0,
+    order: int = 3,
     folds: int = 5,
     fold: int = 1,
     block_bytes: int = 8 << 20,
@@ -239,78 +306,75 @@ def lm_scores(
     Returns the id column, held_out, n_tokens, n_known, train_tokens, base_score (unigrams
     with half a count added) and score.
 
-    The model: the probability of a word w after a context h of up to `order` - 1 words is
-    (c(h w) + strength * p(w | h')) / (c(h) + strength), h' being h without its first word;
-    without context it is the base probability.  Read as an automaton, each context seen in
-    training is a state; a seen n-gram is an arc with the weight above, and the failure arc
-    to h' costs strength / (c(h) + strength).  A text is one walk from the root, whose log10
-    weights add up to its score.  Every n-gram of the training texts is counted.
-
-    How it runs: documents are packed into blocks of about `block_bytes` of text.  Each block
-    sends its distinct n-grams with their training counts, hashed into buckets of about
-    `bucket_bytes`; a bucket adds the counts up and answers each block with the totals of its
-    n-grams alone, in the block's order; the block then builds the part of the automaton that
-    its texts can reach and walks them through it.  So the model is never in one place and no table is broadcast.  A frequent
-    n-gram costs one entry a block.  Blocks times buckets is the number of exchanged rows, so
-    both sizes should grow with the square root of the corpus on larger executors.
-
-    Words are compared by a 64-bit hash, longer n-grams by 48 bits beside their bucket's.
-
-    Null texts are empty: the end alone.  A null id counts as the empty text for the fold.
-    Repeated rows are scored, and counted, each by itself; with no training document every
-    probability is that of an empty count; an empty table gives an empty result; other
-    columns are ignored.
+    The model: n-grams up to `order` words with absolute discounting.  The probability of a
+    word w after a context h seen in training is
+    (max(c(h w) - D, 0) + D * t(h) * p(w | h')) / c(h), t(h) being the number of different
+    words seen after h and h' being h without its first word; after an unseen context it is
+    p(w | h'), and without context it is the base probability.  The discount D of each length
+    is fitted to the counts, n1 / (n1 + 2 n2) from the n-grams seen once and twice (with half
+    an n-gram added to n1, so that it lies between 0 and 1).
+
+    As an automaton: each context seen in training is a state; a seen n-gram is an arc with
+    the weight above, and the failure arc to h' costs D * t(h) / c(h).  A text is one walk
+    from the root that carries its state, and its log10 weights add up to the score.  Every
+    n-gram of the training texts is counted.
+
+    How it runs: documents are packed into blocks of about `block_bytes` of text.  Longest
+    n-grams first, each block sends its distinct n-grams with their training counts, dealt by
+    ranges of a hash into buckets of about `bucket_bytes`; a bucket adds the counts up and
+    answers each block for its n-grams alone, in the block's order, naming one block the
+    owner of each n-gram.  Owners count the words after each context, which go with the next
+    shorter n-grams.  Each block then builds the part of the automaton that its texts can
+    reach and walks them through it.  So the model is never in one place and no table is
+    broadcast; a frequent n-gram costs one entry a block.  There is no limit to the buckets,
+    so that a task's memory is the same for any corpus; blocks times buckets is the number
+    of rows exchanged, so both sizes should grow with the square root of a corpus of many
+    terabytes, on larger executors.
+
+    Words are told apart by a 64-bit hash, longer n-grams by 56 bits.
+
+    Null texts are empty: the end alone.  A null id counts as the empty text for the fold.  A
+    text longer than a block makes a block of its own.  Repeated rows are scored, and counted,
+    each by itself; with no training document every probability is that of an empty count; an
+    empty table gives an empty result; other columns are ignored.
     """
     source = keyed_text(docs, id_col, text_col)
     blocks = stored(_blocks(source, block_bytes, folds, fold), "lm-blocks")
     total = blocks.agg(F.sum("n_tokens")).first()[0] or 0
-    buckets = int(min(1 << 14, max(16, -(-total * 6 * order // bucket_bytes))))
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                grams, lengths, spread, train = _open(row, order)
-                trained = np.repeat(train, lengths)
-                hashes = grams.spread(np.frombuffer(row["words"], np.uint64), _mixed)
-                out: dict[str, list] = {n: [] for n in ("bucket", "block", "level", "keys", "counts")}
-                for k, (at, size, h16) in enumerate(zip(grams.at, grams.sizes, grams.spread(spread, _mixed16))):
-                    counts = np.bincount(at[trained & (at >= 0)], minlength=size).astype(np.uint32)
-                    numbers, starts = _bucket_order(h16, buckets)
-                    keys, counts = hashes[k][numbers], counts[numbers]
-                    for b in range(buckets):
-                        s, e = starts[b], starts[b + 1]
-                        if e > s:
-                            for n, v in zip(out, (b, row["block"], k + 1, _pack(keys[s:e], _WIDTH.get(k + 1, 6)), _pack(counts[s:e], 4))):
-                                out[n].append(v)
-                for s in range(0, len(out["block"]), 64):
-                    yield pa.RecordBatch.from_pydict({n: v[s : s + 64] for n, v in out.items()}, schema=sent)
-
-    sent = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("level", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
-
-    def add_up(table: pa.Table) -> pa.Table:
-        out: dict[str, list] = {n: [] for n in ("block", "bucket", "level", "totals", "n", "v")}
-        levels = np.array(table.column("level").to_pylist())
-        bucket = table.column("bucket")[0].as_py()
-        for level in np.unique(levels).tolist():
-            rows = np.flatnonzero(levels == level)
-            keys = [_unpack(table.column("keys")[int(r)].as_py(), np.uint64, _WIDTH.get(level, 6)) for r in rows]
-            counts = [_unpack(table.column("counts")[int(r)].as_py(), np.uint32, 4) for r in rows]
-            distinct, number = np.unique(np.concatenate(keys), return_inverse=True)
-            sums = np.bincount(number, weights=np.concatenate(counts), minlength=len(distinct))
-            ends = np.cumsum([len(k) for k in keys])
-            for r, own in zip(rows, np.split(sums[number], ends[:-1])):
-                for n, v in zip(out, (table.column("block")[int(r)].as_py(), bucket, level, _pack(own.astype(np.uint64), 8), None, None)):
-                    out[n].append(v)
-            if level == 1:
-                for n, v in zip(out, (None, bucket, level, None, int(sums.sum()), int((sums > 0).sum()))):
-                    out[n].append(v)
-        return pa.Table.from_pydict(out, schema=answered)
-
-    answered = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("level", pa.int32()), ("totals", pa.binary()), ("n", pa.int64()), ("v", pa.int64())])
-    messages = blocks.select("block", "tokens", "lengths", "train", "spread", "words").mapInArrow(send, "bucket int, block long, level int, keys binary, counts binary")
-    answers = stored(messages.groupBy("bucket").applyInArrow(add_up, "block long, bucket int, level int, totals binary, n long, v long"), "lm-totals")
-    known = answers.filter("block IS NULL").agg(F.sum("n"), F.sum("v")).first()
-    n_train, n_distinct = known[0] or 0, known[1] or 0
+    buckets = max(16, -(-total * 6 // bucket_bytes))
+    sent = "bucket long, block long, keys binary, counts binary, follow binary"
+    answered = "block long, bucket long, level int, totals binary, follow binary, own binary, n long, v long, n1 long, n2 long"
+    shown = blocks.select("block", "tokens", "lengths", "train", "words")
+
+    def exchange(level: int, above: DataFrame | None) -> DataFrame:
+        def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    yield from _messages(row, [], level, order, buckets)
+
+        def later(block: pa.Table, above: pa.Table) -> pa.Table:
+            return pa.Table.from_batches(_messages(block.to_pylist()[0], above.to_pylist(), level, order, buckets), pa.schema(_MESSAGE))
+
+        def add_up(table: pa.Table) -> pa.Table:
+            return _add_up(table, level)
+
+        if above is None:
+            messages = shown.mapInArrow(first, sent)
+        else:
+            owned = above.filter("block IS NOT NULL").select("block", "bucket", "own")
+            messages = shown.groupBy("block").cogroup(owned.groupBy("block")).applyInArrow(later, sent)
+        return stored(messages.groupBy("bucket").applyInArrow(add_up, answered), "lm-totals")
+
+    answers: list[DataFrame] = []
+    for level in range(order, 0, -1):
+        answers.append(exchange(level, answers[-1] if answers else None))
+
+    everything = answers[0]
+    for more in answers[1:]:
+        everything = everything.unionByName(more)
+    sums = {r.level: r for r in everything.filter("block IS NULL").groupBy("level").agg(*(F.sum(c).alias(c) for c in ("n", "v", "n1", "n2"))).collect()}
+    n_train, n_distinct = (sums[1].n, sums[1].v) if sums else (0, 0)
+    discounts = [(sums[k].n1 + 0.5) / (sums[k].n1 + 2 * sums[k].n2 + 1) if k in sums else 0.5 for k in range(2, order + 1)]
 
     fields = [
         source.schema[0],
@@ -321,34 +385,30 @@ def lm_scores(
 
     def walk(block: pa.Table, totals: pa.Table) -> pa.Table:
         row = block.to_pylist()[0]
-        grams, lengths, spread, train = _open(row, order)
-        got = {(r["level"], r["bucket"]): r["totals"] for r in totals.to_pylist()}
-        counts = []
-        for k, (size, h16) in enumerate(zip(grams.sizes, grams.spread(spread, _mixed16))):
-            numbers, starts = _bucket_order(h16, buckets)
-            own = np.zeros(size)
-            for b in range(buckets):
-                if starts[b + 1] > starts[b]:
-                    own[numbers[starts[b] : starts[b + 1]]] = _unpack(got[k + 1, b], np.uint64, 8)
-            counts.append(own)
+        grams, lengths, words = _open(row, order)
+        got: dict[int, list[dict]] = {}
+        for r in totals.to_pylist():
+            got.setdefault(r["level"], []).append(r)
+        keys = grams.keys(words)
+        counts = [_in_order(got.get(k, []), keys[k - 1], "totals", np.uint64).astype(float) for k in range(1, order + 1)]
+        follow = [_in_order(got.get(k, []), keys[k - 1], "follow", np.uint64).astype(float) for k in range(1, order)]
         base = (counts[0] + 0.5) / (n_train + 0.5 * (n_distinct + 1))
         known = (counts[0] > 0)[grams.at[0]]
-        base_log = np.log10(base)[grams.at[0]]
         starts = np.cumsum(lengths) - lengths
-        ids = pa.ipc.open_stream(row["ids"]).read_all().column(0)
+        train = np.frombuffer(row["train"], np.uint8).astype(bool)
         return pa.Table.from_arrays(
             [
-                ids,
+                pa.ipc.open_stream(row["ids"]).read_all().column(0),
                 pa.array(~train),
                 pa.array(lengths),
                 pa.array(np.add.reduceat(known.astype(np.int64), starts)),
                 pa.array(np.full(len(lengths), n_train, np.int64)),
-                pa.array(np.add.reduceat(base_log, starts)),
-                pa.array(np.add.reduceat(Automaton(grams, counts, base, strength).walk(grams, lengths), starts)),
+                pa.array(np.add.reduceat(np.log10(base)[grams.at[0]], starts)),
+                pa.array(np.add.reduceat(Automaton(grams, counts, follow, base, discounts).walk(grams, lengths), starts)),
             ],
             names=[f.name for f in fields],
         )
 
-    packed = blocks.select("block", "tokens", "lengths", "train", "spread", "ids")
-    answers = answers.filter("block IS NOT NULL").select("block", "bucket", "level", "totals")
-    return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(walk, T.StructType(fields))
+    packed = blocks.select("block", "tokens", "lengths", "train", "words", "ids")
+    totals = everything.filter("block IS NOT NULL").select("block", "bucket", "level", "totals", "follow")
+    return packed.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(walk, T.StructType(fields))

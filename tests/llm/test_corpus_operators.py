@@ -248,15 +248,22 @@ def test_sharding_edges(spark, edges, no_rows, tmp_path):
 # -- language model ------------------------------------------------------------------------
 
 
-def brute_scores(docs, order, strength):
+def brute_model(docs, order):
+    """(counts, words after each context, discounts, tokens, distinct words) of training."""
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1
     counts = Counter()
     for i, t in docs:
         if not held(i):
             w = tokens((t or "").encode())
             counts.update(tuple(w[s : s + k]) for k in range(1, order + 1) for s in range(len(w) - k + 1))
-    n = sum(c for g, c in counts.items() if len(g) == 1)
-    v = sum(1 for g in counts if len(g) == 1)
+    follow = Counter(g[:-1] for g in counts)
+    times = lambda k, m: sum(1 for g, c in counts.items() if len(g) == k and c == m)
+    discount = {k: (times(k, 1) + 0.5) / (times(k, 1) + 2 * times(k, 2) + 1) for k in range(2, order + 1)}
+    return held, counts, follow, discount, sum(c for g, c in counts.items() if len(g) == 1), sum(1 for g in counts if len(g) == 1)
+
+
+def brute_scores(docs, order):
+    held, counts, follow, discount, n, v = brute_model(docs, order)
     out = []
     for i, t in docs:
         w = tokens((t or "").encode())
@@ -267,7 +274,8 @@ def brute_scores(docs, order, strength):
             known += counts[(w[j],)] > 0
             for k in range(1, min(order, j + 1)):
                 h = tuple(w[j - k : j])
-                p = (counts[(*h, w[j])] + strength * p) / (counts[h] + strength)
+                if counts[h]:
+                    p = (max(counts[(*h, w[j])] - discount[k + 1], 0) + discount[k + 1] * follow[h] * p) / counts[h]
             score += math.log10(p)
         out.append((i, held(i), len(w), known, n, base, score))
     return out
@@ -277,16 +285,17 @@ def brute_scores(docs, order, strength):
 def test_lm_matches_brute_force(spark, edges, order):
     random.seed(order)
     docs = [(k, " ".join(random.choice("the a of X y z".split()) for _ in range(random.randint(0, 30)))) for k in range(60)] + EDGES
-    got = lm_scores(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), order=order, strength=7.0, block_bytes=2000).collect()
+    got = lm_scores(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), order=order, block_bytes=2000, bucket_bytes=500).collect()
     key = lambda r: (repr(r[0]), r[2], round(r[6], 6))
-    for a, b in zip(sorted(map(tuple, got), key=key), sorted(brute_scores(docs, order, 7.0), key=key), strict=True):
+    for a, b in zip(sorted(map(tuple, got), key=key), sorted(brute_scores(docs, order), key=key), strict=True):
         assert a[:5] == b[:5] and a[5] == pytest.approx(b[5]) and a[6] == pytest.approx(b[6])
 
 
-def test_lm_query_scores_trigrams(spark, sf_dir):
+def test_lm_query_matches_brute_force(spark, sf_dir):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
-    got = {r.doc_id: r.score for r in Q.op10_lm_score(spark, sf_dir).collect()}
-    assert got == pytest.approx({r[0]: r[6] for r in brute_scores(docs, 3, 300.0)})
+    got = {r.doc_id: tuple(r) for r in Q.op10_lm_score(spark, sf_dir).collect()}
+    for want in brute_scores(docs, 3):
+        assert got[want[0]][:5] == want[:5] and got[want[0]][5:] == pytest.approx(want[5:])
 
 
 @pytest.mark.parametrize("piece", [3, 1024])
@@ -295,12 +304,28 @@ def test_automaton_fails_to_shorter_contexts(piece):
     lengths, trained = np.array([6, 6]), np.repeat([True, False], 6)
     grams = Grams(np.array([0, 1, 2, 0, 1, 3, 0, 1, 2, 2, 3, 1], np.int64), lengths, 4, 3)
     counts = [np.bincount(at[trained & (at >= 0)], minlength=n).astype(float) for at, n in zip(grams.at, grams.sizes)]
+    follow = [np.bincount(prefix[c > 0], minlength=n).astype(float) for (prefix, _), c, n in zip(grams.parts, counts[1:], grams.sizes)]
+    assert follow[0].tolist() == [1, 2, 1, 0]
     base = (counts[0] + 0.5) / 8.5
-    got = 10 ** Automaton(grams, counts, base, 1.0).walk(grams, lengths, piece)[6:]
-    w01 = (2 + base[1]) / 3
-    w012 = (1 + (1 + base[2]) / 3) / 3
-    # State (1 2) has no arc by 2: it fails to (2), that to the root; (2) has none by 3; (3) none by 1.
-    assert got == pytest.approx([base[0], w01, w012, base[2] / 2 / 2, base[3] / 2, base[1] / 2])
+    got = 10 ** Automaton(grams, counts, follow, base, [0.25, 0.5]).walk(grams, lengths, piece)[6:]
+    w01 = (1.75 + 0.25 * base[1]) / 2
+    w12 = (0.75 + 0.25 * 2 * base[2]) / 2
+    w012 = (0.5 + 0.5 * 2 * w12) / 2
+    # State (1 2) has no arc by 2: it fails to (2), that to the root; (2) has none by 3.  Nothing
+    # follows 3 in training, so the walk is at the root after it.
+    assert got == pytest.approx([base[0], w01, w012, 0.5 * 0.25 * base[2], 0.25 * base[3], base[1]])
+
+
+def test_documents_that_occur_twice_score_apart(spark):
+    random.seed(11)
+    words = [f"w{k}" for k in range(200)]
+    once = [(k, " ".join(random.choices(words, k=60))) for k in range(300)]
+    twice = [(1000 + k, once[k][1]) for k in range(0, 300, 10)]
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    per_token = {r.doc_id: r.score / r.n_tokens for r in lm_scores(spark.createDataFrame(once + twice, "doc_id long, text string")).collect()}
+    copied = [per_token[k] for k, _ in once if k % 10 == 0 and not held(k) and not held(1000 + k)]
+    single = [per_token[k] for k, _ in once if k % 10 and not held(k)]
+    assert min(copied) > max(single)
 
 
 def test_lm_beats_unigrams_on_held_out_text(spark, sf_dir, no_rows):
@@ -312,14 +337,24 @@ def test_lm_beats_unigrams_on_held_out_text(spark, sf_dir, no_rows):
 def test_words_of_one_history_sum_to_one(spark):
     """Probabilities of all next tokens, the unseen one included, add up to one."""
     docs = [(2, "a b a c a b"), (3, "b a"), (4, "c")]
-    vocabulary = [b"a", b"b", b"c", b" "]
-    probe = [(10_000 + k, f"a {w.decode()}") for k, w in enumerate([b"a", b"b", b"c", b"unseen"])]
     held = [i for i in range(10_000, 10_400) if zlib.crc32(str(i).encode()) % 5 == 1]
-    probe = [(i, t) for i, (_, t) in zip(held, probe)] + [(held[5], "a")]
-    rows = {r.doc_id: r for r in lm_scores(spark.createDataFrame(docs + probe, "doc_id long, text string"), strength=3.0).collect()}
-    brute = {r[0]: r for r in brute_scores(docs + probe, 2, 3.0)}
-    assert all(rows[i].score == pytest.approx(brute[i][6]) for i, _ in probe)
-    assert len(vocabulary) == 4
+    probe = [(i, f"b a {w}") for i, w in zip(held, ["a", "b", "c", "unseen"])] + [(held[5], "b a"), (held[6], "b")]
+    got = {r.doc_id: r.score for r in lm_scores(spark.createDataFrame(docs + probe, "doc_id long, text string"), order=3).collect()}
+    want = {r[0]: r[6] for r in brute_scores(docs + probe, 3)}
+    assert got == pytest.approx(want)
+    # Shares of "b a x" followed by the end, and of "b a" at its end, given "b a".
+    _, counts, follow, discount, n, v = brute_model(docs, 3)
+
+    def p(w, h):
+        if not h:
+            return (counts[(w,)] + 0.5) / (n + 0.5 * (v + 1))
+        if not counts[h]:
+            return p(w, h[1:])
+        k = len(h) + 1
+        return (max(counts[(*h, w)] - discount[k], 0) + discount[k] * follow[h] * p(w, h[1:])) / counts[h]
+
+    for h in [(), (b"a",), (b"b", b"a"), (b"c",), (b"a", b"b")]:
+        assert sum(p(w, h) for w in (b"a", b"b", b"c", b" ", b"unseen")) == pytest.approx(1)
 
 
 # -- SQL and the pipeline ------------------------------------------------------------------
