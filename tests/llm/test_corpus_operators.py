@@ -165,6 +165,36 @@ def test_removal_matches_brute_force(spark, lead, large):
     assert rows == brute_removal([(d, (t or "").encode()) for d, t in docs], 40)
 
 
+def brute_passages(docs, size):
+    """Words covered by a string of `size` words that also starts elsewhere."""
+    coded = [(d, (t or "").encode().split()) for d, t in docs]
+    times = Counter(tuple(w[i : i + size]) for _, w in coded for i in range(len(w) - size + 1))
+    return sorted(((d, len({j for i in range(len(w) - size + 1) if times[tuple(w[i : i + size])] > 1 for j in range(i, i + size)})) for d, w in coded), key=repr)
+
+
+@pytest.mark.parametrize("large", [1000, 2])
+def test_passages_of_words_match_brute_force(spark, large):
+    random.seed(5)
+    words = [f"w{k}" for k in range(40)]
+    text = lambda n: [random.choice(words) for _ in range(n)]
+    pool = [text(random.randint(8, 30)) for _ in range(6)]
+    docs = [(k, " ".join(sum((random.choice([text(random.randint(0, 9)), random.choice(pool)]) for _ in range(random.randint(0, 6))), []))) for k in range(90)]
+    docs += [(200, None), (201, " \n\t "), (202, "x " * 30), (203, docs[4][1].replace(" ", "\n"))]
+    got = repeated_strings(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), words=10, lead_words=3, block_bytes=2000, large_group=large)
+    rows = sorted(((r.doc_id, sum(p.end - p.start for p in r.passages)) for r in got.collect()), key=repr)
+    assert rows == brute_passages(docs, 10) and any(n for _, n in rows)
+
+
+def test_suffix_query_matches_brute_force(spark, sf_dir):
+    """The 400-byte window and the passages of over 50 words on a whole table."""
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    got = {r.doc_id: r for r in Q.op7_suffix_dedup(spark, sf_dir).collect()}
+    for d, n, spans, kept in brute_removal([(d, (t or "").encode()) for d, t in docs], 400):
+        r = got[d]
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (n, n - len(kept), spans, hashlib.sha256(kept).hexdigest())
+    assert {d: r.n_passage_words for d, r in got.items()} == dict(brute_passages(docs, 51))
+
+
 def test_long_documents_and_edges(edges, no_rows):
     rows = {r.doc_id: r for r in repeated_strings(edges).collect()}
     assert repeated_strings(edges).count() == len(EDGES) and repeated_strings(no_rows).count() == 0
