@@ -423,7 +423,7 @@ def repeated_strings(
     return blocks.select("block", "ids", "lengths", "words", "text").groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(cut, T.StructType(fields))
 
 
-def _parts(raw: np.ndarray, lengths: np.ndarray, window: int, most: int = 2 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _parts(raw: np.ndarray, lengths: np.ndarray, window: int, most: int = 1 << 19) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(offset, symbols, document lengths) pieces of about `most` symbols that together hold
     every window of each document once; a longer document comes in overlapping pieces."""
     ends = np.cumsum(lengths)
