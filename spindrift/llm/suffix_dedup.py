@@ -42,9 +42,9 @@ def _unzip(data: bytes, dtype: type = np.uint8) -> np.ndarray:
 
 
 def word_symbols(text: bytes) -> np.ndarray:
-    """The words of a text as 64-bit hashes."""
+    """The words of a text as 32-bit hashes; a passage is told apart by all of its words'."""
     words = text.split()
-    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    return np.fromiter(map(xxhash.xxh32_intdigest, words), np.uint32, len(words))
 
 
 def equal_windows(data: np.ndarray, starts: np.ndarray, groups: np.ndarray, window: int) -> np.ndarray:
@@ -115,7 +115,8 @@ class Runs:
     often a context occurs in the block.
     """
 
-    FIELDS = ("places", "context", "lead", "leads", "contexts", "times")
+    PLACED = (("places", np.int64), ("context", np.int32), ("lead", np.int32))
+    HASHED = (("lead", np.int32), ("leads", np.uint64), ("contexts", np.uint64), ("times", np.uint32))
 
     def __init__(self, raw: np.ndarray, lengths: np.ndarray, layer: Layer):
         places, leads, digests = [np.zeros((0, 3), np.int64)], [np.zeros(0, np.uint64)], [b""]
@@ -142,18 +143,19 @@ class Runs:
         self.leads, lead = np.unique(np.concatenate(leads)[order[fresh]], return_inverse=True)
         self.lead = lead.astype(np.int32)
 
-    def packed(self) -> bytes:
-        parts = [_zip(np.ascontiguousarray(getattr(self, n).T)) for n in self.FIELDS]
+    def packed(self, fields: tuple) -> bytes:
+        parts = [_zip(np.ascontiguousarray(getattr(self, n).T)) for n, _ in fields]
         return np.array([len(p) for p in parts], np.int64).tobytes() + b"".join(parts)
 
     @classmethod
-    def unpacked(cls, data: bytes) -> Runs:
-        out, at = cls.__new__(cls), 8 * len(cls.FIELDS)
-        for name, n, dtype in zip(cls.FIELDS, np.frombuffer(data, np.int64, len(cls.FIELDS)).tolist(), (np.int64, np.int32, np.int32, np.uint64, np.uint64, np.uint32)):
-            setattr(out, name, _unzip(data[at : at + n], dtype))
-            at += n
-        out.places = out.places.reshape(3, -1).T
-        out.contexts = out.contexts.reshape(2, -1).T
+    def unpacked(cls, placed: bytes | None = None, hashed: bytes | None = None) -> Runs:
+        out = cls.__new__(cls)
+        for data, fields in ((placed, cls.PLACED), (hashed, cls.HASHED)):
+            at = 8 * len(fields)
+            for (name, dtype), n in zip(fields, np.frombuffer(data, np.int64, len(fields)).tolist()) if data else ():
+                values = _unzip(data[at : at + n], dtype)
+                setattr(out, name, values.reshape({"places": 3, "contexts": 2}[name], -1).T if name in ("places", "contexts") else values)
+                at += n
         return out
 
 
@@ -181,7 +183,7 @@ def repeated_strings(
     lead_words: int = 12,
     block_bytes: int = 8 << 20,
     bucket_bytes: int = 16 << 20,
-    large_group: int = 1000,
+    large_group: int = 250,
 ) -> DataFrame:
     """Remove every byte covered by a `window`-byte string that also starts elsewhere, and
     find passages of `words` words that also stand elsewhere.
@@ -218,10 +220,10 @@ def repeated_strings(
     text longer than a block makes a block of its own; an empty table gives an empty result;
     other columns are ignored.
     """
-    layers = (Layer(1, window, lead), Layer(8, words, lead_words))
+    layers = (Layer(1, window, lead), Layer(4, words, lead_words))
     source = keyed_text(docs, id_col, text_col)
     id_type = source.schema[0]
-    block_fields = [("block", pa.int64()), ("n_runs", pa.int64()), *((n, pa.binary()) for n in ("ids", "lengths", "words", "text", "runs0", "runs1"))]
+    block_fields = [("block", pa.int64()), ("n_runs", pa.int64()), *((n, pa.binary()) for n in ("ids", "lengths", "words", "text", "placed0", "placed1", "hashed0", "hashed1"))]
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -235,11 +237,11 @@ def repeated_strings(
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, pa.schema([("id", batch.schema.field(0).type)])) as writer:
                 writer.write_batch(pa.RecordBatch.from_arrays([pa.array(batch.column(0).to_pylist(), batch.schema.field(0).type)], names=["id"]))
-            values = (number, sum(len(r.places) for r in runs), sink.getvalue().to_pybytes(), _zip(lengths), _zip(n_words), _zip(raw), *(r.packed() for r in runs))
+            values = (number, sum(len(r.places) for r in runs), sink.getvalue().to_pybytes(), _zip(lengths), _zip(n_words), _zip(raw), *(r.packed(Runs.PLACED) for r in runs), *(r.packed(Runs.HASHED) for r in runs))
             yield pa.RecordBatch.from_pydict({n: [v] for (n, _), v in zip(block_fields, values)}, schema=pa.schema(block_fields))
             number += 1
 
-    blocks = stored(source.mapInArrow(build, "block long, n_runs long, ids binary, lengths binary, words binary, text binary, runs0 binary, runs1 binary"), "suffix-blocks")
+    blocks = stored(source.mapInArrow(build, "block long, n_runs long, ids binary, lengths binary, words binary, text binary, placed0 binary, placed1 binary, hashed0 binary, hashed1 binary"), "suffix-blocks")
     n_runs = blocks.agg(F.sum("n_runs")).first()[0] or 0
     buckets = max(16, -(-n_runs * 16 // bucket_bytes))
 
@@ -249,7 +251,7 @@ def repeated_strings(
         for batch in batches:
             for row in batch.to_pylist():
                 for k in range(len(layers)):
-                    runs = Runs.unpacked(row[f"runs{k}"])
+                    runs = Runs.unpacked(hashed=row[f"hashed{k}"])
                     several = np.bincount(runs.lead, minlength=len(runs.leads)).astype(np.uint32)
                     only = np.zeros(len(runs.leads), np.uint64)
                     only[runs.lead] = runs.contexts[:, 1]
@@ -286,7 +288,7 @@ def repeated_strings(
         sizes = [len(x) // 8 for x in table.column("one").to_pylist()]
         return pa.Table.from_arrays([table.column("block"), table.column("kind"), table.column("bucket"), pa.array([_zip(x) for x in np.split(flags, np.cumsum(sizes)[:-1])], pa.binary())], names=["block", "kind", "bucket", "flags"])
 
-    messages = blocks.select("block", "runs0", "runs1").mapInArrow(send, "kind int, bucket long, block long, one binary, two binary, count binary")
+    messages = blocks.select("block", "hashed0", "hashed1").mapInArrow(send, "kind int, bucket long, block long, one binary, two binary, count binary")
     flags = messages.groupBy("kind", "bucket").applyInArrow(judge, "block long, kind int, bucket long, flags binary")
 
     suffixes = pa.schema(
@@ -306,7 +308,7 @@ def repeated_strings(
         raw = bytes(_unzip(row["text"]))
         ends = np.cumsum(_unzip(row["lengths"], np.int64))
         for k, layer in enumerate(layers):
-            runs = Runs.unpacked(row[f"runs{k}"])
+            runs = Runs.unpacked(row[f"placed{k}"])
             first, more, back = runs.places.T
             of = [np.concatenate([np.zeros(0, np.uint8), *(_unzip(a["flags"]) for a in told if a["kind"] == 2 * k + j)]) for j in (0, 1)]
             by_context, by_lead = of[1][runs.context], of[0][runs.lead][runs.context]
@@ -338,7 +340,7 @@ def repeated_strings(
             add(block=row["block"], layer=k, spans=np.stack(_merge(*np.concatenate(spans).T)).astype(np.int64).tobytes())
         return pa.Table.from_pydict(out, schema=suffixes)
 
-    shown = blocks.select("block", "lengths", "text", "runs0", "runs1")
+    shown = blocks.select("block", "lengths", "text", "placed0", "placed1")
     sifted = stored(shown.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(sift, "block long, layer int, spans binary, first long, offset int, needed boolean, lead binary, context binary, n long, keys binary, starts binary"), "suffixes")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
