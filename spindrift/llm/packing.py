@@ -7,6 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -90,6 +91,25 @@ def byte_pair_encoder(path: str, pattern: str):
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+#: White space in a row from which on the library's matcher can run out of stack.
+LONG_SPACE = regex.compile(r"\s{100000}")
+
+
+def encode_text(encoder, text: str, pattern: str) -> list[int]:
+    """The ids of a text, as the library's encode_ordinary gives them, for any text.
+
+    The library keeps a stack entry for each character that white space before a lookahead
+    matches, and breaks off on some 1,000,000 of them.  Such texts are cut by the same pattern
+    with a matcher that has no such stack, and each piece is merged by the library.
+    """
+    if len(text) < 100_000 or not LONG_SPACE.search(text):
+        return encoder.encode_ordinary(text)
+    out: list[int] = []
+    for piece in regex.finditer(pattern, text):
+        out += encoder._encode_single_piece(piece[0])
+    return out
+
+
 def pack_tokens(
     docs: DataFrame,
     ranks_path: str,
@@ -114,7 +134,8 @@ def pack_tokens(
     each segment `doc_ids`, `doc_rows` (number of the document within the group, so that
     repeated ids stay apart), `groups` number and `offsets` (first token within its document).
 
-    Null and empty texts give the end alone.  Repeated rows and null ids are packed like
+    Null and empty texts give the end alone; a text of any length or white space is encoded
+    as the library would, and one longer than a group makes a group of its own.  Repeated rows and null ids are packed like
     others; an empty table gives an empty result; other columns are ignored.  Groups are
     packed where they are read: one pass, no shuffle, memory bounded by the group.
     """
@@ -132,7 +153,7 @@ def pack_tokens(
     )
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = byte_pair_encoder(ranks_path, pattern).encode_ordinary
+        encoder = byte_pair_encoder(ranks_path, pattern)
         base = TaskContext.get().partitionId() << 32
         made = group = 0
         held: list[np.ndarray] = []
@@ -175,7 +196,7 @@ def pack_tokens(
         for batch in slices(batches):
             id_type = batch.schema.field(0).type
             for name, text in zip(batch.column(0).to_pylist(), texts_of(batch)):
-                ids = encode(text)
+                ids = encode_text(encoder, text, pattern)
                 ids.append(end_id)
                 held.append(np.array(ids, "<u4"))
                 names.append(name)
