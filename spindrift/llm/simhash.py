@@ -37,8 +37,10 @@ def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
     spans = zip((ends - sizes)[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist())
     n = len(words) - shingle + 1
     hashes = np.fromiter((digest(joined[a:b], seed) for a, b in spans), np.uint64, n)
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
-    sums = np.add.reduceat(bits, np.arange(0, n, 255), axis=0, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+    sums = np.zeros(64, np.int64)
+    for at in range(0, n, 255_000):
+        bits = np.unpackbits(hashes[at : at + 255_000].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        sums += np.add.reduceat(bits, np.arange(0, len(bits), 255), axis=0, dtype=np.uint8).sum(axis=0, dtype=np.int64)
     return int(np.packbits(sums * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
@@ -198,21 +200,26 @@ def near_links(distinct: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fps[places])], names=["key", "fp"])
 
     rows = distinct.select("fp").mapInArrow(keyed, "key long, fp long")
-    found = stored(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_compare, _ROWS), "links")
-    links = found.filter("key IS NULL").select("u", "v")
-    # A large bucket is cut into blocks by hash, and each pair of blocks is compared by itself.
-    large = found.filter("key IS NOT NULL").select("key", F.col("u").alias("fp")).distinct()
-    counts = large.groupBy("key").agg(F.ceil(F.count("*") / (BUCKET // 4)).cast("int").alias("blocks"))
-    if not counts.isEmpty():
-        block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-        pairs = (
-            large.join(counts, "key")
-            .withColumn("block", block)
-            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            .select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "fp")
-        )
-        links = links.unionByName(pairs.repartition("key").sortWithinPartitions("key").mapInArrow(_compare, _ROWS).filter("key IS NULL").select("u", "v"))
-    return links.distinct()
+    links, level = None, 0
+    while True:
+        found = stored(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_compare, _ROWS), "links")
+        own = found.filter("key IS NULL").select("u", "v")
+        links = own if links is None else links.unionByName(own)
+        large = found.filter("key IS NOT NULL").select("key", F.col("u").alias("fp")).distinct()
+        if large.isEmpty():
+            return links.distinct()
+        # Of four parts of the bits, three errors leave one intact: a large bucket is dealt by
+        # each part, in another choice of parts each round, until no bucket is large.
+        parts = F.array(*(F.xxhash64("key", F.lit(4 * level + k), F.col("fp").bitwiseAND(F.lit(mask))) for k, mask in enumerate(quarters(level))))
+        rows = large.select(F.explode(parts).alias("key"), "fp")
+        level += 1
+
+
+def quarters(level: int) -> list[int]:
+    """Four masks of 16 bits that together cover 64, as signed longs; another choice each level."""
+    order = np.random.default_rng(level).permutation(64)
+    masks = np.array([sum(1 << int(b) for b in order[k : k + 16]) for k in range(0, 64, 16)], np.uint64)
+    return masks.view(np.int64).tolist()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -228,7 +235,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null and empty texts have the fingerprint zero and link like any other.  Repeated rows
     each get a row; a null id gets the component of its fingerprint, which is null only if
-    it has no other id.  An empty table gives an empty result; other columns are ignored.
+    it has no other id.  A text of any length is one fingerprint.  An empty table gives an empty result; other columns are ignored.
     """
     fps = stored(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     nodes = stored(fps.groupBy("fp").agg(F.min(id_col).alias("least_id")), "nodes")
@@ -240,13 +247,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """The rows of `docs` with the least id of their near-duplicate group, with all columns.
+    """One row of each near-duplicate group of `docs`, with all columns.
 
-    Ids are taken to name rows: of rows with one id a single one stays.  Rows without an id
-    can't be told apart and stay.
+    The row with the least id stays; of several rows with that id the one with the least
+    digest of its columns, so that the choice does not depend on the order of rows.  Rows
+    without an id come after all others.  Rows of one id with different texts are judged each
+    by itself: both stay unless they are near copies.  Rows that are equal in all columns
+    count as one.  An empty table gives an empty result; a null text is the empty text.
     """
-    least = near_duplicates(docs, id_col, text_col, shingle).filter(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    return docs.join(least, id_col, "left_semi").dropDuplicates([id_col]).unionByName(docs.filter(F.col(id_col).isNull())).select(docs.columns)
+    hashable = [c for c, t in docs.dtypes if "map<" not in t and "variant" not in t]
+    digest = F.concat_ws(":", F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("\x00"))), F.xxhash64(*hashable).cast("string"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), digest.alias("digest"))
+    grouped = near_duplicates(docs.select(key.alias("key"), F.col(text_col).alias("text")), "key", "text", shingle)
+    chosen = grouped.select("key.digest", F.col("component_id.digest").alias("least")).filter("digest = least").select("digest").distinct()
+    rows = docs.select(digest.alias("digest"), F.struct(*docs.columns).alias("row"))
+    return rows.join(chosen, "digest", "left_semi").dropDuplicates(["digest"]).select("row.*")
 
 
 def fingerprint_hex(fp: Column) -> Column:
