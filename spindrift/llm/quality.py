@@ -145,9 +145,9 @@ def quality_rules(
     min_words: int = 10,
     max_repeat_percent: int = 20,
     min_class_chars: int = 200,
-    min_common_words: int = 50,
+    min_common_words: int = 100,
     max_class_distance: float = 0.3,
-    max_common_distance: float = 0.5,
+    max_common_share: float = 0.9,
     carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Judge each document by counts and by its distance from its language.
@@ -158,12 +158,16 @@ def quality_rules(
 
     References are the character-class and common-word histograms of each language, summed
     over all documents that pass the base rules, so nothing is sampled.  A document is
-    rejected if its Jensen-Shannon distance from a reference exceeds the limit; the guards
+    rejected if its Jensen-Shannon distance from a reference exceeds the limit: a distance
+    for character classes, and for common words a share of the distance that a text without
+    any common word has from the same reference, which is the most a text can reach by
+    lacking them (some 0.34 where common words make up a fifth of a language).  The guards
     leave out documents with fewer than `min_class_chars` non-space characters or
     `min_common_words` words, for which a histogram says little.  A language without a word
     list is held against the characters of all such documents, and against no words.
 
-    Null texts are empty: no words, rejected by the base rules.  A null language counts as
+    Null texts are empty: no words, rejected by the base rules.  Texts of any length are
+    counted whole.  A null language counts as
     one without a list.  Repeated rows and null ids give a row each; an empty table gives an
     empty result; other columns are ignored.  The features are written to the shared folder
     once, or computed again where texts would be carried along; only five reference rows are
@@ -173,7 +177,9 @@ def quality_rules(
     if not carry:
         features = stored(features, "quality")
     base_failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    references = F.broadcast(language_references(features, ~base_failed))
+    lacking = F.array(*(F.lit(int(k == N_COMMON)).cast("long") for k in range(N_COMMON + 1)))
+    references = language_references(features, ~base_failed)
+    references = F.broadcast(references.withColumn("reach", jensen_shannon(lacking, F.col("ref_common"), F.lit(1.0), total(F.col("ref_common")))))
     judged = document_features(docs, id_col, text_col, lang_col, carry) if carry else features
     judged = judged.join(references, "reference", "left").withColumns({f"n_{c}": total(F.col(c)) for c in ("classes", "common", "ref_classes", "ref_common")})
     distance = lambda c: jensen_shannon(F.col(c), F.col(f"ref_{c}"), F.col(f"n_{c}"), F.col(f"n_ref_{c}"))
@@ -182,7 +188,7 @@ def quality_rules(
         F.when(F.col("n_words") < min_words, F.lit("min_words")),
         F.when(100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"), F.lit("repeat_words")),
         F.when(too_far("class_distance", max_class_distance), F.lit("class_distance")),
-        F.when(too_far("common_distance", max_common_distance), F.lit("common_distance")),
+        F.when(F.coalesce(F.col("common_distance") > max_common_share * F.col("reach"), F.lit(False)), F.lit("common_distance")),
     )
     return (
         judged.withColumn("class_distance", F.when(F.col("word_chars") >= min_class_chars, distance("classes")))

@@ -30,6 +30,10 @@ def _distance(counts: str, reference: str, size: int) -> str:
     return f"sqrt(greatest(0, list_sum(list_transform(range(1, {size + 1}), lambda i: 0.5 * ({half(p)} + {half(q)})))))"
 
 
+#: The histogram of a text without any common word.
+_LACKING = "[" + "0, " * 24 + "1]"
+
+
 def _sums(column: str, size: int) -> str:
     return "[" + ", ".join(f"sum({column}[{k}]) FILTER (NOT base_failed)" for k in range(1, size + 1)) + "]"
 
@@ -72,6 +76,6 @@ docs AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed
        AND NOT coalesce(word_chars >= 200 AND {_distance("classes", "ref_classes", 7)} > 0.3, false)
-       AND NOT coalesce(n_words >= 50 AND reference <> 'other' AND {_distance("common", "ref_common", 25)} > 0.5, false) AS kept
+       AND NOT coalesce(n_words >= 100 AND reference <> 'other' AND {_distance("common", "ref_common", 25)} > 0.9 * {_distance(_LACKING, "ref_common", 25)}, false) AS kept
 FROM base JOIN refs USING (reference)
 """
