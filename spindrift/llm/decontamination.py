@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import keyed_text, slices
+from .common import keyed_text, slices, stored
 from .fm_index import FMIndex
 
 #: Lower-cases A-Z and turns every byte outside words to a space; bytes from 0x80 on are
@@ -23,23 +23,58 @@ def words(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(FOLD).split()
 
 
+def windows_of(text: bytes | None, window: int) -> Iterator[bytes]:
+    """The phrases of an item, their words joined by spaces."""
+    own = words(text)
+    for at in range(max(1, len(own) - window + 1)) if own else ():
+        yield b" ".join(own[at : at + window])
+
+
 class Phrases:
-    """The windows of some benchmark items, as rows of symbols over their own words."""
+    """Some phrases as rows of symbols over their own words, with the items that own them."""
 
-    def __init__(self, items: list[tuple[str, str | None]], window: int):
+    def __init__(self, phrases: list[bytes], owners: pa.Array, window: int):
         self.symbols: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[str]] = {}
-        for item, text in items:
-            ids = [self.symbols.setdefault(w, len(self.symbols) + 1) for w in words((text or "").encode())]
-            for at in range(max(1, len(ids) - window + 1)) if ids else ():
-                owners.setdefault(tuple(ids[at : at + window]), set()).add(item)
-        self.lengths = np.array([len(p) for p in owners], np.int64)
-        self.rows = np.zeros((len(owners), window), np.int32)
-        for k, p in enumerate(owners):
-            self.rows[k, : len(p)] = p
-        self.owners = [sorted(v) for v in owners.values()]
+        self.lengths = np.zeros(len(phrases), np.int64)
+        self.rows = np.zeros((len(phrases), window), np.int32)
+        for k, phrase in enumerate(phrases):
+            ids = [self.symbols.setdefault(w, len(self.symbols) + 1) for w in phrase.split()]
+            self.lengths[k] = len(ids)
+            self.rows[k, : len(ids)] = ids
+        self.owners = owners
         self.shortest = int(self.lengths.min(initial=window))
 
+    def items(self, phrase: int) -> list[str]:
+        return self.owners[phrase].as_py()
+
+
+def phrase_table(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_bytes: int) -> tuple[DataFrame, int]:
+    """(block, phrase, items) of the different phrases, and the number of blocks.
+
+    Phrases are dealt by hash in so many blocks that none has more than `block_bytes` of
+    phrases and item names, a larger single phrase aside; the blocks are measured.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()).to_pylist()):
+                own = list(dict.fromkeys(windows_of(text, window)))
+                for at in range(0, len(own), 50_000):
+                    part = own[at : at + 50_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([item] * len(part), pa.string())], names=["phrase", "item"])
+
+    bench = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(text_col).cast("string").alias("words"))
+    owned = bench.mapInArrow(cut, "phrase binary, item string").groupBy("phrase").agg(F.collect_set("item").alias("items"))
+    size = F.octet_length("phrase") + 16 + F.aggregate("items", F.lit(0), lambda n, i: n + 8 + F.octet_length(i))
+    owned = stored(owned.withColumn("size", size.cast("long")), "phrases")
+    total = owned.agg(F.sum("size")).first()[0] or 0
+    blocks = 1 if total <= block_bytes else -(-2 * total // block_bytes)
+    while True:
+        dealt = owned.withColumn("block", F.pmod(F.xxhash64("phrase"), F.lit(blocks)))
+        if blocks == 1 or dealt.groupBy("block").agg(F.sum("size").alias("s"), F.count("*").alias("n")).filter((F.col("s") > block_bytes) & (F.col("n") > 1)).isEmpty():
+            return dealt.select("block", "phrase", "items"), blocks
+        blocks *= 2
+
 
 def search_shard(texts: list[bytes | None], phrases: Phrases) -> tuple[list[int], list[list[tuple[int, int]]], list[set[str]]]:
     """Per document: its number of words, merged [start, end) word spans of phrase
@@ -84,7 +119,7 @@ def search_shard(texts: list[bytes | None], phrases: Phrases) -> tuple[list[int]
     ends = starts + phrases.lengths[phrase]
     doc = np.searchsorted(offsets, starts, side="right") - 1
     for d, p in set(zip(doc.tolist(), phrase.tolist())):
-        items[d].update(phrases.owners[p])
+        items[d].update(phrases.items(p))
     order = np.lexsort((ends, starts))
     for d, a, b in zip(doc[order].tolist(), starts[order].tolist(), ends[order].tolist()):
         a, b = a - int(offsets[d]), b - int(offsets[d])
@@ -115,7 +150,8 @@ def decontaminate(
     item_text_col: str = "text",
     window: int = 13,
     one_in: int = 20,
-    block_bytes: int = 16 << 20,
+    block_bytes: int = 32 << 20,
+    blocks_at_once: int = 2,
     shard_bytes: int = 16 << 20,
     carry: tuple[str, ...] = (),
 ) -> DataFrame:
@@ -131,18 +167,23 @@ def decontaminate(
     shard of about `shard_bytes` of text gets an FM-index: the phrases are searched backward
     through the ranks of a wavelet tree and located by sampled suffix positions.
 
-    The benchmark is measured first and cut into blocks of at most `block_bytes` of text;
-    each block is broadcast and takes one more pass over the documents within the same
-    stage, so that no broadcast grows with the benchmark, and nothing is shuffled.
+    Words that occur in no phrase end the runs that are indexed, and runs shorter than the
+    shortest phrase are left out of the index, as no phrase can occur there; so the index
+    grows with what documents share with the benchmark's vocabulary.
+
+    The benchmark's different phrases and their items are made on Spark and cut into blocks
+    of at most `block_bytes`, measured.  The driver holds one block at a time, as Arrow
+    columns, and broadcasts it; each takes one more pass over the documents within the same
+    stage, and after `blocks_at_once` of them the documents are written and the broadcasts
+    freed.  So neither the driver's nor a task's memory grows with the benchmark, and
+    documents are not shuffled; the passes over documents are as many as blocks.
 
     Null texts have no words.  A null item id counts as the empty id.  Repeated rows, ties
-    and null document ids give a row each; an empty benchmark hits nothing; other columns
-    are ignored.
+    and null document ids give a row each; a text longer than a shard makes a shard of its
+    own; an empty benchmark hits nothing; other columns are ignored.
     """
     spark = docs.sparkSession
-    bench = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text_col).cast("string").alias("words"))
-    total = bench.agg(F.sum(F.octet_length("words"))).first()[0] or 0
-    blocks = max(1, -(-2 * total // block_bytes)) if total > block_bytes else 1
+    table, blocks = phrase_table(benchmark, item_col, item_text_col, window, block_bytes)
     source = keyed_text(docs, id_col, text_col, *([F.struct(*carry).alias("carried")] if carry else []))
     fixed = len(source.columns)
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
@@ -150,9 +191,16 @@ def decontaminate(
     schema = T.StructType([*source.schema.fields, *found])
     arrow_span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
     out = source
+    held = []
     for k in range(blocks):
-        rows = bench.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k) if blocks > 1 else bench
-        phrases = spark.sparkContext.broadcast(Phrases([(r.item, r.words) for r in rows.collect()], window))
+        if len(held) == blocks_at_once:
+            out = stored(out, "decontaminated")
+            for b in held:
+                b.destroy()
+            held = []
+        block = table.filter(F.col("block") == k).select("phrase", "items").toArrow()
+        phrases = spark.sparkContext.broadcast(Phrases(block.column("phrase").to_pylist(), block.column("items").combine_chunks(), window))
+        held.append(phrases)
 
         def search(batches: Iterator[pa.RecordBatch], phrases=phrases) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, shard_bytes):
