@@ -107,7 +107,7 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
-        F.try_element_at("ends", F.lit(-1)).cast("long").alias("last_byte"),
+        F.sha2(F.concat_ws(";", *(F.array_join(F.col(c).cast("array<string>"), ",") for c in ("starts", "ends"))), 256).alias("spans_sha256"),
     )
 
 
@@ -115,7 +115,8 @@ SHARDS, SLOTS = [f"shard-{k:02d}" for k in range(16)], 2039
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assign_shards(common.read(spark, sf_dir, "documents").select("doc_id"), SHARDS, size=SLOTS)
+    placed = assign_shards(common.read(spark, sf_dir, "documents"), SHARDS, size=SLOTS)
+    return placed.select("doc_id", "slot", "shard", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
 #: The shards claim slots by recursion, a turn a step: `taken` lists the claims so far.
@@ -135,8 +136,8 @@ WITH RECURSIVE shards AS (
     FROM turns, preferences WHERE t < {SLOTS}
   )
 )
-SELECT doc_id, d.slot, name AS shard
-FROM (SELECT doc_id, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) % {SLOTS} AS slot FROM documents) d
+SELECT doc_id, d.slot, name AS shard, text_sha256
+FROM (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) % {SLOTS} AS slot FROM documents) d
 JOIN (SELECT slot, (t - 1) % 16 AS k FROM turns WHERE t > 0) USING (slot) JOIN shards USING (k)
 """
 

@@ -55,10 +55,12 @@ def assign_shards(df: DataFrame, shards: list[str], key_col: str = "doc_id", siz
     text; an empty table gives an empty result.  `size` should be a prime of a hundred times
     the number of shards or more.
     """
+    if len({key_col, slot_name, shard_name}) < 3:
+        raise ValueError("the key, the slot and the shard need different column names")
     spark = df.sparkSession
     rows = [(slot, shards[k]) for slot, k in enumerate(lookup_table(shards, size))]
     table = spark.createDataFrame(rows, f"`{slot_name}` long, `{shard_name}` string")
-    kept = df.drop(*(c for c in (slot_name, shard_name) if c != key_col))
+    kept = df.drop(slot_name, shard_name)
     return kept.withColumn(slot_name, slot_of(F.col(key_col), size)).join(F.broadcast(table), slot_name).select(*kept.columns, slot_name, shard_name)
 
 
