@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 #: Text bytes that a Python worker handles at once.  It bounds a task's memory; one longer
 #: document makes a slice of its own.
 SLICE_BYTES = 4 << 20
+#: Tables written within each `scratch` that is open.
+_SCRATCH: list[list[str]] = []
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -65,12 +68,15 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """`df` written to the shared folder and read again: its lineage ends there, and a lost
     executor costs no recomputation of what came before.  The shuffle files of the written
-    query are deleted when it ends, as nothing can read them again."""
+    query are deleted when it ends, as nothing can read them again.  With `keep` a `scratch`
+    around it leaves the table."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
+    if _SCRATCH and not keep:
+        _SCRATCH[-1].append(path)
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
@@ -80,10 +86,27 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete on leaving what `stored` has written within, unless it was to be kept."""
+    own: list[str] = []
+    _SCRATCH.append(own)
+    try:
+        yield
+    finally:
+        _SCRATCH.remove(own)
+        for path in own:
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_stored(df: DataFrame) -> None:
     """Delete the files of a `stored` table that no later step reads."""
     spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, name)

@@ -139,8 +139,8 @@ def secret_scan(
     ones merged, replaced.
 
     Null texts have no spans, and `redacted` stays null for them.  Repeated rows and null
-    ids give a row each; an empty table gives an empty result; other columns are ignored.
-    One pass, no shuffle.
+    ids give a row each; texts of any length are scanned whole; an empty table gives an empty
+    result; other columns are ignored.  One pass, no shuffle.
     """
     source = keyed_text(docs, id_col, text_col, *([F.struct(*carry).alias("carried")] if carry else []))
     span = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])

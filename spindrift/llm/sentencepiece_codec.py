@@ -134,7 +134,8 @@ def sentencepiece_encode(
     span, and each piece is projected back through the recorded alignment.
 
     Null and empty texts give empty arrays and an empty decoded text.  Repeated rows and
-    null ids give a row each; other columns are ignored.  One pass, no shuffle.
+    null ids give a row each; texts of any length are encoded whole; an empty table gives an
+    empty result; other columns are ignored.  One pass, no shuffle.
     """
     source = keyed_text(docs, id_col, text_col)
     array = T.ArrayType(T.IntegerType())

@@ -30,7 +30,8 @@ def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     repeated cuts come from a bounded cache.
 
     Null texts count as empty: 0 bytes and 0 tokens.  Repeated rows and null ids give one
-    row each; an empty table gives an empty result; other columns of `docs` are ignored.
+    row each; texts of any length are counted whole; an empty table gives an empty result;
+    other columns of `docs` are ignored.
     The work is one pass without a shuffle.
     """
     source = keyed_text(docs, id_col, text_col)

@@ -18,9 +18,9 @@ from spindrift.llm import golay
 from spindrift.llm import queries as Q
 from spindrift.llm.components import connected_components
 from spindrift.llm.lm_score import Automaton, Grams, lm_scores, tokens
-from spindrift.llm.packing import best_fit_decreasing, byte_pair_encoder, pack_tokens
+from spindrift.llm.packing import best_fit_decreasing, byte_pair_encoder, encode_text, pack_tokens
 from spindrift.llm.sharding import assign_shards, lookup_table, write_shards
-from spindrift.llm.simhash import MAX_BITS, _compare, fingerprint, fuzzy_keys, keep_one_of_each, near_duplicates, near_links, stars
+from spindrift.llm.simhash import MAX_BITS, _compare, fingerprint, fuzzy_keys, keep_one_of_each, near_duplicates, near_links, quarters, stars
 from spindrift.llm.suffix_dedup import equal_windows, repeated_strings
 
 from .conftest import EDGES
@@ -99,6 +99,13 @@ def test_components_and_edges(spark, sf_dir, edges, no_rows):
     assert one.columns == edges.columns and sorted(r.doc_id for r in one.collect() if r.doc_id) == [1, 2, 6, 7, 8]
 
 
+def test_one_of_each_is_chosen_by_row(spark):
+    text = "one two three four five six seven eight nine ten " * 3
+    rows = [(7, text, 1), (7, "quite another text with words of its own " * 2, 2), (5, text, 3), (None, text, 4), (None, "a third one, without an id, that is like no other here", 5), (5, text, 3), (9, None, 6), (8, "", 7)]
+    kept = sorted(r.n for r in keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string, n long").repartition(4)).collect())
+    assert kept == [2, 3, 5, 7]
+
+
 def test_a_chain_of_links_is_one_component(spark):
     chain = [(k, k + 1) for k in range(200)] + [(500, 500), (7, 7)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(chain, "u long, v long")).collect()}
@@ -124,6 +131,10 @@ def test_large_buckets_are_split(spark, monkeypatch):
     roots = connected_components(links).select("root").distinct().collect()
     assert len(roots) == 1
 
+    for level in range(4):  # four parts cover all bits, so three errors leave one part intact
+        masks = [m % 2**64 for m in quarters(level)]
+        assert sum(m.bit_count() for m in masks) == 64 and masks[0] | masks[1] | masks[2] | masks[3] == 2**64 - 1
+
     import pyarrow as pa
 
     from spindrift.llm import simhash
@@ -241,6 +252,28 @@ def unpacked(rows, length):
     return [(key[3], sum((p[at] for at in sorted(p)), [])) for key, p in pieces.items()]
 
 
+@pytest.mark.parametrize("space", [" ", "\n", "\t ", "\u3000"])
+def test_packing_bears_any_run(spark, space):
+    """A text that breaks the library's matcher, and the same cut as the library's on what it bears."""
+    encoder = byte_pair_encoder(RANKS, PATTERN)
+    for tail in ("", "x", "1 x", space[0] + "x"):
+        text = "it's a" + space * (150_000 // len(space)) + tail
+        assert encode_text(encoder, text, PATTERN) == encoder.encode_ordinary(text)
+    long = "a" + space * (3_000_000 // len(space)) + "b"
+    ids = encode_text(encoder, long, PATTERN)
+    assert encoder.decode(ids) == long
+    docs = spark.createDataFrame([(1, long), (2, "b" * 200_000)], "doc_id long, text string")
+    assert sorted(len(t) for _, t in unpacked(pack_tokens(docs, RANKS, PATTERN).collect(), 2048))[-1] >= len(ids) + 1 or space != " "
+
+
+def test_packing_query_round_trip(spark, sf_dir):
+    encode = byte_pair_encoder(RANKS, PATTERN).encode_ordinary
+    docs = [(r.doc_id, encode(r.text or "") + [50256]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    rows = Q.op4_token_packing(spark, sf_dir).collect()
+    assert sorted(unpacked(rows, 2048)) == sorted(docs)
+    assert all(np.frombuffer(r.ids, "<u4")[r.n_tokens :].tolist() == [50256] * (2048 - r.n_tokens) for r in rows)
+
+
 def test_packing_round_trip(edges, no_rows):
     encode = byte_pair_encoder(RANKS, PATTERN).encode_ordinary
     rows = pack_tokens(edges, RANKS, PATTERN, length=256, group_tokens=5000).collect()
@@ -267,6 +300,8 @@ def test_sharding_edges(spark, edges, no_rows, tmp_path):
     clash = edges.withColumnRenamed("kept", "shard")
     rows = assign_shards(clash, names, size=211)
     table = lookup_table(names, 211)
+    with pytest.raises(ValueError):
+        assign_shards(edges, names, "doc_id", 211, slot_name="doc_id")
     assert rows.count() == len(EDGES) and assign_shards(no_rows, names, size=211).count() == 0
     for r in rows.collect():
         assert r.shard == names[table[r.slot]]

@@ -7,6 +7,7 @@ import struct
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -14,8 +15,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from spindrift.llm import queries as Q
-from spindrift.llm.bpe import SPACE, PieceVocabulary
-from spindrift.llm.decontamination import Phrases, decontaminate, search_shard
+from spindrift.llm.bpe import SPACE, PieceVocabulary, _varint
+from spindrift.llm.decontamination import Phrases, decontaminate, phrase_table, search_shard, windows_of
 from spindrift.llm.fm_index import FMIndex, suffix_order
 from spindrift.llm.normalizer import Normalizer
 from spindrift.llm.quality import quality_rules, repeated_words
@@ -86,12 +87,24 @@ def test_decontamination_matches_brute_force(spark):
         assert sorted(rows, key=repr) == sorted(want, key=repr)
 
 
+def test_phrases_are_cut_into_measured_blocks(spark):
+    items = [(k % 3, " ".join(f"w{k}x{j}" for j in range(20))) for k in range(40)] + [(9, "short one")] * 5 + [(k, "same words") for k in range(100, 160)]
+    table, blocks = phrase_table(spark.createDataFrame(items, "item_id long, text string"), "item_id", "text", 13, 8000)
+    rows = table.collect()
+    assert blocks > 1 and {r.block for r in rows} <= set(range(blocks))
+    assert sorted(r.phrase for r in rows) == sorted({p for _, t in items for p in windows_of(t.encode(), 13)})
+    size = Counter()
+    for r in rows:
+        size[r.block] += len(r.phrase) + 16 + sum(8 + len(i) for i in r["items"])
+    assert max(size.values()) <= 8000 and {len(r["items"]) for r in rows if r.phrase == b"same words"} == {60}
+
+
 def test_decontamination_edges(edges, no_rows, spark):
     bench = spark.createDataFrame([(1, "quick brown fox")], "item_id long, text string")
     assert decontaminate(edges, bench).count() == len(EDGES)
     assert decontaminate(no_rows, bench).count() == 0
     assert decontaminate(edges, bench.limit(0)).filter("n_hit > 0").count() == 0
-    assert search_shard([], Phrases([], 13)) == ([], [], [])
+    assert search_shard([], Phrases([], pa.array([], pa.list_(pa.string())), 13)) == ([], [], [])
     carried = decontaminate(edges, bench, carry=tuple(edges.columns)).select("carried.*")
     assert carried.columns == edges.columns and carried.count() == len(EDGES)
 
@@ -127,6 +140,19 @@ def test_symbol_soup_is_far_from_its_language(spark):
     assert all(rows[k].kept for k in range(30))
 
 
+def test_text_without_common_words_is_far_from_its_language(spark):
+    """Only the common words tell these apart: characters are alike."""
+    random.seed(8)
+    common = "the of and to in a is that it for on was".split()
+    rare = ["".join(random.choice("etaoinshrdlu") for _ in range(random.randint(2, 7))) for _ in range(4000)]
+    text = lambda n, share: " ".join(random.choice(common) if random.random() < share else random.choice(rare) for _ in range(n))
+    docs = [(k, text(150, 0.22), "en") for k in range(60)] + [(100, text(150, 0), "en"), (101, text(400, 0), "en"), (102, text(80, 0), "en"), (103, text(150, 0), "xx")]
+    rows = {r.doc_id: r for r in quality_rules(spark.createDataFrame(docs, "doc_id long, text string, lang string")).collect()}
+    assert rows[100].rejected_by == rows[101].rejected_by == ["common_distance"]
+    assert rows[102].kept and rows[103].kept  # too short to tell; no list of words
+    assert all(rows[k].kept for k in range(60))
+
+
 # -- secrets -------------------------------------------------------------------------------
 
 
@@ -173,6 +199,23 @@ def test_private_key_spans_leave_prose():
     assert trigram_query(RULES[3].pattern) == trigram_query(header.replace("PRIVATE", "[A-Z ]*PRIVATE"))
 
 
+def test_secret_query_matches_plain_expressions(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rules = {
+        "assign": (r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 6),
+        "access": (r"AKIA[A-Z0-9]+", 0, 20),
+        "hex": (r"[0-9a-f]+", 0, 24),
+    }
+    got = Q.op5_secret_scan(spark, sf_dir).collect()
+    assert len(got) == len(docs) and any(r.n_assign for r in got)
+    for r in got:
+        found = {k: [m.span() for m in re.finditer(p, docs[r.doc_id]) if m.end(g) - m.start(g) >= n] for k, (p, g, n) in rules.items()}
+        base = ",".join(f"{k}:{a}:{b}" for a, _, k, b in sorted((a, i, k, b) for i, k in enumerate(rules) for a, b in found[k]))
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(len(found[k]) for k in rules) and r.base_sha256 == sha(base)
+        assert r.spans == ",".join(f"{k}:{a}:{b}" for a, b, k in brute_secrets(docs[r.doc_id]))
+
+
 def test_trigram_queries():
     assert trigram_query("[0-9a-f]+") is True and trigram_query("a?b?c?") is True
     assert trigram_query("abcd") == ("and", [b"abc", b"bcd"])
@@ -277,7 +320,36 @@ def test_longest_prefix_normalisation_keeps_offsets():
     assert [raw[a:b].decode() for a, b in zip(starts, ends)] == ["", "x", "ab", "㎏", "㎏", "\t", "ﬁ", "ﬁ", "a"]
 
 
+def test_codec_equals_the_library_with_a_real_map(tmp_path):
+    """The vocabulary with a public character map in place of its empty one: ids, and spans."""
+    spec = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_normalizer_spec()
+    fields, at, model = [], 0, open(MODEL, "rb").read()
+    while at < len(model):
+        key, start = _varint(model, at)
+        size, body = _varint(model, start)
+        assert key & 7 == 2
+        if key >> 3 != 3:
+            fields.append(model[at : body + size])
+        at = body + size
+    size = len(spec)
+    head = bytes([3 << 3 | 2])
+    while size >= 128:
+        head, size = head + bytes([size & 127 | 128]), size >> 7
+    path = tmp_path / "mapped.model"
+    path.write_bytes(b"".join([*fields, head + bytes([size]) + spec]))
+    library, codec = sentencepiece.SentencePieceProcessor(model_file=str(path)), Codec(str(path))
+    assert not codec.normalizer.plain
+    for text in [*TEXTS, "Ｈｅｌｌｏ　 ①  ﬁsh", "  two  spaces ", "㎏ ﬃ ½", "a\u0301 e\u0301", "ｶﾞ", "x\u200by\t\tz "]:
+        ids, starts, ends = codec.encode(text)
+        want = library.encode(text, return_type="proto")
+        assert ids.tolist() == [p.id for p in want.pieces], text
+        for p, a, b in zip(want.pieces, starts.tolist(), ends.tolist()):
+            if not codec.is_byte[p.id] and not p.piece.startswith(SPACE):
+                assert (a, b) == (p.begin, p.end), (text, p.piece)
+
+
 def test_token_queries(spark, sf_dir, library):
+    codec = Codec(MODEL)
     docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     for r in Q.op6_token_counts(spark, sf_dir).collect():
         n = len(library.encode(docs[r.doc_id]))
@@ -285,6 +357,8 @@ def test_token_queries(spark, sf_dir, library):
     for r in Q.op8_sentencepiece(spark, sf_dir).collect():
         ids = library.encode(docs[r.doc_id])
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(",".join(map(str, ids))), sha(library.decode(ids)))
+        _, starts, ends = codec.encode(docs[r.doc_id])
+        assert r.spans_sha256 == sha(";".join(",".join(map(str, x.tolist())) for x in (starts, ends)))
 
 
 def test_token_edges(edges, no_rows):
