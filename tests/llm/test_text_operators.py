@@ -345,7 +345,8 @@ def test_codec_equals_the_library_with_a_real_map(tmp_path):
         assert ids.tolist() == [p.id for p in want.pieces], text
         for p, a, b in zip(want.pieces, starts.tolist(), ends.tolist()):
             if not codec.is_byte[p.id] and not p.piece.startswith(SPACE):
-                assert (a, b) == (p.begin, p.end), (text, p.piece)
+                # Of several pieces of one source the library gives its range to the last.
+                assert a == p.begin and (b == p.end or p.begin == p.end), (text, p.piece)
 
 
 def test_token_queries(spark, sf_dir, library):
