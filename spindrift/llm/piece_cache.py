@@ -12,7 +12,7 @@ class ChunkCache(dict):
     computed again, so the bound changes time and never results.
     """
 
-    def __init__(self, compute: Callable[[str], object], limit: int = 600_000):
+    def __init__(self, compute: Callable[[str], object], limit: int = 350_000):
         super().__init__()
         self.compute, self.limit, self.old = compute, limit, {}
 
