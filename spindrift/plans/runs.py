@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators.keyed import upsert
 from ..schemas import struct_of, validated
-from ..storage import Store
+from ..storage import Store, discard, settled
 from .resolution import persist
 
 log = logging.getLogger(__name__)
@@ -53,15 +53,18 @@ Source = Callable[[SparkSession, Options], DataFrame]
 def run_scan(store: Store, sources: dict[str, Source], options: Options) -> Summary:
     """Scan each source, resolve what it gives and publish all tables of a source at once.
 
-    A source is scanned under a lease, and its `next_cursor`, if it has one, is stored.  A
+    What a source gives is written once and then counted and resolved, so that a service is
+    asked once.  A run is in the history as running until it is completed or failed.  A source is scanned under a lease, and its `next_cursor`, if it has one, is stored.  A
     source that fails is recorded and the others go on; the run fails if the requested one
     fails or all do.  A dry run counts and writes nothing.
     """
     spark, out = store.spark, Summary(dry_run=options.dry_run)
     for name, source in sources.items():
-        run_id = f"{name}-{options.now.isoformat()}"
+        run_id, candidates = f"{name}-{options.now.isoformat()}", None
         try:
-            candidates = validated(source(spark, options))
+            if not options.dry_run:
+                store.commit({"scan_runs": with_run(store.table("scan_runs"), run_row(spark, run_id, name, "running", options.now, {}))})
+            candidates = settled(validated(source(spark, options)), "candidates")
             discovered = candidates.count()
             counts = {"discovered": discovered, "inserted": 0, "skipped": 0, "needs_review": 0}
             if not options.dry_run:
@@ -70,7 +73,7 @@ def run_scan(store: Store, sources: dict[str, Source], options: Options) -> Summ
                     changed, decided = persist(candidates, tables, run_id)
                     n = decided.agg(F.count("*").alias("n"), F.count_if(F.col("kind") == "review").alias("review")).first()
                     counts |= {"inserted": n.n, "skipped": discovered - n.n, "needs_review": n.review}
-                    changed["scan_runs"] = tables["scan_runs"].unionByName(run_row(spark, run_id, name, "completed", options.now, counts))
+                    changed["scan_runs"] = with_run(tables["scan_runs"], run_row(spark, run_id, name, "completed", options.now, counts))
                     cursor = getattr(source, "next_cursor", None)
                     if cursor:
                         changed["cursors"] = with_cursor(tables["cursors"], name, cursor)
@@ -82,9 +85,11 @@ def run_scan(store: Store, sources: dict[str, Source], options: Options) -> Summ
             log.warning("scan of %s failed: %s", name, type(e).__name__)
             out.errors[name] = str(e).splitlines()[0][:500]
             if not options.dry_run:
-                store.commit({"scan_runs": store.table("scan_runs").unionByName(run_row(spark, run_id, name, "failed", options.now, {}, out.errors[name]))})
+                store.commit({"scan_runs": with_run(store.table("scan_runs"), run_row(spark, run_id, name, "failed", options.now, {}, out.errors[name]))})
             if options.provider == name:
                 raise
+        finally:
+            discard(candidates)
     if sources and len(out.errors) == len(sources):
         raise RuntimeError("every source failed: " + "; ".join(f"{k}: {v}" for k, v in out.errors.items()))
     return out
@@ -92,7 +97,12 @@ def run_scan(store: Store, sources: dict[str, Source], options: Options) -> Summ
 
 def run_row(spark: SparkSession, run_id: str, provider: str, status: str, now: dt.datetime, counts: dict[str, int], error: str | None = None) -> DataFrame:
     schema = struct_of("run_id string, provider string, status string, started_at timestamp, completed_at timestamp, discovered long, inserted long, skipped long, needs_review long, error string")
-    return spark.createDataFrame([(run_id, provider, status, now, now, *(counts.get(k) for k in ("discovered", "inserted", "skipped", "needs_review")), error)], schema)
+    return spark.createDataFrame([(run_id, provider, status, now, None if status == "running" else now, *(counts.get(k) for k in ("discovered", "inserted", "skipped", "needs_review")), error)], schema)
+
+
+def with_run(runs: DataFrame, row: DataFrame) -> DataFrame:
+    """The history after a run was added, or changed its state."""
+    return runs.join(row.select("run_id"), "run_id", "left_anti").select(*runs.columns).unionByName(row)
 
 
 def with_cursor(cursors: DataFrame, provider: str, value: str, scope: str = "global", scope_id: str = "default") -> DataFrame:
