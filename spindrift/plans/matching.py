@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from ..functions.classify import ladder
 from ..functions.text import blank_to_null, composed_credits, extract_version, normalize_identifier, normalize_text, normalized_credits, zero_to_null
@@ -57,25 +58,41 @@ def _level_key(title: Column, credits: Column, version: Column, level: int, buck
     return F.struct(*(F.coalesce(p.cast("string"), F.lit("")).alias(f"p{k}") for k, p in enumerate(parts)))
 
 
-def _level_tracks(tracks: DataFrame) -> DataFrame:
-    """A row for each level key and duration: how many tracks, and the first of them."""
+def level_rows(tracks: DataFrame) -> DataFrame:
+    """Tracks by each level key, with the duration where it counts."""
     bucket = F.floor(F.col("duration_ms") / _WIDTH)
     keys = [F.when(F.lit(True) if not LEVELS[k][3] else F.col("duration_ms").isNotNull(), F.struct(_level_key(F.col("k_title"), F.col("k_credits"), F.col("k_version"), k, bucket).alias("key"), (F.col("duration_ms") if LEVELS[k][3] else F.lit(None).cast("int")).alias("duration"))) for k in range(len(LEVELS))]
     rows = tracks.select("ordinal", "track_id", "k_version", F.explode(F.filter(F.array(*keys), lambda x: x.isNotNull())).alias("_l"))
-    return rows.groupBy(F.col("_l.key").alias("_key"), F.col("_l.duration").alias("_duration")).agg(F.count("*").alias("_n"), F.min(F.struct("ordinal", "track_id", "k_version")).alias("_first"))
+    return rows.select("ordinal", "track_id", "k_version", F.col("_l.key").alias("_key"), F.col("_l.duration").alias("_duration"))
 
 
-def _best_levels(candidates: DataFrame, tracks: DataFrame) -> DataFrame:
-    """(ordinal, level, n, first) of the best level of each candidate that has one."""
+def _two_first(rows: DataFrame) -> DataFrame:
+    """A row for each level key and duration: its first track, and the ordinal of its second.
+
+    Whether a candidate sees one track or several is all that counts, and it sees the tracks
+    before it: two tell.  The limit of two applies before the shuffle as well, so a key that
+    very many tracks share sends two rows a task.
+    """
+    w = Window.partitionBy("_key", "_duration").orderBy("ordinal")
+    two = rows.withColumn("_rank", F.row_number().over(w)).filter("_rank <= 2")
+    return two.groupBy("_key", "_duration").agg(F.min(F.struct("ordinal", "track_id", "k_version")).alias("_first"), F.max(F.when(F.col("_rank") == 2, F.col("ordinal"))).alias("_second"))
+
+
+def asked_levels(candidates: DataFrame) -> DataFrame:
+    """(_of, _own, _key): the level keys that each candidate looks up."""
     args = (F.col("k_title"), F.col("k_credits"), F.col("k_version"))
     d = F.col("duration_ms")
     buckets = F.when(d.isNotNull(), F.sequence(F.floor((d - TOLERANCE_MS) / _WIDTH), F.floor((d + TOLERANCE_MS) / _WIDTH))).otherwise(F.array().cast("array<bigint>"))
     in_buckets = lambda k: F.transform(buckets, lambda b: _level_key(*args, k, b))
     arrays = [in_buckets(k) if LEVELS[k][3] else F.array(_level_key(*args, k, None)) for k in range(len(LEVELS))]
-    asked = candidates.select(F.col("ordinal").alias("_of"), d.alias("_own"), F.explode(F.concat(*arrays)).alias("_key"))
-    met = asked.join(_level_tracks(tracks), "_key").filter((F.col("_first.ordinal") < F.col("_of")) & (F.col("_duration").isNull() | (F.abs(F.col("_duration") - F.col("_own")) <= TOLERANCE_MS)))
+    return candidates.select(F.col("ordinal").alias("_of"), d.alias("_own"), F.explode(F.concat(*arrays)).alias("_key"))
+
+
+def _best_levels(asked: DataFrame, rows: DataFrame) -> DataFrame:
+    """(ordinal, level, n, first) of the best level of each candidate that has one."""
+    met = asked.join(_two_first(rows), "_key").filter((F.col("_first.ordinal") < F.col("_of")) & (F.col("_duration").isNull() | (F.abs(F.col("_duration") - F.col("_own")) <= TOLERANCE_MS)))
     # Partial aggregates: per candidate and level, then the best level.
-    per_level = met.groupBy("_of", F.col("_key.p0").cast("int").alias("level")).agg(F.sum("_n").alias("n"), F.min("_first").alias("first"))
+    per_level = met.groupBy("_of", F.col("_key.p0").cast("int").alias("level")).agg(F.sum(F.when(F.col("_second") < F.col("_of"), 2).otherwise(1)).alias("n"), F.min("_first").alias("first"))
     return per_level.groupBy(F.col("_of").alias("ordinal")).agg(F.min(F.struct("level", "n", "first")).alias("_best"))
 
 
@@ -88,12 +105,17 @@ def match(candidates: DataFrame, tracks: DataFrame, compose: bool = True, by_rel
     (unless switched off) release group; then the score of tracks with an equal title.
     """
     c, t = with_match_keys(candidates, compose), with_match_keys(tracks, compose)
+    return match_keyed(c, t, asked_levels(c), level_rows(t), candidates.columns, by_release_group)
+
+
+def match_keyed(c: DataFrame, t: DataFrame, asked: DataFrame, rows: DataFrame, columns: list[str], by_release_group: bool = True) -> DataFrame:
+    """The same with keys and level rows made before, for rounds over one batch."""
     seen = lambda f: F.when(F.col(f"{f}.ordinal") < F.col("ordinal"), F.col(f))
     keys = ["k_isrc", "k_place", "k_recording", *["k_group"] * by_release_group]
     for key in keys:
         c = c.join(_first_by_key(t, key), _spread(key) == F.col("_key"), "left").drop("_key").withColumn(f"f_{key}", seen(f"f_{key}"))
     c = c.withColumn("f_ids", F.least(*(F.col(f"f_{k}") for k in keys[2:])) if by_release_group else F.col("f_k_recording"))
-    c = c.join(_best_levels(c, t), "ordinal", "left")
+    c = c.join(_best_levels(asked, rows), "ordinal", "left")
     exact = [(F.col("f_k_isrc").isNotNull(), "exact_isrc", 100), (F.col("f_k_place").isNotNull(), "exact_barcode_position", 99), (F.col("f_ids").isNotNull(), "exact_musicbrainz", 98)]
     level = F.col("_best.level")
     points = F.element_at(F.array(*(F.lit(p) for p, *_ in LEVELS)), level + 1)
@@ -121,7 +143,7 @@ def match(candidates: DataFrame, tracks: DataFrame, compose: bool = True, by_rel
         .otherwise(F.filter(scored, lambda r: r.isNotNull()))
     )
     return c.select(
-        *candidates.columns,
+        *columns,
         kind.alias("kind"),
         rule.alias("rule"),
         ladder(*((w, p) for w, _, p in exact), (level.isNull(), 100), otherwise=points).cast("int").alias("points"),

@@ -23,7 +23,7 @@ from ..operators.keyed import first_by, insert_or_ignore, upsert
 from ..operators.nested import child_rows, ordered_children, with_children
 from ..schemas import TRACK
 from ..storage import discard, settled
-from .matching import confidence, match
+from .matching import asked_levels, confidence, level_rows, match_keyed, with_match_keys
 
 KEY = ["provider", "external_release_id", "external_track_id"]
 ALGORITHM = "v2-real-providers"
@@ -50,19 +50,25 @@ def decide(candidates: DataFrame, tracks: DataFrame, links: DataFrame, compose:
 
     `links` (provider, external_track_id, track_id) are identifiers linked before the batch;
     they go before every other rule.  Tracks of the batch carry no recording or release-group
-    ids while it lasts.
+    ids while it lasts.  Keys of candidates and tracks are made once; a round chooses the
+    rows of those that are tracks by now.
     """
     tracks = tracks.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in TRACK])
     own_id = derived_id("track", *KEY)
+    as_tracks = candidates.withColumns({"track_id": own_id, "musicbrainz_recording_id": F.lit(None).cast("string"), "musicbrainz_release_group_id": F.lit(None).cast("string"), "duration_ms": zero_to_null(F.col("duration_ms")), "version": blank_to_null(F.col("version"))})
+    as_tracks = as_tracks.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in TRACK])
+    keyed = settled(with_match_keys(candidates, compose), "keyed")
+    old, new = (settled(with_match_keys(t, compose).drop("credits"), "keyed-tracks") for t in (tracks, as_tracks))
+    asked, old_rows, new_rows = settled(asked_levels(keyed), "asked"), settled(level_rows(old), "levels"), settled(level_rows(new), "levels")
     before, decided = None, None
     while True:
-        seen, known = tracks, links.select("provider", "external_track_id", F.lit(-1).cast("long").alias("at"), "track_id")
+        seen, rows, known = old, old_rows, links.select("provider", "external_track_id", F.lit(-1).cast("long").alias("at"), "track_id")
         if decided is not None:
-            made = decided.filter("kind = 'new'").withColumns({"musicbrainz_recording_id": F.lit(None).cast("string"), "musicbrainz_release_group_id": F.lit(None).cast("string"), "duration_ms": zero_to_null(F.col("duration_ms")), "version": blank_to_null(F.col("version"))})
-            seen = tracks.unionByName(made.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in TRACK]))
+            made = decided.filter("kind = 'new'").select("ordinal")
+            seen, rows = (a.unionByName(b.join(made, "ordinal", "left_semi")) for a, b in ((old, new), (old_rows, new_rows)))
             known = known.unionByName(decided.filter("kind <> 'review'").select("provider", "external_track_id", F.col("ordinal").alias("at"), "track_id"))
         first = known.groupBy("provider", "external_track_id").agg(F.min(F.struct("at", "track_id")).alias("_link"))
-        matched = match(candidates, seen, compose).join(first, ["provider", "external_track_id"], "left")
+        matched = match_keyed(keyed, seen, asked, rows, candidates.columns).join(first, ["provider", "external_track_id"], "left")
         linked = F.coalesce(F.col("_link.at") < F.col("ordinal"), F.lit(False))
         now = matched.select(
             *candidates.columns,
@@ -76,6 +82,8 @@ def decide(candidates: DataFrame, tracks: DataFrame, links: DataFrame, compose:
         discard(last)
         after = _changed(decided, "kind", "rule", "points", "track_id")
         if after == before:
+            for done in (keyed, old, new, asked, old_rows, new_rows):
+                discard(done)
             return decided
         before = after
 
