@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.classify import exportable
 from ..operators.keyed import chunked, first_by, three_way_split, upsert
+from ..storage import settled
 
 REFUSED = "Only exact or manually confirmed matches may be exported"
 
@@ -21,6 +22,21 @@ def export_plan(items: DataFrame, existing: DataFrame, key: str = "provider_trac
     return plan.withColumn("reason", F.when(F.col("bucket") == "rejected", F.lit(REFUSED)))
 
 
+def plan_sizes(plan: DataFrame) -> DataFrame:
+    return plan.agg(*(F.count_if(F.col("bucket") == b).alias(f"n_{b}") for b in ("add", "present", "rejected")))
+
+
+def create_playlist(post: Callable[[str, dict], dict], user_id: str, name: str, description: str = "") -> dict:
+    """A new private playlist, as the service answers: one call, made by the driver."""
+    return post(f"/users/{user_id}/playlists", {"name": name, "description": description, "public": False})
+
+
+def plan_and_write(items: DataFrame, existing: DataFrame, send: Callable[[list[str]], str], size: int = 100) -> tuple[DataFrame, DataFrame]:
+    """(plan, sent batches): what the playlist holds is read, the rest planned and added."""
+    plan = settled(export_plan(items, existing), "export-plan")
+    return plan, settled(write_batches(export_batches(plan, size), send), "sent")
+
+
 def export_batches(plan: DataFrame, size: int = 100, order: str = "ordinal", by: list[str] | None = None) -> DataFrame:
     """The rows to add with the number of their write batch."""
     return chunked(plan.filter("bucket = 'add'"), size, [order], by, "batch")
@@ -45,5 +61,3 @@ def record_exports(exports: DataFrame, sent: DataFrame, items: DataFrame, now) -
     rows = first_by(items.join(sent.select("provider_track_id"), "provider_track_id", "left_semi"), ["target_id", "provider_track_id"], "ordinal")
     rows = rows.select("target_id", "provider_track_id", "track_id", F.lit("exported").alias("status"), now.alias("exported_at"), "ordinal")
     return upsert(exports, rows, ["target_id", "provider_track_id"], "ordinal", ["status", "exported_at", "track_id"])
-
-
