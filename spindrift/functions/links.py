@@ -47,7 +47,7 @@ def validate_link(text: Column, kind: str, host: str = LINK_HOST, name: str = "S
         (F.lower(part(1)) != "https", f"{name} links must use HTTPS."),
         ((where != host) & ~F.endswith(where, F.lit(f".{host}")), f"Only {name} domains are allowed."),
         (trimmed.rlike(_CREDENTIALS), f"{name} links cannot contain credentials."),
-        (wrong, "Enter a SoundCloud artist profile URL." if kind == "profile" else "Enter an exact SoundCloud track URL."),
+        (wrong, f"Enter a {name} artist profile URL." if kind == "profile" else f"Enter an exact {name} track URL."),
     )
     port = F.when(part(4) == ":443", F.lit("")).otherwise(part(4))
     path = F.when(part(5) == "", F.lit("/")).otherwise(part(5))

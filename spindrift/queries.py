@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from .functions import classify, dates, hashing, links, text
 from .operators import keyed, nested
-from .plans import artists, exports, feed, imports, matching, resolution, runs, views
+from .plans import accounts, artists, exports, feed, imports, matching, resolution, runs, views
 from .schemas import TRACK, duplicate_keys, exactly_one, violations
 from .streaming import gates, incremental
 
@@ -72,7 +72,7 @@ def q_extract_version(spark, d):
     size = F.col("p_size")
     mark = classify.ladder((size < 10, "Extended-Mix"), (size < 20, "alive"), (size < 30, "Demons & more"), otherwise=F.col("p_type"))
     title = F.concat(F.col("p_name"), F.lit(" ("), mark, F.lit(")"))
-    return table(spark, d, "part").select("p_partkey", text.extract_version(title, compose=False).alias("version"), text.first_parenthesised(title).alias("shown"))
+    return table(spark, d, "part").select("p_partkey", text.extract_version(title).alias("version"), text.first_parenthesised(title).alias("shown"))
 
 
 _LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate", "l_returnflag", "l_linestatus"]
@@ -131,8 +131,8 @@ def q_classify(spark, d):
     second = F.array_compact(F.array(F.when(F.startswith("p_name", F.lit("red ")), F.lit("Compilation")), F.when(kind == "PROMO", F.lit("Live"))))
     return table(spark, d, "part").select(
         "p_partkey",
-        classify.typed_release(primary, second, compose=False).alias("typed"),
-        classify.titled_release(F.lower(primary), F.col("p_name"), kind, size, F.col("p_brand") >= "Brand#2", compose=False).alias("titled"),
+        classify.typed_release(primary, second).alias("typed"),
+        classify.titled_release(F.lower(primary), F.col("p_name"), kind, size, F.col("p_brand") >= "Brand#2").alias("titled"),
         classify.availability(size < 10, size < 20).alias("availability"),
         classify.region_code(F.col("p_brand")).alias("region"),
     )
@@ -140,7 +140,7 @@ def q_classify(spark, d):
 
 @query(r"""
 WITH p AS (SELECT page_id, url, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) AS host, list_filter(string_split(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '/'), lambda s: s <> '') AS segments FROM pages),
-e AS (SELECT *, CASE WHEN scheme <> 'https' THEN 'Example links must use HTTPS.' WHEN host <> 'example.com' AND NOT ends_with(host, '.example.com') THEN 'Only Example domains are allowed.' WHEN len(segments) < 2 OR lower(segments[1]) = 'search' THEN 'Enter an exact SoundCloud track URL.' END AS error FROM p)
+e AS (SELECT *, CASE WHEN scheme <> 'https' THEN 'Example links must use HTTPS.' WHEN host <> 'example.com' AND NOT ends_with(host, '.example.com') THEN 'Only Example domains are allowed.' WHEN len(segments) < 2 OR lower(segments[1]) = 'search' THEN 'Enter an exact Example track URL.' END AS error FROM p)
 SELECT page_id, error IS NULL AS valid, error, CASE WHEN error IS NULL THEN regexp_replace(url, '#.*$', '') END AS normalized_url, regexp_matches(url, '^https://([A-Za-z0-9-]+\.)*example[.]com(/|$)') AS allowed FROM e
 """)
 def q_url_validate(spark, d):
@@ -382,7 +382,7 @@ FROM c LEFT JOIN e1 USING (ord) LEFT JOIN e2 USING (ord) LEFT JOIN e3 USING (ord
 @query(_MATCH)
 def q_match_decide(spark, d):
     part = table(spark, d, "part")
-    decided = matching.match(part_candidates(part), part_tracks(part), compose=False)
+    decided = matching.match(part_candidates(part), part_tracks(part))
     return decided.select(F.col("ordinal").alias("candidate"), "kind", "rule", "points", "track_id", F.array_join("reasons", "; ").alias("reasons"))
 
 
@@ -398,7 +398,7 @@ def q_resolve_batch(spark, d):
     batch = part_candidates(table(spark, d, "part")).join(table(spark, d, "part").select(F.col("p_partkey").alias("ordinal"), "p_brand", "p_size"), "ordinal")
     batch = batch.withColumns({"provider": F.lit("mock"), "external_release_id": F.col("ordinal").cast("string"), "external_track_id": F.concat_ws("/", "p_brand", "p_size", F.floor(F.col("ordinal") / 400).cast("string"))}).drop("p_brand", "p_size")
     none = spark.createDataFrame([], TRACK)
-    decided = resolution.decide(batch, none, none.select(F.lit("").alias("provider"), F.lit("").alias("external_track_id"), "track_id"), compose=False)
+    decided = resolution.decide(batch, none, none.select(F.lit("").alias("provider"), F.lit("").alias("external_track_id"), "track_id"))
     made = decided.filter("kind = 'new'").select("track_id", F.col("ordinal").alias("creator"))
     return decided.join(made, "track_id", "left").select("ordinal", "kind", "rule", "points", "creator")
 
@@ -417,7 +417,7 @@ def _scored(spark, d) -> DataFrame:
     found = F.when(balance > 2000, F.upper("n_name")).otherwise(F.col("s_name"))
     aliases = F.array(F.when(balance > 4000, F.concat(F.lit("the "), F.col("n_name"))).otherwise(F.col("s_name")))
     score = F.floor(F.greatest(balance, F.lit(0.0)) / 100)
-    out = artists.artist_score(F.col("n_name"), F.array(F.concat(F.lit("The-"), F.col("n_name"))), found, aliases, score, F.when(balance > 5000, F.lit("known")), compose=False)
+    out = artists.artist_score(F.col("n_name"), F.array(F.concat(F.lit("The-"), F.col("n_name"))), found, aliases, score, F.when(balance > 5000, F.lit("known")))
     return rows.select("s_nationkey", "s_suppkey", out["millis"].alias("millis"), F.array_join(out["reasons"], "; ").alias("reasons"))
 
 
@@ -440,7 +440,7 @@ def _preview(spark, d) -> DataFrame:
     imported = part.select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("provider_artist_id"), F.concat_ws(" & ", "p_name", "p_brand").alias("name"))
     known = part.filter("p_size < 25").select(F.col("p_partkey").cast("string").alias("artist_id"), F.concat_ws(" AND ", "p_name", "p_brand").alias("name"))
     aliases = part.filter("p_type = 'PROMO'").select(F.col("p_partkey").cast("string").alias("artist_id"), F.concat_ws(" and ", "p_name", "p_brand").alias("name"))
-    return imports.import_preview(imported, known, aliases, compose=False)
+    return imports.import_preview(imported, known, aliases)
 
 
 _PREVIEW = """
@@ -503,6 +503,102 @@ def q_export_batches(spark, d):
     return exports.export_batches(_plan(spark, d), 100, "provider_track_id").select("provider_track_id", "batch")
 
 
+@query(f"SELECT CAST(count(*) FILTER (WHERE bucket = 'add') AS BIGINT) AS n_add, CAST(count(*) FILTER (WHERE bucket = 'present') AS BIGINT) AS n_present, CAST(count(*) FILTER (WHERE bucket = 'rejected') AS BIGINT) AS n_rejected FROM ({_PLAN})")
+def q_plan_sizes(spark, d):
+    return exports.plan_sizes(_plan(spark, d))
+
+
+@query("""
+SELECT p_partkey, CASE p_type WHEN 'ECONOMY' THEN 'Exported' WHEN 'SMALL' THEN 'Ready' WHEN 'LARGE' THEN 'Not available' ELSE 'Review required' END AS export_label,
+       CASE WHEN p_size < 10 THEN 'not checked' WHEN p_size < 20 THEN 'search link available' WHEN p_size < 30 THEN 'link unverified' WHEN p_size < 40 THEN 'link verified' ELSE 'link rejected' END AS link_label
+FROM part
+""")
+def q_labels(spark, d):
+    kind, size = F.col("p_type"), F.col("p_size")
+    status = classify.ladder((kind == "ECONOMY", "exported"), (kind == "SMALL", "eligible"), (kind == "LARGE", "blocked"), otherwise="review_required")
+    link = classify.ladder(*((size < 10 * (k + 1), name) for k, name in enumerate(classify.LINK_LABELS)), otherwise="USER_LINK_REJECTED")
+    return table(spark, d, "part").select("p_partkey", classify.label(status, classify.EXPORT_LABELS).alias("export_label"), classify.label(link, classify.LINK_LABELS).alias("link_label"))
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS n_pending FROM orders WHERE o_orderstatus = 'P'")
+def q_pending_reviews(spark, d):
+    return views.pending_reviews(table(spark, d, "orders").select(F.when(F.col("o_orderstatus") == "P", F.lit("pending")).otherwise(F.lit("decided")).alias("status")))
+
+
+# Events in the role of writes: a user's events of one type are writes of one key.
+_WRITES = "SELECT event_id AS ordinal, user_id, event_type, value, 'N' || (event_id % 7) AS name FROM events"
+
+
+@query(f"SELECT 'u' || CAST(user_id AS VARCHAR) || '@x' AS email, CAST(min(ordinal) AS VARCHAR) AS user_id, arg_max(name, ordinal) AS display_name FROM ({_WRITES}) GROUP BY user_id")
+def q_owner_upsert(spark, d):
+    rows = table(spark, d, "events").select(F.col("event_id").cast("string").alias("user_id"), F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("@x")).alias("email"), F.concat(F.lit("N"), (F.col("event_id") % 7).cast("string")).alias("display_name"), F.col("event_id").alias("ordinal"))
+    return accounts.upsert_owners(rows.drop("ordinal").limit(0), rows).select("email", "user_id", "display_name")
+
+
+@query(f"""
+WITH w AS ({_WRITES}), a AS (SELECT user_id, arg_max(event_type, ordinal) AS scopes, arg_max(name, ordinal) FILTER (WHERE name <> 'N3') AS named FROM w GROUP BY user_id)
+SELECT CAST(user_id AS VARCHAR) AS provider_account_id, scopes, coalesce(named, CASE WHEN user_id % 2 = 0 THEN 'old' END) AS display_name, false AS reconnect_required, true AS connected FROM a
+""")
+def q_account_upsert(spark, d):
+    events = table(spark, d, "events")
+    name = F.concat(F.lit("N"), (F.col("event_id") % 7).cast("string"))
+    account = lambda df, display, scopes, off: df.select(F.lit("A").alias("account_id"), F.lit("U").alias("user_id"), F.lit("spotify").alias("provider"), F.col("user_id").cast("string").alias("provider_account_id"), display.alias("display_name"), F.lit(None).cast("string").alias("provider_user_id"), scopes.alias("scopes"), F.when(F.lit(off), F.lit("2024-01-01")).cast("timestamp").alias("disconnected_at"), F.lit(off).alias("reconnect_required"), *([F.col("event_id").alias("ordinal")] if "event_id" in df.columns else []))
+    old = account(events.select("user_id").filter("user_id % 2 = 0").distinct(), F.lit("old"), F.lit("none"), True)
+    rows = account(events, F.when(name != "N3", name), F.col("event_type"), True)
+    return accounts.upsert_accounts(old, rows).select("provider_account_id", "scopes", "display_name", "reconnect_required", F.col("disconnected_at").isNull().alias("connected"))
+
+
+@query(f"SELECT CAST(user_id AS VARCHAR) AS user_id, event_type AS provider, 'P' || max(ordinal) AS playlist_id, arg_max(name, ordinal) AS name, true AS enabled FROM ({_WRITES}) GROUP BY ALL")
+def q_target_upsert(spark, d):
+    rows = table(spark, d, "events").select(F.col("user_id").cast("string").alias("user_id"), F.col("event_type").alias("provider"), F.concat(F.lit("P"), F.col("event_id").cast("string")).alias("playlist_id"), F.concat(F.lit("N"), (F.col("event_id") % 7).cast("string")).alias("name"), F.lit(None).cast("string").alias("snapshot_id"), F.lit(False).alias("enabled"), F.col("event_id").alias("ordinal"))
+    return accounts.upsert_targets(rows.drop("ordinal").limit(0), rows).select("user_id", "provider", "playlist_id", "name", "enabled")
+
+
+@query(f"SELECT 'run' AS run_id, provider_artist_id, name AS provider_name, existing_artist_id, proposed_action, selected FROM ({_PREVIEW})")
+def q_import_rows(spark, d):
+    return accounts.import_rows(_preview(spark, d), "run")
+
+
+@query(f"""
+WITH v AS ({_PREVIEW}), o AS (SELECT provider_artist_id AS external_id, existing_artist_id AS artist_id FROM v WHERE proposed_action = 'merge'),
+m AS (SELECT 'P' || p_partkey AS external_id, 'M' || p_partkey AS artist_id FROM part WHERE p_size = 20)
+SELECT 'spotify' AS provider, external_id, coalesce(o.artist_id, m.artist_id) AS artist_id, o.artist_id IS NOT NULL AS confirmed, CASE WHEN o.artist_id IS NULL THEN 'manual' ELSE 'spotify_follow_import' END AS mapping_source,
+       CAST(CASE WHEN m.artist_id IS NULL THEN 1.0 ELSE 0.5 END AS DOUBLE) AS match_score FROM o FULL JOIN m USING (external_id)
+""")
+def q_import_mappings(spark, d):
+    part = table(spark, d, "part")
+    known = part.filter("p_size = 20").select(F.concat(F.lit("M"), F.col("p_partkey").cast("string")).alias("artist_id"), F.lit("spotify").alias("provider"), F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("external_id"), F.lit("").alias("provider_url"), F.lit(False).alias("confirmed"), F.lit(0.5).cast("decimal(4,3)").alias("match_score"), F.lit("manual").alias("mapping_source"))
+    done = _preview(spark, d).select("provider_artist_id", F.when(F.col("proposed_action") == "merge", F.lit("merged")).otherwise(F.lit("skipped")).alias("outcome"), F.col("existing_artist_id").alias("artist_id"), F.lit(0).alias("ordinal"))
+    return accounts.import_mappings(known, done).select("provider", "external_id", "artist_id", "confirmed", "mapping_source", F.col("match_score").cast("double").alias("match_score"))
+
+
+@query(f"""
+WITH r AS (SELECT *, row_number() OVER w AS i, lead(millis) OVER w AS next FROM ({_SCORED}) WINDOW w AS (PARTITION BY s_nationkey ORDER BY s_suppkey)),
+m AS (SELECT *, max(CASE WHEN i = 1 AND millis >= 970 AND (next IS NULL OR millis - next >= 80) THEN 1 ELSE 0 END) OVER (PARTITION BY s_nationkey) AS mapped FROM r),
+p AS (SELECT s_nationkey, s_suppkey, millis FROM m WHERE mapped = 0 AND i <= 5), o AS (SELECT s_nationkey, s_suppkey FROM supplier WHERE s_suppkey % 3 = 0)
+SELECT s_nationkey AS artist, s_suppkey AS proposed, CASE WHEN p.millis IS NULL THEN 'rejected' ELSE 'pending' END AS status, CAST(coalesce(p.millis, 0) AS DOUBLE) / 1000 AS score FROM p FULL JOIN o USING (s_nationkey, s_suppkey)
+""")
+def q_review_upsert(spark, d):
+    ids = [F.col("s_nationkey").cast("string").alias("artist_id"), F.col("s_suppkey").cast("string").alias("external_id")]
+    proposed = artists.map_or_propose(_scored(spark, d).drop("reasons"), ["s_nationkey"], "s_suppkey", "millis").filter("outcome = 'proposed'").select(*ids, F.lit("n").alias("name"), "millis", F.col("s_suppkey").alias("ordinal"))
+    old = table(spark, d, "supplier").filter("s_suppkey % 3 = 0").select(ids[0], F.lit("musicbrainz").alias("provider"), ids[1].alias("proposed_external_id"), F.lit("n").alias("provider_name"), F.lit(0).cast("decimal(4,3)").alias("match_score"), F.lit("rejected").alias("status"))
+    out = accounts.proposed_reviews(old, proposed)
+    return out.select(F.col("artist_id").cast("int").alias("artist"), F.col("proposed_external_id").cast("long").alias("proposed"), "status", F.col("match_score").cast("double").alias("score"))
+
+
+@query(f"""
+WITH r AS (SELECT *, row_number() OVER w AS i, lead(millis) OVER w AS next FROM ({_SCORED}) WINDOW w AS (PARTITION BY s_nationkey ORDER BY s_suppkey)),
+m AS (SELECT s_nationkey, s_suppkey FROM r WHERE i = 1 AND millis >= 970 AND (next IS NULL OR millis - next >= 80))
+SELECT n_nationkey AS artist, coalesce('S' || s_suppkey, 'old' || n_nationkey) AS external_id FROM nation LEFT JOIN m ON s_nationkey = n_nationkey WHERE s_suppkey IS NOT NULL OR n_nationkey % 2 = 0
+""")
+def q_mapping_upsert(spark, d):
+    mapped = artists.map_or_propose(_scored(spark, d).drop("reasons"), ["s_nationkey"], "s_suppkey", "millis").filter("outcome = 'mapped'")
+    rows = mapped.select(F.col("s_nationkey").cast("string").alias("artist_id"), F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("external_id"), "millis", F.col("s_suppkey").alias("ordinal"))
+    key = F.col("n_nationkey").cast("string")
+    old = table(spark, d, "nation").filter("n_nationkey % 2 = 0").select(key.alias("artist_id"), F.lit("musicbrainz").alias("provider"), F.concat(F.lit("old"), key).alias("external_id"), F.lit("").alias("provider_url"), F.lit(True).alias("confirmed"), F.lit(1).cast("decimal(4,3)").alias("match_score"), F.lit("manual").alias("mapping_source"))
+    return accounts.sure_mappings(old, rows).select(F.col("artist_id").cast("int").alias("artist"), "external_id")
+
+
 # -- the feed -----------------------------------------------------------------------------------
 
 
@@ -673,13 +769,29 @@ def _attempts(spark, d) -> DataFrame:
     return table(spark, d, "events").select("event_id", "event_type", F.col("user_id").cast("string").alias("user_id"), micros("ts").alias("at_us"))
 
 
-@query()
+def _stepped(key: str, first: str, step: str) -> str:
+    """Events of each key one after the other; `g` is the state after the one before."""
+    return f"""
+WITH RECURSIVE e AS (SELECT event_id, {key} AS k, user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY {key} ORDER BY ts, event_id) AS i FROM events),
+g(k, i, event_id, until, n, granted) AS (
+  SELECT k, i, event_id, {first} FROM e WHERE i = 1
+  UNION ALL
+  SELECT e.k, e.i, e.event_id, {step} FROM g JOIN e ON e.k = g.k AND e.i = g.i + 1
+)
+SELECT event_id, granted FROM g
+"""
+
+
+_DAY = 24 * 60 * _MINUTE
+
+
+@query(_stepped("user_id", f"t + {_DAY}, 1, true", f"CASE WHEN e.t < until THEN until ELSE e.t + {_DAY} END, CASE WHEN e.t < until THEN n + 1 ELSE 1 END, e.t >= until OR n < 3"))
 def q_rate_limit(spark, d):
     rows = _attempts(spark, d)
-    return gates.replay(rows, "user_id", "at_us", "event_id", "event_type", gates.WindowCounter(3, 24 * 60 * _MINUTE)).select("event_id", "granted")
+    return gates.replay(rows, "user_id", "at_us", "event_id", "event_type", gates.WindowCounter(3, _DAY)).select("event_id", "granted")
 
 
-@query()
+@query(_stepped("event_type", f"t + {30 * _MINUTE}, 1, true", f"CASE WHEN e.t > until THEN e.t + {30 * _MINUTE} ELSE until END, 1, e.t > until"))
 def q_lease(spark, d):
     rows = _attempts(spark, d)
     return gates.replay(rows, "event_type", "at_us", "event_id", "user_id", gates.Lease(30 * _MINUTE)).select("event_id", "granted")

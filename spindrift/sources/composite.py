@@ -25,6 +25,9 @@ RELEASE = (
 def _numbered(rows: DataFrame, columns: dict[str, Column], order: list[str]) -> DataFrame:
     """Rows of the candidate schema.  The ordinal follows from the place in the source, so it
     needs no sort: 24 bits of the parent's place, 20 of the child's, 20 of the grandchild's."""
+    room = {name: 1 << (23 if k == 0 else 20) for k, name in enumerate(order)}
+    fits = [F.assert_true((F.col(o) >= 0) & (F.col(o) < n), F.lit(f"too many places in one source: {o}")).isNull() for o, n in room.items()]
+    rows = rows.filter(fits[0] & fits[1] & fits[2])
     place = sum((F.col(o).cast("long") * (1 << s) for o, s in zip(order, (40, 20, 0))), F.lit(0).cast("long"))
     own = rows.select(place.alias("ordinal"), *(c.alias(n) for n, c in columns.items()))
     missing = [F.lit(None).cast(f.dataType).alias(f.name) for f in CANDIDATE if f.name not in own.columns and f.name != "payload_hash"]
@@ -73,8 +76,9 @@ def community_candidates(mappings: DataFrame, releases: DataFrame, now: Column,
     """
     date = partial_date(F.coalesce(F.col("r.date"), F.col("r.release-group.first-release-date")))
     r = releases.select("artist_external_id", "a", F.from_json("item", RELEASE).alias("r")).withColumn("when", date).filter(F.col("when").isNotNull() & _since(F.col("when.date"), since))
-    rows = mappings.join(r, "artist_external_id").select("*", F.explode("r.media").alias("medium")).select("*", F.posexplode("medium.tracks").alias("_t", "track"))
-    rows = rows.withColumn("t", F.col("medium.position") * 2000 + F.col("_t"))
+    # Tracks are numbered through all media, so that a long medium can't run into the next.
+    listed = F.flatten(F.transform(F.array_sort(F.transform("r.media", lambda m: F.struct(m["position"].alias("position"), m["tracks"].alias("tracks")))), lambda m: F.transform(m["tracks"], lambda x: F.struct(m["position"].alias("position"), x.alias("track")))))
+    rows = mappings.join(r, "artist_external_id").select("*", F.posexplode(listed).alias("t", "_place")).withColumns({"medium": F.struct(F.col("_place.position").alias("position")), "track": F.col("_place.track")}).drop("_place")
     watched = F.col("artist_external_id")
     takes_part = lambda c: F.exists(c, lambda x: x["artist"]["id"] == watched)
     rows = rows.filter(takes_part(F.col("track.artist-credit")) | takes_part(F.col("r.artist-credit")))

@@ -95,17 +95,56 @@ def test_rounds_go_on_until_nothing_changes(spark, monkeypatch):
     """A chain where each row matches the track of the row before, if that made one, takes a
     round for every two rows.  Matching is replaced by this one rule, so that rounds are short."""
 
-    def by_previous(candidates, tracks, compose=True):
+    def by_previous(candidates, tracks, asked, rows, columns):
         before = tracks.select((F.col("ordinal") + 1).alias("ordinal"), "track_id")
         joined = candidates.join(F.broadcast(before), "ordinal", "left")
         hit = F.col("track_id").isNotNull()
-        return joined.select(*candidates.columns, F.when(hit, "automatic").otherwise("new").alias("kind"), F.lit("chain").alias("rule"), F.lit(100).alias("points"), F.array(F.lit("")).alias("reasons"), "track_id")
+        return joined.select(*columns, F.when(hit, "automatic").otherwise("new").alias("kind"), F.lit("chain").alias("rule"), F.lit(100).alias("points"), F.array(F.lit("")).alias("reasons"), "track_id")
 
-    monkeypatch.setattr(resolution, "match", by_previous)
-    rows = [candidate(i) for i in range(120)]
+    monkeypatch.setattr(resolution, "match_keyed", by_previous)
+    rows = [candidate(i) for i in range(104)]
     no_links = spark.createDataFrame([], "provider string, external_track_id string, track_id string")
     got = resolution.decide(spark.createDataFrame(rows, CANDIDATE).coalesce(1), spark.createDataFrame([], TRACK), no_links).collect()
-    assert sorted(r.ordinal for r in got if r.kind == "new") == list(range(0, 120, 2)) and len(got) == 120
+    assert sorted(r.ordinal for r in got if r.kind == "new") == list(range(0, 104, 2)) and len(got) == 104
+
+
+def test_a_tie_counts_only_tracks_before_the_candidate(spark):
+    same = {"title": "Song", "credits": [("A", "primary")], "duration_ms": 200000}
+    track = lambda ordinal: tuple((same | {"ordinal": ordinal, "track_id": f"T{ordinal}"}).get(f.name) for f in TRACK)
+    of = lambda *ordinals: matching.match(spark.createDataFrame([candidate(5, **same)], CANDIDATE), spark.createDataFrame([track(o) for o in ordinals], TRACK)).first()
+    assert (of(1, 9).kind, of(1, 9).track_id) == ("automatic", "T1")  # 9 comes later and is not seen
+    assert of(1, 2, 9).kind == "review" and "Multiple canonical tracks have the same score" in of(1, 2, 9).reasons
+    assert of(9).kind == "new"
+
+
+def test_a_failed_commit_leaves_no_trace(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}")
+    row = spark.createDataFrame([("p", "global", "default", "v")], "provider string, scope string, scope_id string, value string")
+    assert store.commit({"cursors": row}) == 1
+    (tmp_path / "manifests" / "2" / "_temporary" / "0").mkdir(parents=True)
+    assert store.version() == 1 and store.table("cursors").count() == 1
+    assert store.commit({"cursors": row.limit(0)}) == 2 and store.table("cursors").count() == 0
+    assert not [f for f in (tmp_path / "manifests").iterdir() if f.name.startswith("_new")]
+
+
+def test_a_source_is_asked_once(spark, tmp_path):
+    """What is counted is what is stored, and the run is in the history while it lasts."""
+    store = Store(spark, f"file://{tmp_path}")
+    calls, seen = spark.sparkContext.accumulator(0), []
+
+    def source(session, options):
+        seen.extend(r.status for r in store.table("scan_runs").collect())
+
+        def ask(batches):
+            for rows in batches:
+                calls.add(1)
+                yield rows
+
+        return session.createDataFrame([candidate(1), candidate(2)], CANDIDATE).coalesce(1).mapInPandas(ask, CANDIDATE)
+
+    out = run_scan(store, {"mock": source}, Options(now=dt.datetime(2030, 5, 2)))
+    assert (out.discovered, out.inserted, calls.value, seen) == (2, 2, 1, ["running"])
+    assert [(r.status, r.discovered) for r in store.table("scan_runs").collect()] == [("completed", 2)]
 
 
 def pair(spark, c, t, **more):

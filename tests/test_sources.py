@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from spindrift.plans.artists import artist_score, map_or_propose
-from spindrift.plans.exports import export_batches, write_batches
-from spindrift.sources import composite, paged, registry
+from spindrift.plans.exports import create_playlist, export_batches, plan_and_write, record_exports, write_batches
+from spindrift.plans.imports import import_counts
+from spindrift.sources import composite, paged, registry, services
 from spindrift.sources.fixture import fixture_source
 
 
@@ -120,3 +121,86 @@ def test_export_batches(spark):
     plan = spark.range(205).select(F.col("id").alias("ordinal"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("provider_track_id"), F.lit("add").alias("bucket"))
     sent = write_batches(export_batches(plan), lambda ids: f"snap-{ids[0]}").orderBy("batch").collect()
     assert [(r.batch, r.n_items, r.snapshot_id) for r in sent] == [(0, 100, "snap-t0"), (1, 100, "snap-t100"), (2, 5, "snap-t200")]
+
+
+def service(path, parameters):
+    """Canned answers of both services."""
+    at, size = parameters.get("offset", 0), parameters.get("limit", 0)
+    of = lambda n: [{"id": f"{path.split('/')[2] if path.count('/') > 1 else 'x'}-{i}"} for i in range(n)]
+    if path == "/me/following":
+        return {"artists": {"items": [{"id": f"f{parameters.get('after', '0')}"}], "next": "u" if "after" not in parameters else None, "cursors": {"after": "1" if "after" not in parameters else None}}}
+    if path.startswith("/playlists/"):
+        items = [{"item": {"id": "a"}}, {"item": None}, {"item": {"id": "b"}}, {"item": {"id": "a"}}, {"track": {"id": "c"}}]
+        return {"items": items[at : at + 2], "next": "u" if at + 2 < len(items) else None}
+    if path == "/search":
+        return {"artists": {"items": [{"id": parameters["q"]}, {"id": "other"}]}}
+    if path == "/artist":
+        return {"artists": [{"id": parameters["query"], "score": 90}]}
+    if path in ("/release", "/release-group"):
+        key = parameters.get("artist") or parameters["track_artist"]
+        rows = [{"id": f"{key}{i}"} for i in range(3)]
+        return {f"{path[1:]}s": rows[at : at + 2], f"{path[1:]}-count": 3}
+    rows = of(size + 1)
+    return {"items": rows[at : at + size], "next": "u" if at + size < len(rows) else None}
+
+
+def test_named_readers(spark):
+    ids = lambda df: sorted(json.loads(r.item)["id"] for r in df.collect())
+    keys = lambda name, *values: spark.createDataFrame([(v,) for v in values], f"{name} string")
+    assert ids(services.followed_artists(spark, service)) == ["f0", "f1"]
+    assert services.artist_albums(keys("artist_external_id", "k", "m", "k"), service).groupBy("artist_external_id").count().collect().__len__() == 2
+    assert services.artist_albums(keys("artist_external_id", "k"), service).count() == 11
+    assert services.album_tracks(keys("album_id", "k"), service).count() == services.my_playlists(spark, service).count() == 51
+    assert sorted(r.provider_track_id for r in services.playlist_track_ids(keys("playlist_id", "p"), service).collect()) == ["a", "b", "c"]
+    assert ids(services.artists_named(keys("query", "q"), service)) == ["other", "q"]
+    assert ids(services.community_artists(keys("query", "q"), service)) == ["q"]
+    for link in ("artist", "track_artist"):
+        assert ids(services.browsed_releases(keys("artist_external_id", "k"), service, link)) == ["k0", "k1", "k2"]
+    assert ids(services.browsed_release_groups(keys("artist_external_id", "k"), service)) == ["k0", "k1", "k2"]
+    with pytest.raises(ValueError):
+        services.browsed_releases(keys("artist_external_id", "k"), service, "label")
+
+
+def test_requests_are_metered(spark):
+    def shaky(path, parameters):
+        if path == "/bad":
+            raise paged.Transient("busy", after_ms=300)
+        return {}
+
+    get = services.Metered(spark, shaky)
+    get("/good", {})
+    with pytest.raises(paged.Transient):
+        get("/bad", {})
+
+    def enriched(batches):
+        for rows in batches:
+            get("/good", {})
+            yield rows
+
+    spark.createDataFrame([("k",)], "key string").coalesce(1).mapInPandas(enriched, "key string").count()
+    assert (get.requests.value, get.failures.value, get.wait_ms.value) == (3, 1, 300)
+
+
+def test_a_long_medium_does_not_run_into_the_next(spark):
+    credit = [{"name": "A", "artist": {"id": "a", "name": "A"}}]
+    track = lambda i: {"id": f"t{i}", "title": f"T{i}", "position": i, "length": 1000, "artist-credit": credit, "recording": {"id": f"r{i}", "title": "R", "length": 1000, "isrcs": []}}
+    release = {"id": "x", "title": "X", "date": "2030-01-01", "artist-credit": credit, "release-group": {"id": "g", "title": "G", "secondary-types": []}, "media": [{"position": 1, "tracks": [track(i) for i in range(2500)]}, {"position": 2, "tracks": [track(i) for i in range(2500, 3000)]}]}
+    mapped = spark.createDataFrame([(0, "a", "A")], "m int, artist_external_id string, artist_name string")
+    releases = spark.createDataFrame([("a", 0, json.dumps(release))], "artist_external_id string, a int, item string")
+    rows = composite.community_candidates(mapped, releases, F.lit(dt.datetime(2030, 1, 2))).select("ordinal", "disc_number", "external_track_id").orderBy("ordinal").collect()
+    assert len({r.ordinal for r in rows}) == 3000 and [r.external_track_id for r in rows] == [f"r{i}" for i in range(3000)]
+    assert [r.disc_number for r in rows] == [1] * 2500 + [2] * 500
+
+
+def test_plan_and_write(spark):
+    items = spark.createDataFrame([(k, f"t{k % 4}", "exact_isrc", 1.0, False) for k in range(6)], "ordinal int, provider_track_id string, match_rule string, confidence double, manually_confirmed boolean")
+    plan, sent = plan_and_write(items, spark.createDataFrame([("t1",)], "provider_track_id string"), lambda ids: ",".join(ids), size=2)
+    assert {r.provider_track_id: r.bucket for r in plan.collect()} == {"t0": "add", "t1": "present", "t2": "add", "t3": "add"}
+    assert sorted((r.n_items, r.snapshot_id) for r in sent.collect()) == [(1, "t3"), (2, "t0,t2")]
+    assert create_playlist(lambda path, body: {"path": path, **body}, "u", "N") == {"path": "/users/u/playlists", "name": "N", "description": "", "public": False}
+    exports = spark.createDataFrame([("p", "t0", "c0", "failed", None)], "target_id string, provider_track_id string, track_id string, status string, exported_at timestamp")
+    wanted = items.selectExpr("'p' AS target_id", "provider_track_id", "provider_track_id AS track_id", "ordinal")
+    rows = record_exports(exports, plan.filter("bucket = 'add'"), wanted, F.lit(dt.datetime(2030, 1, 2))).collect()
+    assert sorted((r.provider_track_id, r.status) for r in rows) == [("t0", "exported"), ("t2", "exported"), ("t3", "exported")]
+    done = spark.createDataFrame([("created",), ("created",), ("skipped",)], "outcome string")
+    assert tuple(import_counts(done).first()) == (2, 0, 0, 1)
