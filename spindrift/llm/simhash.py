@@ -242,7 +242,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = connected_components(near_links(nodes))
     rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     rooted = stored(rooted, "rooted")
-    ids = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    ids = stored(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "ids")
     return fps.join(rooted.join(ids, "root").select("fp", "component_id"), "fp").select(id_col, "fp", "component_id")
 
 
