@@ -12,7 +12,7 @@ title after its first see that first.  Only the last round's tables are kept.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.classify import announcement_confidence, feed_state, match_status
@@ -36,7 +36,7 @@ def loaded_tracks(tables: dict[str, DataFrame]) -> DataFrame:
     return with_children(tables["tracks"].join(barcodes, "release_id", "left"), credits, ["track_id"], "credits")
 
 
-def _changed(now: DataFrame, *columns: str) -> tuple:
+def _changed(now: DataFrame, *columns: Column | str) -> tuple:
     return tuple(now.agg(F.count("*"), F.sum(F.xxhash64("ordinal", *columns).cast("decimal(38,0)"))).first())
 
 
@@ -61,6 +61,8 @@ def decide(candidates: DataFrame, tracks: DataFrame, links: DataFrame, compose:
     old, new = (settled(with_match_keys(t, compose).drop("credits"), "keyed-tracks") for t in (tracks, as_tracks))
     asked, old_rows, new_rows = settled(asked_levels(keyed), "asked"), settled(level_rows(old), "levels"), settled(level_rows(new), "levels")
     before, decided = None, None
+    # Rounds write decisions alone; the candidates' other columns are joined to the last one.
+    ids = ["ordinal", *KEY]
     while True:
         seen, rows, known = old, old_rows, links.select("provider", "external_track_id", F.lit(-1).cast("long").alias("at"), "track_id")
         if decided is not None:
@@ -68,10 +70,10 @@ def decide(candidates: DataFrame, tracks: DataFrame, links: DataFrame, compose:
             seen, rows = (a.unionByName(b.join(made, "ordinal", "left_semi")) for a, b in ((old, new), (old_rows, new_rows)))
             known = known.unionByName(decided.filter("kind <> 'review'").select("provider", "external_track_id", F.col("ordinal").alias("at"), "track_id"))
         first = known.groupBy("provider", "external_track_id").agg(F.min(F.struct("at", "track_id")).alias("_link"))
-        matched = match_keyed(keyed, seen, asked, rows, candidates.columns).join(first, ["provider", "external_track_id"], "left")
+        matched = match_keyed(keyed, seen, asked, rows, ids).join(first, ["provider", "external_track_id"], "left")
         linked = F.coalesce(F.col("_link.at") < F.col("ordinal"), F.lit(False))
         now = matched.select(
-            *candidates.columns,
+            *ids,
             F.when(linked, F.lit("automatic")).otherwise(F.col("kind")).alias("kind"),
             F.when(linked, F.lit("exact_provider_id")).otherwise(F.col("rule")).alias("rule"),
             F.when(linked, F.lit(100)).otherwise(F.col("points")).alias("points"),
@@ -80,11 +82,13 @@ def decide(candidates: DataFrame, tracks: DataFrame, links: DataFrame, compose:
         )
         last, decided = decided, settled(now, "decisions")
         discard(last)
-        after = _changed(decided, "kind", "rule", "points", "track_id")
+        # What the next round reads of this one: which rows are tracks, and what they link.
+        after = _changed(decided, F.col("kind") == "new", F.when(F.col("kind") != "review", F.col("track_id")))
         if after == before:
-            for done in (keyed, old, new, asked, old_rows, new_rows):
+            whole = settled(keyed.select(*candidates.columns).join(decided.drop(*KEY), "ordinal").select(*candidates.columns, *(c for c in decided.columns if c not in ids)), "decided")
+            for done in (keyed, old, new, asked, old_rows, new_rows, decided):
                 discard(done)
-            return decided
+            return whole
         before = after
 
 
