@@ -3,7 +3,8 @@
 A title can be shared by very many tracks, so candidates are never paired with tracks.  The
 score only asks which of credits, version and duration agree, so tracks are aggregated by
 each of those combinations first; a candidate then looks up eight keys, of which the best
-that exists is its score.  Everything is equality joins on pre-aggregated keys.
+that exists is its score.  Identifiers are keys of the same kind that go before those, so one
+equality join with pre-aggregated keys decides everything.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ AUTOMATIC = 93
 #: Points in falling order, and whether credits, version and duration agree.
 LEVELS = ((100, True, True, True), (90, True, True, False), (85, True, False, True), (75, True, False, False), (70, False, True, True), (60, False, True, False), (55, False, False, True), (45, False, False, False))
 _WIDTH = 2 * TOLERANCE_MS + 1
+#: Exact rules by level, before those of the score, with their points and key columns.
+EXACT = ((-3, "exact_isrc", 100, ("k_isrc",)), (-2, "exact_barcode_position", 99, ("k_place",)), (-1, "exact_musicbrainz", 98, ("k_recording", "k_group")))
 
 KINDS = ("automatic", "review", "new")
 
@@ -43,25 +46,23 @@ def with_match_keys(df: DataFrame, compose: bool = True) -> DataFrame:
     ).withColumn("k_place", F.when(zero_to_null(F.col("track_number")).isNotNull(), F.concat("k_barcode", F.lit("@"), "k_position")))
 
 
-def _spread(key: str) -> Column:
-    """A key that no track has for a candidate without one, so that nulls don't meet in one task."""
-    return F.coalesce(F.col(key), F.concat(F.lit("\x00"), F.col("ordinal").cast("string")))
-
-
-def _first_by_key(tracks: DataFrame, key: str) -> DataFrame:
-    return tracks.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.min(F.struct("ordinal", "track_id")).alias(f"f_{key}"))
-
-
 def _level_key(title: Column, credits: Column, version: Column, level: int, bucket: Column | None) -> Column:
     _, c, v, d = LEVELS[level]
     parts = [F.lit(level), title, credits if c else F.lit(None), F.coalesce(version, F.lit("\x00")) if v else F.lit(None), bucket if d else F.lit(None)]
     return F.struct(*(F.coalesce(p.cast("string"), F.lit("")).alias(f"p{k}") for k, p in enumerate(parts)))
 
 
+def _exact_keys(by_release_group: bool = True) -> list[Column]:
+    """The identifiers' keys, null where a row has none."""
+    parts = lambda level, k: F.struct(*(p.alias(f"p{n}") for n, p in enumerate((F.lit(str(level)), F.col(k), F.lit(k), F.lit(""), F.lit("")))))
+    return [F.when(F.col(k).isNotNull(), parts(level, k)) for level, _, _, keys in EXACT for k in keys if by_release_group or k != "k_group"]
+
+
 def level_rows(tracks: DataFrame) -> DataFrame:
     """Tracks by each level key, with the duration where it counts."""
     bucket = F.floor(F.col("duration_ms") / _WIDTH)
     keys = [F.when(F.lit(True) if not LEVELS[k][3] else F.col("duration_ms").isNotNull(), F.struct(_level_key(F.col("k_title"), F.col("k_credits"), F.col("k_version"), k, bucket).alias("key"), (F.col("duration_ms") if LEVELS[k][3] else F.lit(None).cast("int")).alias("duration"))) for k in range(len(LEVELS))]
+    keys += [F.when(k.isNotNull(), F.struct(k.alias("key"), F.lit(None).cast("int").alias("duration"))) for k in _exact_keys()]
     rows = tracks.select("ordinal", "track_id", "k_version", F.explode(F.filter(F.array(*keys), lambda x: x.isNotNull())).alias("_l"))
     return rows.select("ordinal", "track_id", "k_version", F.col("_l.key").alias("_key"), F.col("_l.duration").alias("_duration"))
 
@@ -78,14 +79,15 @@ def _two_first(rows: DataFrame) -> DataFrame:
     return two.groupBy("_key", "_duration").agg(F.min(F.struct("ordinal", "track_id", "k_version")).alias("_first"), F.max(F.when(F.col("_rank") == 2, F.col("ordinal"))).alias("_second"))
 
 
-def asked_levels(candidates: DataFrame) -> DataFrame:
-    """(_of, _own, _key): the level keys that each candidate looks up."""
+def asked_levels(candidates: DataFrame, by_release_group: bool = True) -> DataFrame:
+    """(_of, _own, _key): the level keys that each candidate looks up, none for a null."""
     args = (F.col("k_title"), F.col("k_credits"), F.col("k_version"))
     d = F.col("duration_ms")
     buckets = F.when(d.isNotNull(), F.sequence(F.floor((d - TOLERANCE_MS) / _WIDTH), F.floor((d + TOLERANCE_MS) / _WIDTH))).otherwise(F.array().cast("array<bigint>"))
     in_buckets = lambda k: F.transform(buckets, lambda b: _level_key(*args, k, b))
     arrays = [in_buckets(k) if LEVELS[k][3] else F.array(_level_key(*args, k, None)) for k in range(len(LEVELS))]
-    return candidates.select(F.col("ordinal").alias("_of"), d.alias("_own"), F.explode(F.concat(*arrays)).alias("_key"))
+    exact = F.filter(F.array(*_exact_keys(by_release_group)), lambda k: k.isNotNull())
+    return candidates.select(F.col("ordinal").alias("_of"), d.alias("_own"), F.explode(F.concat(exact, *arrays)).alias("_key"))
 
 
 def _best_levels(asked: DataFrame, rows: DataFrame) -> DataFrame:
@@ -105,21 +107,17 @@ def match(candidates: DataFrame, tracks: DataFrame, compose: bool = True, by_rel
     (unless switched off) release group; then the score of tracks with an equal title.
     """
     c, t = with_match_keys(candidates, compose), with_match_keys(tracks, compose)
-    return match_keyed(c, t, asked_levels(c), level_rows(t), candidates.columns, by_release_group)
+    return match_keyed(c, asked_levels(c, by_release_group), level_rows(t), candidates.columns)
 
 
-def match_keyed(c: DataFrame, t: DataFrame, asked: DataFrame, rows: DataFrame, columns: list[str], by_release_group: bool = True) -> DataFrame:
+def match_keyed(c: DataFrame, asked: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
     """The same with keys and level rows made before, for rounds over one batch."""
-    seen = lambda f: F.when(F.col(f"{f}.ordinal") < F.col("ordinal"), F.col(f))
-    keys = ["k_isrc", "k_place", "k_recording", *["k_group"] * by_release_group]
-    for key in keys:
-        c = c.join(_first_by_key(t, key), _spread(key) == F.col("_key"), "left").drop("_key").withColumn(f"f_{key}", seen(f"f_{key}"))
-    c = c.withColumn("f_ids", F.least(*(F.col(f"f_{k}") for k in keys[2:])) if by_release_group else F.col("f_k_recording"))
     c = c.join(_best_levels(asked, rows), "ordinal", "left")
-    exact = [(F.col("f_k_isrc").isNotNull(), "exact_isrc", 100), (F.col("f_k_place").isNotNull(), "exact_barcode_position", 99), (F.col("f_ids").isNotNull(), "exact_musicbrainz", 98)]
     level = F.col("_best.level")
-    points = F.element_at(F.array(*(F.lit(p) for p, *_ in LEVELS)), level + 1)
-    agree = lambda k: F.element_at(F.array(*(F.lit(x[k]) for x in LEVELS)), level + 1)
+    exact = [(F.coalesce(level == n, F.lit(False)), rule, points) for n, rule, points, _ in EXACT]
+    at = F.when(level >= 0, level + 1)
+    points = F.element_at(F.array(*(F.lit(p) for p, *_ in LEVELS)), at)
+    agree = lambda k: F.element_at(F.array(*(F.lit(x[k]) for x in LEVELS)), at)
     other = F.col("_best.first.k_version")
     conflict = F.coalesce(other != F.col("k_version"), F.lit(False))
     tied = F.col("_best.n") > 1
@@ -148,7 +146,7 @@ def match_keyed(c: DataFrame, t: DataFrame, asked: DataFrame, rows: DataFrame, c
         rule.alias("rule"),
         ladder(*((w, p) for w, _, p in exact), (level.isNull(), 100), otherwise=points).cast("int").alias("points"),
         reasons.alias("reasons"),
-        F.coalesce(F.col("f_k_isrc.track_id"), F.col("f_k_place.track_id"), F.col("f_ids.track_id"), F.col("_best.first.track_id")).alias("track_id"),
+        F.col("_best.first.track_id").alias("track_id"),
     )
 
 

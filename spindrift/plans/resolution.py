@@ -58,19 +58,19 @@ def decide(candidates: DataFrame, tracks: DataFrame, links: DataFrame, compose:
     as_tracks = candidates.withColumns({"track_id": own_id, "musicbrainz_recording_id": F.lit(None).cast("string"), "musicbrainz_release_group_id": F.lit(None).cast("string"), "duration_ms": zero_to_null(F.col("duration_ms")), "version": blank_to_null(F.col("version"))})
     as_tracks = as_tracks.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in TRACK])
     keyed = settled(with_match_keys(candidates, compose), "keyed")
-    old, new = (settled(with_match_keys(t, compose).drop("credits"), "keyed-tracks") for t in (tracks, as_tracks))
-    asked, old_rows, new_rows = settled(asked_levels(keyed), "asked"), settled(level_rows(old), "levels"), settled(level_rows(new), "levels")
+    asked = settled(asked_levels(keyed), "asked")
+    old, new = (settled(level_rows(with_match_keys(t, compose)), "levels") for t in (tracks, as_tracks))
     before, decided = None, None
     # Rounds write decisions alone; the candidates' other columns are joined to the last one.
     ids = ["ordinal", *KEY]
     while True:
-        seen, rows, known = old, old_rows, links.select("provider", "external_track_id", F.lit(-1).cast("long").alias("at"), "track_id")
+        rows, known = old, links.select("provider", "external_track_id", F.lit(-1).cast("long").alias("at"), "track_id")
         if decided is not None:
             made = decided.filter("kind = 'new'").select("ordinal")
-            seen, rows = (a.unionByName(b.join(made, "ordinal", "left_semi")) for a, b in ((old, new), (old_rows, new_rows)))
+            rows = old.unionByName(new.join(made, "ordinal", "left_semi"))
             known = known.unionByName(decided.filter("kind <> 'review'").select("provider", "external_track_id", F.col("ordinal").alias("at"), "track_id"))
         first = known.groupBy("provider", "external_track_id").agg(F.min(F.struct("at", "track_id")).alias("_link"))
-        matched = match_keyed(keyed, seen, asked, rows, ids).join(first, ["provider", "external_track_id"], "left")
+        matched = match_keyed(keyed, asked, rows, ids).join(first, ["provider", "external_track_id"], "left")
         linked = F.coalesce(F.col("_link.at") < F.col("ordinal"), F.lit(False))
         now = matched.select(
             *ids,
@@ -86,7 +86,7 @@ def decide(candidates: DataFrame, tracks: DataFrame, links: DataFrame, compose:
         after = _changed(decided, F.col("kind") == "new", F.when(F.col("kind") != "review", F.col("track_id")))
         if after == before:
             whole = settled(keyed.select(*candidates.columns).join(decided.drop(*KEY), "ordinal").select(*candidates.columns, *(c for c in decided.columns if c not in ids)), "decided")
-            for done in (keyed, old, new, asked, old_rows, new_rows, decided):
+            for done in (keyed, asked, old, new, decided):
                 discard(done)
             return whole
         before = after

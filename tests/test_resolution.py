@@ -95,8 +95,8 @@ def test_rounds_go_on_until_nothing_changes(spark, monkeypatch):
     """A chain where each row matches the track of the row before, if that made one, takes a
     round for every two rows.  Matching is replaced by this one rule, so that rounds are short."""
 
-    def by_previous(candidates, tracks, asked, rows, columns):
-        before = tracks.select((F.col("ordinal") + 1).alias("ordinal"), "track_id")
+    def by_previous(candidates, asked, rows, columns):
+        before = rows.select((F.col("ordinal") + 1).alias("ordinal"), "track_id").distinct()
         joined = candidates.join(F.broadcast(before), "ordinal", "left")
         hit = F.col("track_id").isNotNull()
         return joined.select(*columns, F.when(hit, "automatic").otherwise("new").alias("kind"), F.lit("chain").alias("rule"), F.lit(100).alias("points"), F.array(F.lit("")).alias("reasons"), "track_id")
