@@ -10,14 +10,17 @@ from pyspark.sql import functions as F
 
 from . import common, quality_sql
 from .decontamination import decontaminate
+from .line_dedup import line_dedup
 from .lm_score import lm_scores
 from .packing import pack_tokens
+from .prefix_trie import conversation_trie
 from .quality import quality_rules
 from .secrets import BASE, secret_scan
 from .sentencepiece_codec import sentencepiece_encode
 from .sharding import assign_shards
 from .simhash import fingerprint_hex, near_duplicates
 from .suffix_dedup import repeated_strings
+from .token_alignment import align_tokens
 from .token_counts import token_counts
 
 PIECES = "piece_bpe_32k.model"
@@ -146,6 +149,37 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(common.read(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = align_tokens(common.read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path(PIECES), digest=True)
+    return aligned.withColumnRenamed("groups", "groups_sha256")
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(common.read(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP12_SQL = """
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
+), lines AS (
+  SELECT r, doc_id, i, ls[i] AS line,
+         translate(trim(ls[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM (SELECT r, doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM docs)
+), shared AS (
+  SELECT k, max(doc_id) AS keeper FROM (SELECT DISTINCT k, doc_id FROM lines WHERE length(k) >= 40) GROUP BY k HAVING count(*) >= 5
+), judged AS (
+  SELECT r, i, line, s.k IS NOT NULL AND doc_id IS DISTINCT FROM keeper AS dropped FROM lines LEFT JOIN shared s USING (k)
+)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+FROM judged JOIN docs USING (r) GROUP BY r
+"""
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(common.read(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
@@ -158,6 +192,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sentencepiece": op8_sentencepiece,
         "op9_sharding": op9_sharding,
         "op10_lm_score": op10_lm_score,
+        "op11_token_alignment": op11_token_alignment,
+        "op12_line_dedup": op12_line_dedup,
+        "op13_prefix_trie": op13_prefix_trie,
     }
 
 
@@ -166,4 +203,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_decontamination": OP1_SQL,
         "op2_quality_rules": quality_sql.SQL,
         "op9_sharding": OP9_SQL,
+        "op12_line_dedup": OP12_SQL,
     }
