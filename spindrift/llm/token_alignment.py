@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import hashlib
-import os
-import re
+import json
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,14 +17,14 @@ from pyspark.sql import types as T
 from .bpe import BYTE, SPACE, PieceVocabulary
 from .common import keyed_text, slices, stored, texts_of
 from .hot_join import join_by_weight
+from .normalizer import Normalizer
+from .packing import encode_text
+from .piece_cache import ChunkCache
 
 #: Id pairs with over 1 / 2**18 of all links are broadcast; by counting there are fewer.
 PAIR_PARTS = 1 << 18
-#: Characters from which on a text is given to the tokenizers in parts.  Both see a space
-#: between two letters as the start of something new, so a part begins there and takes the
-#: prefix's space for it.
-LONG_TEXT = 200_000
-CUT = re.compile(r"(?<=[a-z]) (?=[a-z])")
+# Fixed value: how byte-level vocabularies of this family cut a text before merging.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -39,19 +39,23 @@ class Aligner:
     """Both tokenizers, and the bytes of their tokens; kept by each Python worker."""
 
     def __init__(self, byte_path: str, piece_path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import sentencepiece
-        from tokenizers import Tokenizer
-
-        self.a = Tokenizer.from_file(byte_path)
-        self.a.encode_special_tokens = True
-        self.b = sentencepiece.SentencePieceProcessor(model_file=piece_path)
+        with open(byte_path, encoding="utf-8") as f:
+            model = json.load(f)
         byte_of = _byte_of_char()
-        entries = sorted(((i, s) for s, i in self.a.get_vocab(with_added_tokens=True).items()))
-        self.a_bytes = [b""] * (entries[-1][0] + 1)
-        for i, s in entries:
-            self.a_bytes[i] = bytes(byte_of[c] for c in s) if all(c in byte_of for c in s) else s.encode()
+        own = {i: bytes(byte_of[c] for c in s) for s, i in model["model"]["vocab"].items() if all(c in byte_of for c in s)}
+        added = {t["id"]: t["content"].encode() for t in model["added_tokens"]}
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["model"]["merges"]]
+        ids = [model["model"]["vocab"][x + y] for x, y in merges]
+        if ids != sorted(ids):
+            raise ValueError("merges have to be in the order of their ids")
+        # Merging by rank needs no merge list, as a merge's rank is its id; added tokens are plain text.
+        self.a = tiktoken.Encoding("byte level", pat_str=PATTERN, mergeable_ranks={b: i for i, b in own.items() if i not in added}, special_tokens={})
+        self.a_bytes = [b""] * (max(*own, *added) + 1)
+        for i, b in (own | added).items():
+            self.a_bytes[i] = b
         v = PieceVocabulary(piece_path)
+        self.normalizer, self.chunks = Normalizer(v), v.chunks
+        self.cache = ChunkCache(lambda chunk: np.array([i for i, _, _ in v.encode(chunk)], np.int32).tobytes())
         self.b_bytes = [bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(SPACE, " ").encode() for p, k in zip(v.pieces, v.kinds)]
         self.a_width = np.array([len(x) for x in self.a_bytes])
         self.b_width = np.array([len(x) for x in self.b_bytes])
@@ -61,28 +65,17 @@ class Aligner:
         # What a token adds to the text of its groups: its id and what separates it from the next.
         self.shown = [f"{i}{s}" for i in range(len(self.a_bytes)) for s in (",", "|")] + [f"{i}{s}" for i in range(self.n_b) for s in (",", ";", "")]
 
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """The ids of each text under both; none where their bytes are not space + text."""
-        parts, owner = [], []
-        for k, text in enumerate(texts):
-            at = 0
-            while len(text) - at > LONG_TEXT and (cut := CUT.search(text, at + LONG_TEXT)):
-                parts.append(text[at : cut.start()])
-                owner.append(k)
-                at = cut.end()
-            if text:
-                parts.append(text[at:] if at else text)
-                owner.append(k)
-        a: list[list[int]] = [[] for _ in texts]
-        b: list[list[int]] = [[] for _ in texts]
-        for k, x, y in zip(owner, self.a.encode_batch_fast([f" {p}" for p in parts], add_special_tokens=False), self.b.encode(parts, num_threads=1) if parts else []):
-            a[k] += x.ids
-            b[k] += y
-        for k, text in enumerate(texts):
-            whole = b" " + text.encode()
-            if b"".join(map(self.a_bytes.__getitem__, a[k])) != whole or b"".join(map(self.b_bytes.__getitem__, b[k])) != whole:
-                a[k], b[k] = [], []
-        return a, b
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a text under both; none where their bytes are not space + text."""
+        none = np.zeros(0, np.int64)
+        if not text:
+            return none, none
+        a = encode_text(self.a, f" {text}", PATTERN)
+        b = np.frombuffer(b"".join(map(self.cache.__getitem__, self.chunks.findall(self.normalizer.text(text)))), np.int32)
+        whole = b" " + text.encode()
+        if b"".join(map(self.a_bytes.__getitem__, a)) != whole or b"".join(map(self.b_bytes.__getitem__, b.tolist())) != whole:
+            return none, none
+        return np.array(a, np.int64), b
 
     def align(self, texts: list[str]) -> dict[str, list | np.ndarray]:
         """Counts, groups and distinct id pairs of each text, for all texts at once.
@@ -92,10 +85,9 @@ class Aligner:
         ends of either lies just one link.  Sums before each byte, taken at the documents'
         bounds, give the figures of each.
         """
-        a_lists, b_lists = self.encode(texts)
-        n_a, n_b = (np.array([len(x) for x in lists], np.int64) for lists in (a_lists, b_lists))
-        a = np.fromiter((i for x in a_lists for i in x), np.int64, n_a.sum())
-        b = np.fromiter((i for x in b_lists for i in x), np.int64, n_b.sum())
+        lists = [self.encode(t) for t in texts]
+        n_a, n_b = (np.array([len(x[k]) for x in lists], np.int64) for k in (0, 1))
+        a, b = (np.concatenate([x[k] for x in lists]).astype(np.int64) for k in (0, 1))
         a_end, b_end = np.cumsum(self.a_width[a]), np.cumsum(self.b_width[b])
         size = int(a_end[-1]) if len(a) else 0
         ends_a, ends_b = np.bincount(a_end, minlength=size + 1), np.bincount(b_end, minlength=size + 1)
@@ -150,7 +142,8 @@ def align_tokens(docs: DataFrame, byte_path: str, piece_path: str, id_col: str =
     One pass cuts and links whole Arrow batches and writes each row's distinct pairs.
     Pairs are summed with partial aggregates; a B id's highest counts are as many as B ids.
     Then rows meet the counts: pairs with more than a fixed share of all links are fewer than
-    its inverse and are broadcast, the others are joined by a shuffle that none can unbalance.
+    its inverse and are broadcast, only the others are joined by a shuffle, which none can
+    unbalance.
 
     Null and empty texts, and those whose tokens don't spell space + text, have no tokens:
     zeros and empty groups.  Repeated rows and null ids give a row each; texts of any length
@@ -186,7 +179,7 @@ def align_tokens(docs: DataFrame, byte_path: str, piece_path: str, id_col: str =
     of_b = F.col("_pair") % n_b
     highest = counts.groupBy(of_b.alias("_b")).agg(F.max("_count").alias("_highest"))
     table = stored(counts.withColumn("_b", of_b).join(F.broadcast(highest), "_b").select("_pair", "_count", (F.col("_count") == F.col("_highest")).alias("_best")), "pair-table")
-    met = join_by_weight(links, table, ["_pair"], "_count", ["_row", "_pair"], PAIR_PARTS)
+    met = join_by_weight(links, table, ["_pair"], "_count", None, PAIR_PARTS)
     sums = met.groupBy("_row").agg(F.sum(F.when(F.col("_best"), F.col("_n")).otherwise(0)).alias("_n_best"), F.sum(F.col("_n") * F.col("_count")).alias("_count_sum"))
     none = F.lit(0).cast("long")
     return rows.join(sums, "_row", "left").select(F.col("_id").alias(id_col), *names, F.coalesce("_n_best", none).alias("n_best"), F.coalesce("_count_sum", none).alias("count_sum"), "groups")

@@ -40,6 +40,7 @@ def test_join_by_weight_equals_a_left_join(spark):
     for parts in (1, 3, 1000):
         got = join_by_weight(rows, table, ["key"], "weight", ["n"], parts)
         same(got, [tuple(r) for r in rows.join(table, "key", "left").collect()])
+        same(join_by_weight(rows, table, ["key"], "weight", None, parts), [tuple(r) for r in got.collect()])
     assert join_by_weight(rows, table.limit(0), ["key"], "weight", ["n"]).filter("value is not null").isEmpty()
 
 
@@ -108,16 +109,15 @@ def test_cold_pairs_are_joined_too(spark, monkeypatch):
     same(align_tokens(docs, BYTES, PIECES), plain_alignment(TEXTS))
 
 
-def test_long_texts_are_cut_where_nothing_reaches_across(monkeypatch):
+def test_ids_are_those_of_the_libraries():
     random.seed(3)
-    word = lambda: "".join(random.choice("abcdeé,.X ") for _ in range(random.randint(1, 9)))
-    text = " ".join(word() for _ in range(4_000))
-    tool = Aligner(BYTES, PIECES)
-    whole = tool.encode([text, "x"])
-    monkeypatch.setattr(token_alignment, "LONG_TEXT", 50)
-    assert tool.encode([text, "x"]) == whole
-    vocabulary = token_alignment.PieceVocabulary(PIECES)
-    assert not any(re.search("[a-z]▁", p) for p in vocabulary.pieces)
+    word = lambda: "".join(random.choice("abcdeéÉß,.X'’s \t\n12٣日🙂\u200b\u0000\x1c\x85\xa0<|") for _ in range(random.randint(1, 12)))
+    texts = [" ".join(word() for _ in range(random.randint(1, 60))) for _ in range(300)] + [" " * 150_000 + "x", "don't 'S we'll\r\n", "a" * 5_000]
+    tool, a, b = Aligner(BYTES, PIECES), Tokenizer.from_file(BYTES), sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    a.encode_special_tokens = True
+    for text in texts:
+        x, y = tool.encode(text)
+        assert x.tolist() == a.encode(f" {text}", add_special_tokens=False).ids and y.tolist() == b.encode(text)
 
 
 def test_alignment_query_on_edges_and_table(spark, sf_dir, edges):
