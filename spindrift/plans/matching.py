@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions.classify import ladder
-from ..functions.text import blank_to_null, composed_credits, extract_version, normalize_identifier, normalize_text, normalized_credits, zero_to_null
+from ..functions.text import VERSION_MARKERS, blank_to_null, composed_credits, first_contained, normalize_identifier, normalize_text, normalized_credits, zero_to_null
 
 TOLERANCE_MS = 2000
 #: Least points, of 100, of an automatic match.
@@ -41,9 +41,8 @@ def with_match_keys(df: DataFrame, compose: bool = True) -> DataFrame:
             "k_group": blank_to_null(F.col("musicbrainz_release_group_id")),
             "k_title": normalize_text(F.col("title"), compose),
             "k_credits": F.coalesce(normalized_credits(credits), F.lit("")),
-            "k_version": F.coalesce(F.col("version"), extract_version(F.col("title"), compose=compose)),
         }
-    ).withColumn("k_place", F.when(zero_to_null(F.col("track_number")).isNotNull(), F.concat("k_barcode", F.lit("@"), "k_position")))
+    ).withColumn("k_version", F.coalesce(F.col("version"), first_contained(F.col("k_title"), VERSION_MARKERS))).withColumn("k_place", F.when(zero_to_null(F.col("track_number")).isNotNull(), F.concat("k_barcode", F.lit("@"), "k_position")))
 
 
 def _level_key(title: Column, credits: Column, version: Column, level: int, bucket: Column | None) -> Column:

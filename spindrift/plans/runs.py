@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators.keyed import upsert
 from ..schemas import struct_of, validated
-from ..storage import Store, discard, settled
+from ..storage import Added, Store, discard, settled
 from .resolution import persist
 
 log = logging.getLogger(__name__)
@@ -63,21 +63,24 @@ def run_scan(store: Store, sources: dict[str, Source], options: Options) -> Summ
         run_id, candidates = f"{name}-{options.now.isoformat()}", None
         try:
             if not options.dry_run:
-                store.commit({"scan_runs": with_run(store.table("scan_runs"), run_row(spark, run_id, name, "running", options.now, {}))})
+                store.transact(lambda tables: {"scan_runs": with_run(tables["scan_runs"], run_row(spark, run_id, name, "running", options.now, {}))})  # noqa: B023
             candidates = settled(validated(source(spark, options)), "candidates")
             discovered = candidates.count()
             counts = {"discovered": discovered, "inserted": 0, "skipped": 0, "needs_review": 0}
             if not options.dry_run:
-                with store.lease(name, run_id, options.now):
-                    tables = store.tables()
-                    changed, decided = persist(candidates, tables, run_id)
+
+                def step(tables: dict[str, DataFrame]) -> dict[str, DataFrame | Added]:
+                    changed, decided = persist(candidates, tables, run_id)  # noqa: B023
                     n = decided.agg(F.count("*").alias("n"), F.count_if(F.col("kind") == "review").alias("review")).first()
-                    counts |= {"inserted": n.n, "skipped": discovered - n.n, "needs_review": n.review}
-                    changed["scan_runs"] = with_run(tables["scan_runs"], run_row(spark, run_id, name, "completed", options.now, counts))
-                    cursor = getattr(source, "next_cursor", None)
+                    counts.update(inserted=n.n, skipped=discovered - n.n, needs_review=n.review)  # noqa: B023
+                    changed["scan_runs"] = with_run(tables["scan_runs"], run_row(spark, run_id, name, "completed", options.now, counts))  # noqa: B023
+                    cursor = getattr(source, "next_cursor", None)  # noqa: B023
                     if cursor:
-                        changed["cursors"] = with_cursor(tables["cursors"], name, cursor)
-                    store.commit(changed)
+                        changed["cursors"] = with_cursor(tables["cursors"], name, cursor)  # noqa: B023
+                    return changed
+
+                with store.lease(name, run_id, options.now):
+                    store.transact(step)
             out.by_provider[name] = counts
             for k, v in counts.items():
                 setattr(out, k, getattr(out, k) + v)
@@ -85,7 +88,7 @@ def run_scan(store: Store, sources: dict[str, Source], options: Options) -> Summ
             log.warning("scan of %s failed: %s", name, type(e).__name__)
             out.errors[name] = str(e).splitlines()[0][:500]
             if not options.dry_run:
-                store.commit({"scan_runs": with_run(store.table("scan_runs"), run_row(spark, run_id, name, "failed", options.now, {}, out.errors[name]))})
+                store.transact(lambda tables: {"scan_runs": with_run(tables["scan_runs"], run_row(spark, run_id, name, "failed", options.now, {}, out.errors[name]))})  # noqa: B023
             if options.provider == name:
                 raise
         finally:

@@ -55,6 +55,8 @@ TABLES: dict[str, tuple[str, tuple[str, ...]]] = {
     "artist_follows": ("artist_id string, followed_at timestamp, active boolean", ("artist_id",)),
     "releases": ("release_id string, title string, normalized_title string, release_type string, release_date string, release_date_precision string, upc string, ean string, version string", ("release_id",)),
     "tracks": ("track_id string, ordinal long, release_id string, title string, normalized_title string, duration_ms int, isrc string, disc_number int, track_number int, musicbrainz_recording_id string, musicbrainz_release_group_id string, version string", ("track_id",)),
+    # The matcher's keys of stored tracks, made when these are written.
+    "match_index": ("p0 string, p1 string, p2 string, p3 string, p4 string, duration int, ordinal long, track_id string, version string", ("p0", "p1", "p2", "p3", "p4", "duration", "ordinal")),
     "track_credits": ("track_id string, credit_order int, artist_id string, role string, credited_name string", ("track_id", "credit_order")),
     "track_external_ids": ("provider string, external_id string, track_id string, provider_url string, provider_fields string", ("provider", "external_id")),
     "release_external_ids": ("provider string, external_id string, release_id string, provider_url string, provider_fields string", ("provider", "external_id")),

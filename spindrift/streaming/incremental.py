@@ -10,8 +10,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.keyed import insert_or_ignore
 from ..plans.resolution import persist
-from ..schemas import CANDIDATE
-from ..storage import Store
+from ..schemas import CANDIDATE, validated
+from ..storage import Store, discard, settled
 
 
 def resolve_stream(spark: SparkSession, folder: str, store: Store, checkpoint: str) -> StreamingQuery:
@@ -19,14 +19,16 @@ def resolve_stream(spark: SparkSession, folder: str, store: Store, checkpoint: s
 
     The stream's checkpoint tells which files are new; keys in the store absorb what comes
     twice, at any lateness, so no watermark is set.  A batch that is retried after a crash
-    finds its own rows in the store and adds none.
+    finds its own rows in the store and adds none.  A row that breaks a rule fails its batch,
+    which is then not committed; a batch that meets another writer's commit starts again.
     """
 
     def step(batch: DataFrame, number: int) -> None:
         if batch.isEmpty():
             return
-        changed, _ = persist(batch, store.tables(), f"stream-{number}")
-        store.commit(changed)
+        rows = settled(validated(batch), "batch")
+        store.transact(lambda tables: persist(rows, tables, f"stream-{number}")[0])
+        discard(rows)
 
     return spark.readStream.schema(CANDIDATE).parquet(folder).writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

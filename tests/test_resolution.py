@@ -2,14 +2,15 @@
 
 import datetime as dt
 import random
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
 
 from spindrift.plans import matching, resolution
 from spindrift.plans.runs import Options, recent_runs, run_scan, with_cursor
-from spindrift.schemas import CANDIDATE, TRACK, candidate_rules, validated, violations
-from spindrift.storage import Store
+from spindrift.schemas import CANDIDATE, TRACK, candidate_rules, table_schema, validated, violations
+from spindrift.storage import Added, Conflict, Store
 from spindrift.streaming.incremental import resolve_stream
 
 from .fixtures import candidate, five_candidates
@@ -102,7 +103,7 @@ def test_rounds_go_on_until_nothing_changes(spark, monkeypatch):
         return joined.select(*columns, F.when(hit, "automatic").otherwise("new").alias("kind"), F.lit("chain").alias("rule"), F.lit(100).alias("points"), F.array(F.lit("")).alias("reasons"), "track_id")
 
     monkeypatch.setattr(resolution, "match_keyed", by_previous)
-    rows = [candidate(i) for i in range(104)]
+    rows = [candidate(i, title="Same") for i in range(104)]  # a round looks at rows that share a key
     no_links = spark.createDataFrame([], "provider string, external_track_id string, track_id string")
     got = resolution.decide(spark.createDataFrame(rows, CANDIDATE).coalesce(1), spark.createDataFrame([], TRACK), no_links).collect()
     assert sorted(r.ordinal for r in got if r.kind == "new") == list(range(0, 104, 2)) and len(got) == 104
@@ -238,3 +239,130 @@ def test_resolution_as_a_stream(spark, tmp_path):
         assert store.table("release_candidates").count() == (2, 4)[n]
     assert store.table("tracks").count() == 2
     assert store.table("release_candidates").filter(F.col("match_rule") == "manual_review").count() == 1
+
+
+def test_a_chain_of_identifiers_equals_the_sequential_version(spark):
+    """Row k has the ISRC of the row before or its barcode, in turn: every second is new."""
+    rows = [candidate(k, title=f"Song {k}", isrc=f"ISRC{(k + 1) // 2:05d}", upc=f"UPC{k // 2:05d}", track_number=1, artist_name=f"A{k}", credits=[(f"A{k}", "primary")]) for k in range(9)]
+    no_links = spark.createDataFrame([], "provider string, external_track_id string, track_id string")
+    got = resolution.decide(spark.createDataFrame(rows, CANDIDATE), spark.createDataFrame([], TRACK), no_links).collect()
+    names = {r.track_id: f"new-{r.ordinal}" for r in got if r.kind == "new"}
+    assert {r.ordinal: (r.kind, r.rule, r.points, names.get(r.track_id, r.track_id)) for r in got} == sequential(rows, [], {})
+    assert sorted(r.ordinal for r in got if r.kind == "new") == [0, 2, 4, 6, 8]
+
+
+def test_batches_through_the_index_equal_one_batch(spark, tmp_path):
+    """Stored tracks are met through the match index as the tracks of the batch itself are."""
+    rows = [candidate(k, title=f"Song {k % 4}", duration_ms=1000 * (k % 5), artist_name="A", credits=[("A", "primary")], isrc=f"ISRC{k % 7}", version="live" if k % 3 == 0 else None) for k in range(24)]
+    found = []
+    for name, parts in (("one", [rows]), ("three", [rows[:7], rows[7:15], rows[15:]])):
+        store = Store(spark, f"file://{tmp_path}/{name}")
+        for n, part in enumerate(parts):
+            store.transact(lambda tables, part=part, n=n: resolution.persist(spark.createDataFrame(part, CANDIDATE), tables, f"run-{n}")[0])
+        found.append(sorted(tuple(r) for r in store.table("release_candidates").select("external_track_id", "match_rule", "match_confidence", "track_id").collect()))
+        assert sorted(r.ordinal for r in store.table("tracks").collect()) == list(range(store.table("tracks").count()))
+    assert found[0] == found[1]
+    assert len(store.manifest_folders("release_candidates")) == 3  # each batch added its own rows
+
+
+def _cursors(spark, *values):
+    return spark.createDataFrame([("p", "global", v, v) for v in values], "provider string, scope string, scope_id string, value string")
+
+
+def test_racing_commits_are_both_kept_or_one_is_refused(spark, tmp_path):
+    a, b = Store(spark, f"file://{tmp_path}"), Store(spark, f"file://{tmp_path}")
+    read = a.snapshot()
+    assert b.commit({"cursors": _cursors(spark, "b")}) == 1
+    with pytest.raises(Conflict):
+        a.commit({"cursors": _cursors(spark, "a")}, read)
+    assert [r.value for r in a.table("cursors").collect()] == ["b"] and len(list((tmp_path / "cursors").iterdir())) == 1
+    runs = spark.createDataFrame([], table_schema("scan_runs"))
+    assert a.commit({"scan_runs": runs}, read) == 2  # another table: it goes after the other commit
+    assert a.table("cursors").count() == 1
+    # The number is taken between the look and the publication: both are there in the end.
+    take, raced = a._take, []
+
+    def late(folder, number, content):
+        if not raced:
+            raced.append(b.commit({"cursors": Added(_cursors(spark, "c"))}))
+        return take(folder, number, content)
+
+    a._take = late
+    assert a.commit({"cursors": Added(_cursors(spark, "d"))}) == 4 and raced == [3]
+    assert sorted(r.value for r in b.table("cursors").collect()) == ["b", "c", "d"]
+    assert not [f for f in (tmp_path / "manifests").iterdir() if "_new" in f.name] and not list((tmp_path / "writing").glob("*.json"))
+
+
+def test_commits_from_threads(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}")
+
+    def add(k):
+        def change(tables):
+            return {"cursors": tables["cursors"].unionByName(_cursors(spark, str(k)))}
+
+        return Store(spark, f"file://{tmp_path}").transact(change, attempts=20)
+
+    with ThreadPoolExecutor(4) as pool:
+        versions = list(pool.map(add, range(6)))
+    assert sorted(versions) == [1, 2, 3, 4, 5, 6] and sorted(r.value for r in store.table("cursors").collect()) == list("012345")
+
+
+def test_deletion_leaves_no_row_on_disk(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}")
+    for v in "abc":
+        store.commit({"cursors": Added(_cursors(spark, v)), "scan_runs": spark.createDataFrame([], table_schema("scan_runs"))})
+    assert store.expire(keep=1) and store.table("cursors").count() == 3  # only replaced folders go
+    store._write("writing/other.json", {"since": dt.datetime.now(dt.UTC).isoformat()})
+    (tmp_path / "cursors" / "other").mkdir()
+    (tmp_path / "cursors" / "dead").mkdir()
+    store.erase("cursors")
+    assert store.table("cursors").count() == 0
+    left = [f for f in (tmp_path / "cursors").rglob("*.parquet")]
+    assert sum(spark.read.parquet(f"file://{f}").count() for f in left) == 0
+    assert (tmp_path / "cursors" / "other").exists() and not (tmp_path / "cursors" / "dead").exists()
+
+
+def test_the_rename_of_other_file_systems_does_not_overwrite(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}")
+    real = store._fs
+
+    class Remote:
+        """The same files under another scheme's name."""
+
+        def __getattr__(self, name):
+            return getattr(real(), name)
+
+        def getUri(self):
+            return store._jvm.java.net.URI("hdfs://somewhere/")
+
+    store._fs = Remote
+    assert store._take("manifests", 1, {"a": []}) and not store._take("manifests", 1, {"b": []})
+    assert store._said("manifests/1.json") == {"a": []}
+
+
+def test_an_ended_lease_goes_to_one_only(spark, tmp_path):
+    store, now = Store(spark, f"file://{tmp_path}"), dt.datetime(2030, 1, 1)
+    with store.lease("mock", "first", now):
+        other = Store(spark, f"file://{tmp_path}")
+        real = other._take
+        other._take = lambda folder, n, content: store._take(folder, n, {"until": dt.datetime.max.isoformat(), "owner": "third"}) and real(folder, n, content)
+        with pytest.raises(RuntimeError, match="another run"), other.lease("mock", "second", now + dt.timedelta(hours=1)):
+            pass
+    with pytest.raises(RuntimeError, match="another run"), store.lease("mock", "first", now + dt.timedelta(hours=2)):
+        pass  # the third one's is not given back by the first
+
+
+def test_many_added_folders_become_one(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(Store, "MOST_FOLDERS", 3)
+    store = Store(spark, f"file://{tmp_path}")
+    for v in "abcde":
+        store.transact(lambda tables, v=v: {"cursors": Added(_cursors(spark, v))})
+    assert store.table("cursors").count() == 5 and len(store.manifest_folders("cursors")) == 2
+
+
+def test_a_stream_refuses_a_bad_row(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store")
+    spark.createDataFrame([candidate(0), candidate(1, region="USA")], CANDIDATE).coalesce(1).write.parquet(str(tmp_path / "in"))
+    with pytest.raises(Exception, match="invalid candidate"):
+        resolve_stream(spark, str(tmp_path / "in"), store, str(tmp_path / "check")).awaitTermination()
+    assert store.version() == 0
