@@ -35,11 +35,15 @@ def upsert(target: DataFrame, incoming: DataFrame, keys: list[str], order: str,
     their `updated` columns written over it, in the order of `order`.
 
     Columns that are not updated keep the value of the first row of the key, the target's
-    row coming before all.  Both sides have the columns of `target`; `incoming` has `order`
+    row coming before all.  Rows with a null in the key are distinct from all others, as in
+    a unique index: they are inserted.  Both sides have the columns of `target`; `incoming` has `order`
     as well.  One aggregate by key: no join, and one row a key and task is shuffled.
     """
     columns = target.columns
     kept = [c for c in columns if c not in keys and c not in updated]
+    nulls = sum((F.col(k).isNull().cast("int") for k in keys), F.lit(0)) > 0
+    loose = target.filter(nulls).select(*columns).unionByName(incoming.filter(nulls).select(*columns))
+    target, incoming = target.filter(~nulls), incoming.filter(~nulls)
     both = target.select(*columns, F.lit(0).alias("_side"), F.lit(None).cast(incoming.schema[order].dataType).alias("_at")).unionByName(
         incoming.select(*columns, F.lit(1).alias("_side"), F.col(order).alias("_at"))
     )
@@ -48,7 +52,8 @@ def upsert(target: DataFrame, incoming: DataFrame, keys: list[str], order: str,
         F.min(F.struct(*place, F.struct(*kept).alias("row")) if kept else F.lit(0)).alias("_first"),
         F.max(F.struct(*place, F.struct(*updated).alias("row")) if updated else F.lit(0)).alias("_last"),
     )
-    return merged.select(*(F.col(c) if c in keys else F.col(f"_last.row.{c}").alias(c) if c in updated else F.col(f"_first.row.{c}").alias(c) for c in columns))
+    rows = merged.select(*(F.col(c) if c in keys else F.col(f"_last.row.{c}").alias(c) if c in updated else F.col(f"_first.row.{c}").alias(c) for c in columns))
+    return rows.unionByName(loose)
 
 
 def update_where(df: DataFrame, condition: Column, **values: Column) -> DataFrame:

@@ -6,6 +6,7 @@ beside a query says the same in plain form and is what the driver holds the resu
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,9 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .functions import classify, dates, hashing, links, text
-from .operators import keyed, nested
+from .operators import keyed, nested, ranged
 from .plans import accounts, artists, exports, feed, imports, matching, resolution, runs, views
 from .schemas import TRACK, duplicate_keys, exactly_one, violations
+from .storage import shared_root
 from .streaming import gates, incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -264,6 +266,32 @@ def q_insert_ignore(spark, d):
     return keyed.insert_or_ignore(rows.limit(0), rows, ["normalized"], "doc_id")
 
 
+@query("""
+WITH old AS (SELECT user_id, min(event_id) AS first_event, arg_max(value, (ts, event_id)) AS value FROM events WHERE event_type = 'view' GROUP BY 1),
+new AS (SELECT user_id, arg_min(event_id, (ts, event_id)) AS first_event, arg_max(value, (ts, event_id)) AS value FROM events WHERE event_type <> 'view' GROUP BY 1)
+SELECT user_id, coalesce(old.first_event, new.first_event) AS first_event, coalesce(new.value, old.value) AS value FROM old FULL JOIN new USING (user_id)
+""")
+def q_ranged_upsert(spark, d):
+    """Users known by their views, written over by all other events, in ranges of users."""
+    events = table(spark, d, "events").withColumn("at", F.struct("ts", "event_id"))
+    known = events.filter("event_type = 'view'").groupBy("user_id").agg(F.min("event_id").alias("first_event"), F.max_by("value", "at").alias("value"))
+    users = ranged.RangedTable.create(f"{shared_root(spark)}/users-{uuid.uuid4().hex}", known, ["user_id"], 16)
+    users.upsert(events.filter("event_type <> 'view'").select("user_id", F.col("event_id").alias("first_event"), "value", "at"), "at", ["value"])
+    return users.rows().select("user_id", "first_event", "value")
+
+
+@query("""
+WITH known AS (SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)
+SELECT o_custkey, o_orderkey FROM known UNION ALL SELECT o_custkey, min(o_orderkey) FROM orders WHERE o_orderstatus <> 'F' AND o_custkey NOT IN (SELECT o_custkey FROM known) GROUP BY 1
+""")
+def q_insert_into_filled(spark, d):
+    """Customers with a filled target: the first other order of those that are not in it."""
+    orders = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderstatus")
+    known = keyed.first_by(orders.filter("o_orderstatus = 'F'"), ["o_custkey"], "o_orderkey").select("o_custkey", "o_orderkey")
+    fresh = keyed.insert_or_ignore(known, orders.filter("o_orderstatus <> 'F'"), ["o_custkey"], "o_orderkey")
+    return known.unionByName(fresh.select("o_custkey", "o_orderkey"))
+
+
 @query("SELECT user_id, event_type, CAST(ts AS DATE) AS scheduled_for, min(event_id) AS first_event FROM events GROUP BY ALL")
 def q_history(spark, d):
     rows = table(spark, d, "events").select("user_id", "event_type", F.to_date("ts").alias("scheduled_for"), F.col("event_id").alias("first_event"))

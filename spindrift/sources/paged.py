@@ -94,15 +94,17 @@ def fetched(keys: DataFrame, key: str, fetch: Fetch, paging: Paging, width: int
     return (distinct.repartition(width, key) if width else distinct).mapInPandas(read, f"{key} string, position long, item string")
 
 
-def looked_up(keys: DataFrame, key: str, get: Callable[[str], dict | None]) -> DataFrame:
-    """(key, item) of one record each; keys that the service does not know are left out."""
+def looked_up(keys: DataFrame, key: str, get: Callable[[str], dict | None], width: int | None = 16) -> DataFrame:
+    """(key, item) of one record each; keys that the service does not know are left out.
+    At most `width` records are asked for at once."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             found = [(k, json.dumps(item)) for k in rows[key] if (item := get(k)) is not None]
             yield pd.DataFrame(found, columns=[key, "item"])
 
-    return keys.select(key).dropna().distinct().mapInPandas(read, f"{key} string, item string")
+    distinct = keys.select(key).dropna().distinct()
+    return (distinct.repartition(width, key) if width else distinct).mapInPandas(read, f"{key} string, item string")
 
 
 @dataclass
