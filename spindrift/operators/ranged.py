@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..storage import discard, settled
 from . import keyed
@@ -32,7 +33,7 @@ class RangedTable:
     def _ranges(self) -> DataFrame:
         """The rows with their range; an empty table has a schema as well."""
         kept = self.spark.read.parquet(f"{self.path}/schema").schema
-        return self.spark.read.schema(kept.add(RANGE, "int")).parquet(f"{self.path}/rows")
+        return self.spark.read.schema(kept.add(RANGE, T.IntegerType())).parquet(f"{self.path}/rows")
 
     @classmethod
     def create(cls, path: str, df: DataFrame, keys: list[str], ranges: int = 200) -> RangedTable:
