@@ -51,8 +51,10 @@ class Phrases:
 def phrase_table(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_bytes: int) -> tuple[DataFrame, int]:
     """(block, phrase, items) of the different phrases, and the number of blocks.
 
-    Phrases are dealt by hash in so many blocks that none has more than `block_bytes` of
-    phrases and item names, a larger single phrase aside; the blocks are measured.
+    Phrases with their item names that take over an eighth of `block_bytes` are set apart
+    first and packed into blocks of their own, one that is larger than a block alone; there
+    are at most eight for each block's size of data.  The others are dealt by hash in so many
+    blocks that none has more than `block_bytes`; these blocks are measured.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,13 +69,28 @@ def phrase_table(benchmark: DataFrame, item_col: str, text_col: str, window: int
     owned = bench.mapInArrow(cut, "phrase binary, item string").groupBy("phrase").agg(F.collect_set("item").alias("items"))
     size = F.octet_length("phrase") + 16 + F.aggregate("items", F.lit(0), lambda n, i: n + 8 + F.octet_length(i))
     owned = stored(owned.withColumn("size", size.cast("long")), "phrases")
-    total = owned.agg(F.sum("size")).first()[0] or 0
+    apart = F.col("size") * 8 > block_bytes
+    # The driver packs sizes alone: next fit by falling size.
+    number, room, packed = -1, 0, []
+    for r in owned.filter(apart).select(F.xxhash64("phrase").alias("of"), F.octet_length("phrase").alias("n"), "size").orderBy(F.desc("size"), "of").collect():
+        if r["size"] > room:
+            number, room = number + 1, block_bytes
+        room -= r["size"]
+        packed.append((r["of"], r["n"], number))
+    large = number + 1
+    rest = owned.filter(~apart)
+    total = rest.agg(F.sum("size")).first()[0] or 0
     blocks = 1 if total <= block_bytes else -(-2 * total // block_bytes)
     while True:
-        dealt = owned.withColumn("block", F.pmod(F.xxhash64("phrase"), F.lit(blocks)))
-        if blocks == 1 or dealt.groupBy("block").agg(F.sum("size").alias("s"), F.count("*").alias("n")).filter((F.col("s") > block_bytes) & (F.col("n") > 1)).isEmpty():
-            return dealt.select("block", "phrase", "items"), blocks
+        dealt = rest.withColumn("block", F.pmod(F.xxhash64("phrase"), F.lit(blocks)))
+        if blocks == 1 or dealt.groupBy("block").agg(F.sum("size").alias("s")).filter(F.col("s") > block_bytes).isEmpty():
+            break
         blocks *= 2
+    if large:
+        places = benchmark.sparkSession.createDataFrame(packed, "_of long, _n int, _block long")
+        own = owned.filter(apart).join(F.broadcast(places), (F.xxhash64("phrase") == F.col("_of")) & (F.octet_length("phrase") == F.col("_n")))
+        dealt = dealt.withColumn("block", F.col("block") + large).unionByName(own.withColumn("block", F.col("_block")).drop("_of", "_n", "_block"))
+    return dealt.select("block", "phrase", "items"), blocks + large
 
 
 def search_shard(texts: list[bytes | None], phrases: Phrases) -> tuple[list[int], list[list[tuple[int, int]]], list[set[str]]]:

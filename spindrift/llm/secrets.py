@@ -19,12 +19,14 @@ from .trigram_query import trigram_query, trigrams
 
 @dataclass(frozen=True)
 class Rule:
-    """A kind of secret: matches of `pattern` whose `group` has `least` characters or more."""
+    """A kind of secret: matches of `pattern` whose `group` has `least` characters or more.
+    The secret's span is that of group `span`, the whole match by default."""
 
     kind: str
     pattern: str
     group: int = 0
     least: int = 1
+    span: int = 0
 
 
 #: What parts the lines of a key: white space, also escaped, and marks of quotes and comments.
@@ -48,7 +50,8 @@ RULES = (
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("cloud_key", r"AIza[A-Za-z0-9_-]{35,}"),
     Rule("payment_key", r"[sr]k_live_[A-Za-z0-9]{16,}"),
-    Rule("web_token", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
+    # From a run's start to its first eyJ: if that one fails, so do the later ones of the run.
+    Rule("web_token", r"(?<![A-Za-z0-9_-])(?:(?!eyJ)[A-Za-z0-9_-])*+(eyJ[A-Za-z0-9_-]{10,}+\.eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+)", span=1),
     Rule("url_password", r"[a-z][a-z0-9+.-]{1,15}://[^\s/:@]{1,64}:[^\s/:@]{3,64}@"),
     Rule("bearer", r"(?ai:bearer)\x20+[A-Za-z0-9._~+/-]{20,}=*"),
 )
@@ -107,7 +110,7 @@ class Scanner:
             for d in self.candidates(query, postings, len(texts)).tolist():
                 for m in pattern.finditer(texts[d]):
                     if m.end(rule.group) - m.start(rule.group) >= rule.least:
-                        found[d].append((m.start(), k, m.end()))
+                        found[d].append((m.start(rule.span), k, m.end(rule.span)))
         return [[(a, b, self.rules[k].kind) for a, k, b in sorted(f)] for f in found]
 
 

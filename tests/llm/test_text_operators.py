@@ -369,3 +369,53 @@ def test_token_edges(edges, no_rows):
     assert {r.doc_id: r.ids for r in coded.collect()}[2] == []
     again = {(r.doc_id, r.decoded) for r in sentencepiece_decode(coded.drop("decoded"), MODEL).collect()}
     assert again == {(r.doc_id, r.decoded) for r in coded.collect()}
+
+
+# -- hostile sizes -----------------------------------------------------------------------------
+
+
+def test_one_large_phrase_does_not_multiply_the_blocks(spark):
+    random.seed(8)
+    text = lambda n: " ".join(random.choice("abcdefghij") * random.randint(1, 6) for _ in range(n))
+    small = [(k, text(16)) for k in range(60)]
+    of = lambda rows, limit: phrase_table(spark.createDataFrame(rows, "item_id long, text string"), "item_id", "text", 13, limit)
+    _, plain = of(small, 8000)
+    table, blocks = of([*small, (99, "x" * 9_000)], 8000)
+    assert blocks == plain + 1
+    sizes = {r.block: r.n for r in table.groupBy("block").agg({"phrase": "count"}).withColumnRenamed("count(phrase)", "n").collect()}
+    assert set(sizes) <= set(range(blocks)) and sizes[0] == 1 and sum(sizes.values()) == table.select("phrase").distinct().count()
+    header = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    table, blocks = of([(k, header) for k in range(3_000)] + small, 8000)
+    assert blocks <= plain + 1 and table.filter("size(items) = 3000").count() == 1
+    # Several phrases of an eighth or more share blocks.
+    table, blocks = of([(k, "y" * (1_500 + k)) for k in range(20)], 8000)
+    assert blocks == 1 + 4 and table.count() == 20
+
+
+@pytest.mark.parametrize("rule", RULES, ids=lambda r: r.kind)
+def test_every_rule_is_linear(rule):
+    """Texts that start a match everywhere and finish none, five times as long in some five times the time."""
+    import time
+
+    hostile = {"assign": "token= ", "access": "AKIA-", "hex": "0123456789abcdefabcdefx", "private_key": "-----BEGIN PRIVATE KEY-----\nabc ", "temporary_access": "ASIA.", "code_host": "ghp_a", "chat_token": "xoxb-a.", "cloud_key": "AIza.", "payment_key": "sk_live_a_", "web_token": "eyJ", "url_password": "ab://c:d", "bearer": "bearer  "}[rule.kind]
+    own = Scanner((rule,))
+
+    def took(n):
+        texts = [(hostile * (n // len(hostile)))[:n]]
+        best = 9e9
+        for _ in range(2):
+            began = time.process_time()
+            own.scan(texts)
+            best = min(best, time.process_time() - began)
+        return best
+
+    assert took(5_000_000) < 0.5 + 20 * took(1_000_000)
+
+
+def test_web_tokens_start_at_the_first_mark_of_a_run():
+    random.seed(6)
+    plain = re.compile(r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}")
+    own = Scanner(tuple(r for r in RULES if r.kind == "web_token"))
+    for _ in range(500):
+        text = "".join(random.choice(["eyJ", "eyJ", "abcdefghij", "A", ".", ".", " ", "-_", "é"]) for _ in range(40))
+        assert [(a, b) for a, b, _ in own.scan([text])[0]] == [m.span() for m in plain.finditer(text)]
