@@ -89,12 +89,28 @@ def asked_levels(candidates: DataFrame, by_release_group: bool = True) -> DataFr
     return candidates.select(F.col("ordinal").alias("_of"), d.alias("_own"), F.explode(F.concat(exact, *arrays)).alias("_key"))
 
 
+def _by_duration(rows: DataFrame) -> DataFrame:
+    """A row for each level key: its durations in order, each with its first track and the
+    ordinal of its second.  A key spans one bucket, so there are at most 4,001 of them."""
+    return _two_first(rows).groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("_duration", "_first", "_second"))).alias("_tops"))
+
+
 def _best_levels(asked: DataFrame, rows: DataFrame) -> DataFrame:
-    """(ordinal, level, n, first) of the best level of each candidate that has one."""
-    met = asked.join(_two_first(rows), "_key").filter((F.col("_first.ordinal") < F.col("_of")) & (F.col("_duration").isNull() | (F.abs(F.col("_duration") - F.col("_own")) <= TOLERANCE_MS)))
-    # Partial aggregates: per candidate and level, then the best level.
-    per_level = met.groupBy("_of", F.col("_key.p0").cast("int").alias("level")).agg(F.sum(F.when(F.col("_second") < F.col("_of"), 2).otherwise(1)).alias("n"), F.min("_first").alias("first"))
-    return per_level.groupBy(F.col("_of").alias("ordinal")).agg(F.min(F.struct("level", "n", "first")).alias("_best"))
+    """(ordinal, _best: level, n, first) of the best level of each candidate that has one.
+
+    A candidate meets one row for each key it asks, whatever the number of its tracks and
+    durations, and searches the durations in it; a key that very many candidates ask for is
+    split by the adaptive skew join, as its other side is that one row.
+    """
+    near = lambda t: (t["_first"]["ordinal"] < F.col("_of")) & (t["_duration"].isNull() | (F.abs(t["_duration"] - F.col("_own")) <= TOLERANCE_MS))
+    met = asked.join(_by_duration(rows), "_key").select("_of", F.col("_key.p0").cast("int").alias("level"), F.filter("_tops", near).alias("_near")).filter(F.size("_near") > 0)
+    first = F.array_min(F.transform("_near", lambda t: t["_first"]))
+    seen = F.size("_near") + F.size(F.filter("_near", lambda t: t["_second"] < F.col("_of")))
+    # A candidate asks at most 16 keys, so all it met fit one row; a level's two buckets add up.
+    hits = met.select("_of", F.struct("level", first.alias("first"), seen.alias("n")).alias("_hit")).groupBy(F.col("_of").alias("ordinal")).agg(F.collect_list("_hit").alias("_hits"))
+    best = hits.withColumn("_top", F.array_min("_hits"))
+    n = F.aggregate(F.filter("_hits", lambda h: h["level"] == F.col("_top.level")), F.lit(0), lambda total, h: total + h["n"])
+    return best.select("ordinal", F.struct(F.col("_top.level").alias("level"), n.alias("n"), F.col("_top.first").alias("first")).alias("_best"))
 
 
 def match(candidates: DataFrame, tracks: DataFrame, compose: bool = True, by_release_group: bool = True) -> DataFrame:

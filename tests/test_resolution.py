@@ -366,3 +366,20 @@ def test_a_stream_refuses_a_bad_row(spark, tmp_path):
     with pytest.raises(Exception, match="invalid candidate"):
         resolve_stream(spark, str(tmp_path / "in"), store, str(tmp_path / "check")).awaitTermination()
     assert store.version() == 0
+
+
+def test_durations_of_one_title_are_searched_not_paired(spark):
+    """Many tracks and candidates of one title: one row a candidate and key, right at every edge."""
+    random.seed(9)
+    track = lambda k, ms: tuple({"ordinal": k, "track_id": f"T{k}", "title": "Song", "credits": [("A", "primary")], "duration_ms": ms}.get(f.name) for f in TRACK)
+    tracks = [track(k, random.choice([None, 1, 4001, 8002, 8003, *range(0, 20_000, 250)])) for k in range(-600, 0)]
+    wanted = [random.choice([None, 0, 2000, 2001, 4001, 6001, 6002, 8002, 10_003, random.randrange(20_000)]) for _ in range(60)]
+    got = matching.match(spark.createDataFrame([candidate(k, title="Song", credits=[("A", "primary")], duration_ms=ms) for k, ms in enumerate(wanted)], CANDIDATE), spark.createDataFrame(tracks, TRACK)).collect()
+    for r in got:
+        own = wanted[r.ordinal]
+        near = sorted(t[0] for t in tracks if own is not None and t[4] is not None and abs(t[4] - own) <= 2000)
+        best = near or sorted(t[0] for t in tracks)
+        assert (r.points, r.track_id) == (100 if near else 90, f"T{best[0]}") and r.kind == ("automatic" if len(near) == 1 else "review")
+    rows = matching.level_rows(matching.with_match_keys(spark.createDataFrame(tracks, TRACK)))
+    asked = matching.asked_levels(matching.with_match_keys(spark.createDataFrame([candidate(0, title="Song", duration_ms=5000)], CANDIDATE)))
+    assert asked.join(matching._by_duration(rows), "_key").count() <= asked.count()
