@@ -66,11 +66,24 @@ def import_mappings(mappings: DataFrame, confirmed: DataFrame, provider: str = "
     return upsert(mappings, rows, ["provider", "external_id"], "ordinal", ["artist_id", "confirmed", "mapping_source"])
 
 
-def import_follows(follows: DataFrame, confirmed: DataFrame, now: Column) -> DataFrame:
-    """Follows after an import was confirmed; one that was given up is active again."""
+def import_follows(follows: DataFrame, confirmed: DataFrame, now: Column, user: Column | str | None = None) -> DataFrame:
+    """Follows after an import was confirmed; one that was given up is active again.
+
+    With a `user`, a name or a column of `confirmed`, follows have a user_id and a source and
+    are keyed by user and artist, so those of two users stay apart; the import is the source.
+    """
     done = confirmed.filter(F.col("outcome").isin("merged", "created") & F.col("artist_id").isNotNull())
-    rows = done.select("artist_id", now.alias("followed_at"), F.lit(True).alias("active"), "ordinal")
-    return upsert(follows, rows, ["artist_id"], "ordinal", ["active"])
+    rows = done.select("artist_id", now.alias("followed_at"), F.lit(True).alias("active"), "ordinal", *([] if user is None else [(user if isinstance(user, Column) else F.lit(user)).alias("user_id"), F.lit(IMPORT_SOURCE).alias("source")]))
+    return upsert(follows, rows, ["artist_id"] if user is None else ["user_id", "artist_id"], "ordinal", ["active"] if user is None else ["active", "source"])
+
+
+def import_confirmed(tables: dict[str, DataFrame], confirmed: DataFrame, now: Column) -> dict[str, DataFrame]:
+    """What a confirmed import changes in the store: its mappings and its follows, to be
+    committed together (`store.transact(lambda tables: import_confirmed(tables, ...))`)."""
+    return {
+        "artist_external_ids": import_mappings(tables["artist_external_ids"], confirmed),
+        "artist_follows": import_follows(tables["artist_follows"], confirmed, now),
+    }
 
 
 def sure_mappings(mappings: DataFrame, mapped: DataFrame, provider: str = "musicbrainz") -> DataFrame:

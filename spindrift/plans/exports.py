@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.classify import exportable
 from ..operators.keyed import chunked, first_by, three_way_split, upsert
+from ..sources.chunk_sink import send_once
 from ..storage import settled
 
 REFUSED = "Only exact or manually confirmed matches may be exported"
@@ -31,9 +32,12 @@ def create_playlist(post: Callable[[str, dict], dict], user_id: str, name: str,
     return post(f"/users/{user_id}/playlists", {"name": name, "description": description, "public": False})
 
 
-def plan_and_write(items: DataFrame, existing: DataFrame, send: Callable[[list[str]], str], size: int = 100) -> tuple[DataFrame, DataFrame]:
-    """(plan, sent batches): what the playlist holds is read, the rest planned and added."""
+def plan_and_write(items: DataFrame, existing: DataFrame, send: Callable[[list[str]], str], size: int = 100, find: Callable[[list[str]], str | None] | None = None, ledger: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(plan, sent batches): what the playlist holds is read, the rest planned and added;
+    with a `ledger`, a folder of this export alone, and `find` each batch is sent once."""
     plan = settled(export_plan(items, existing), "export-plan")
+    if ledger is not None and find is not None:
+        return plan, send_once(settled(export_batches(plan, size), "batches"), send, find, ledger)
     return plan, settled(write_batches(export_batches(plan, size), send), "sent")
 
 
@@ -46,7 +50,8 @@ def write_batches(batches: DataFrame, send: Callable[[list[str]], str], key: str
     """Send each batch in order and return (batch, n_items, snapshot_id).
 
     A batch is bounded by its size, so it fits one call; batches are spread over tasks.  A
-    retried task sends a batch again: the receiver should ignore items that it has.
+    retried task sends a batch again: the receiver should ignore items that it has, or the
+    batches go through `sources.chunk_sink.send_once`, which keeps a ledger.
     """
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:

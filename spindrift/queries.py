@@ -600,6 +600,21 @@ def q_import_mappings(spark, d):
     return accounts.import_mappings(known, done).select("provider", "external_id", "artist_id", "confirmed", "mapping_source", F.col("match_score").cast("double").alias("match_score"))
 
 
+@query(f"""
+WITH v AS ({_PREVIEW}), n AS (SELECT DISTINCT u.user_id, existing_artist_id AS artist_id FROM v CROSS JOIN (VALUES ('one'), ('two')) u(user_id) WHERE proposed_action = 'merge'),
+o AS (SELECT 'one' AS user_id, CAST(p_partkey AS VARCHAR) AS artist_id, p_size > 10 AS active FROM part WHERE p_size < 20)
+SELECT user_id, artist_id, n.artist_id IS NOT NULL OR o.active AS active, CASE WHEN n.artist_id IS NULL THEN 'manual' ELSE 'spotify_follow_import' END AS source, CASE WHEN o.artist_id IS NULL THEN 'import' ELSE 'before' END AS since
+FROM n FULL JOIN o USING (user_id, artist_id)
+""")
+def q_import_follows(spark, d):
+    """Both users' follows after one import: the first has follows already, some given up."""
+    part = table(spark, d, "part").filter("p_size < 20")
+    known = part.select(F.lit("one").alias("user_id"), F.col("p_partkey").cast("string").alias("artist_id"), ntz("1998-01-01 00:00:00").alias("followed_at"), (F.col("p_size") > 10).alias("active"), F.lit("manual").alias("source"))
+    done = _preview(spark, d).select(F.explode(F.array(F.lit("one"), F.lit("two"))).alias("user"), F.when(F.col("proposed_action") == "merge", F.lit("merged")).otherwise(F.lit("skipped")).alias("outcome"), F.col("existing_artist_id").alias("artist_id"), F.lit(0).alias("ordinal"))
+    follows = accounts.import_follows(known, done, ntz("1999-01-01 00:00:00"), F.col("user"))
+    return follows.select("user_id", "artist_id", "active", "source", F.when(F.col("followed_at") == ntz("1998-01-01 00:00:00"), F.lit("before")).otherwise(F.lit("import")).alias("since"))
+
+
 @query(f"""
 WITH r AS (SELECT *, row_number() OVER w AS i, lead(millis) OVER w AS next FROM ({_SCORED}) WINDOW w AS (PARTITION BY s_nationkey ORDER BY s_suppkey)),
 m AS (SELECT *, max(CASE WHEN i = 1 AND millis >= 970 AND (next IS NULL OR millis - next >= 80) THEN 1 ELSE 0 END) OVER (PARTITION BY s_nationkey) AS mapped FROM r),
@@ -706,6 +721,22 @@ def q_watchlist(spark, d):
     return rows.select("artist", micros("last_seen_at").alias("last_seen_us"), "n_rows", text.blank_to_null(F.array_join("providers", ",")).alias("providers"))
 
 
+@query(f"""
+WITH w AS (SELECT artist, max(first_seen_us) AS last_seen_us, count(*) AS n_rows FROM ({_FEED}) GROUP BY artist),
+a AS (SELECT coalesce(w.artist, n.n_name) AS artist, last_seen_us, coalesce(n_rows, 0) AS n_rows FROM w FULL JOIN nation n ON w.artist = n.n_name)
+SELECT artist, n_rows, CAST(row_number() OVER (ORDER BY last_seen_us DESC NULLS LAST, lower(artist)) - 1 AS BIGINT) AS added_place, CAST(row_number() OVER (ORDER BY lower(artist) DESC) - 1 AS BIGINT) AS name_place
+FROM a WHERE artist NOT IN (SELECT n_name FROM nation WHERE n_regionkey = 1)
+""")
+def q_watchlist_ordered(spark, d):
+    """The watchlist with artists that were added by hand and without those removed, with the
+    places of two of its orders."""
+    nation = table(spark, d, "nation")
+    known, removed = nation.select(F.col("n_name").alias("artist")), nation.filter("n_regionkey = 1").select(F.col("n_name").alias("artist"))
+    rows = feed.watchlist(_feed(spark, d), known, removed).select("artist", "n_rows", "last_seen_at")
+    by_added = keyed.numbered(rows, feed.watchlist_order("added"), "added_place")
+    return keyed.numbered(by_added, feed.watchlist_order("name", descending=True), "name_place").select("artist", "n_rows", "added_place", "name_place")
+
+
 # -- views ----------------------------------------------------------------------------------------
 
 
