@@ -38,7 +38,7 @@ def redact_map(fields: Column) -> Column:
 _TOKEN = re.compile(r'([\x20\t\n\r]+)|("(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*")|(-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)|(true|false|null|NaN|-?Infinity)|([\[\]{}:,])')
 
 
-def _redacted(text: str) -> str:
+def redacted_json(text: str) -> str:
     """JSON with sensitive values replaced, rewritten token by token.
 
     The open brackets are a list, so any depth passes; numbers keep their spelling; a
@@ -116,7 +116,7 @@ def redact_json(texts: pd.Series) -> pd.Series:
 
     def one(text: str) -> str:
         try:
-            return _redacted(text)
+            return redacted_json(text)
         except ValueError:
             return json.dumps(REDACTED)
 

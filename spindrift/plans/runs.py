@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..logs import event
 from ..operators.keyed import upsert
 from ..schemas import struct_of, validated
 from ..storage import Added, Store, discard, settled
@@ -64,6 +65,7 @@ def run_scan(store: Store, sources: dict[str, Source], options: Options) -> Summ
         try:
             if not options.dry_run:
                 store.transact(lambda tables: {"scan_runs": with_run(tables["scan_runs"], run_row(spark, run_id, name, "running", options.now, {}))})  # noqa: B023
+            event(log, "info", "scan.started", provider=name, run_id=run_id, dry_run=options.dry_run)
             candidates = settled(validated(source(spark, options)), "candidates")
             discovered = candidates.count()
             counts = {"discovered": discovered, "inserted": 0, "skipped": 0, "needs_review": 0}
@@ -81,11 +83,12 @@ def run_scan(store: Store, sources: dict[str, Source], options: Options) -> Summ
 
                 with store.lease(name, run_id, options.now):
                     store.transact(step)
+            event(log, "info", "scan.completed", provider=name, run_id=run_id, **counts)
             out.by_provider[name] = counts
             for k, v in counts.items():
                 setattr(out, k, getattr(out, k) + v)
         except Exception as e:
-            log.warning("scan of %s failed: %s", name, type(e).__name__)
+            event(log, "error" if options.provider == name else "warn", "scan.failed", provider=name, run_id=run_id, kind=type(e).__name__)
             out.errors[name] = str(e).splitlines()[0][:500]
             if not options.dry_run:
                 store.transact(lambda tables: {"scan_runs": with_run(tables["scan_runs"], run_row(spark, run_id, name, "failed", options.now, {}, out.errors[name]))})  # noqa: B023

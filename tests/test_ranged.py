@@ -85,14 +85,14 @@ def test_redaction_equals_the_plain_version():
     for _ in range(300):
         v = value(5)
         text = json.dumps(v, indent=random.choice([None, 1]), ensure_ascii=random.random() < 0.5)
-        assert hashing._redacted(text) == json.dumps(plainly_redacted(v), separators=(",", ":"), ensure_ascii=False)
-    assert hashing._redacted('[1.50, 1E5, -0, {"code": [1, {"a": 2}], "n": 1.0}]') == '[1.50,1E5,-0,{"code":"[REDACTED]","n":1.0}]'
+        assert hashing.redacted_json(text) == json.dumps(plainly_redacted(v), separators=(",", ":"), ensure_ascii=False)
+    assert hashing.redacted_json('[1.50, 1E5, -0, {"code": [1, {"a": 2}], "n": 1.0}]') == '[1.50,1E5,-0,{"code":"[REDACTED]","n":1.0}]'
 
 
 @pytest.mark.parametrize("text", ["", " ", "{", "[1,]", "[,1]", '{"a"}', '{"a":}', '{"a":1,}', "1 2", "[1}", "]", '"a', "nul", "01", '{"token": [}', "[1 2]", '{1:2}', ":"])
 def test_what_is_no_json_is_refused(text):
     with pytest.raises(ValueError):
-        hashing._redacted(text)
+        hashing.redacted_json(text)
     with pytest.raises(ValueError):
         json.loads(text)
 
