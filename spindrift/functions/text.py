@@ -19,15 +19,28 @@ def nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
+def is_ascii(text: Column) -> Column:
+    """As many bytes as characters; null for null."""
+    return F.octet_length(text) == F.length(text)
+
+
+def composed(text: Column) -> Column:
+    """Compatibility form.  Plain ASCII is in it already, so Python is sent nulls for such
+    rows and only the others' texts; the plan stays one scan, where a split by filter and
+    union would run all that is below it twice."""
+    return F.coalesce(nfkc(F.when(~is_ascii(text), text)), text)
+
+
 def normalize_text(text: Column, compose: bool = True) -> Column:
     """Compatibility form, lower case, `&` as a word, and runs of other characters than
     letters and digits as one space.
 
-    Only the composition leaves the JVM; columns known to be composed can switch it off and
-    then stay within generated code.
+    Only the composition leaves the JVM, for texts that are not plain ASCII; columns known to
+    be composed can switch it off and then stay within generated code.
     """
-    composed = nfkc(text) if compose else text
-    spelled = F.replace(F.lower(composed), F.lit("&"), F.lit(" and "))
+    if compose:
+        text = composed(text)
+    spelled = F.replace(F.lower(text), F.lit("&"), F.lit(" and "))
     return F.trim(F.regexp_replace(spelled, r"[^\p{L}\p{N}]+", " "))
 
 
@@ -50,10 +63,12 @@ def normalized_credits(credits: Column) -> Column:
 
 
 def composed_credits(credits: Column) -> Column:
-    """Credits with composed names: the array travels as JSON through one Arrow function, so
-    that no array element needs a Python call of its own."""
-    kind = "array<struct<name:string,role:string>>"
-    return F.from_json(nfkc(F.to_json(F.transform(credits, lambda c: F.struct(c["name"].alias("name"), c["role"].alias("role"))))), kind)
+    """Credits with composed names: an array that is not plain ASCII travels as JSON through
+    one Arrow function, so that no array element needs a Python call of its own; the others
+    are neither written as JSON nor read from it."""
+    plain = F.transform(credits, lambda c: F.struct(c["name"].alias("name"), c["role"].alias("role")))
+    foreign = F.exists(credits, lambda c: ~is_ascii(F.concat_ws("", c["name"], c["role"])))
+    return F.when(foreign, F.from_json(nfkc(F.when(foreign, F.to_json(plain))), "array<struct<name:string,role:string>>")).otherwise(plain)
 
 
 def credit_line(credits: Column) -> Column:

@@ -20,14 +20,37 @@ def first_by(df: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:
     return grouped.select(*(F.col(f"_first.row.{c}").alias(c) if c in rest else F.col(c) for c in df.columns))
 
 
+#: Most copies of a row that one array of `_repeated` stands for.
+_BLOCK = 1 << 16
+
+
+def _loose(keys: list[str], columns: list[str]) -> Column:
+    """Null for rows with a whole key; else the row itself, which is then its own group."""
+    nulls = sum((F.col(k).isNull().cast("int") for k in keys), F.lit(0)) > 0
+    return F.when(nulls, F.struct(*columns))
+
+
+def _repeated(df: DataFrame) -> DataFrame:
+    """Groups of equal loose rows as so many rows again, in two steps, so that no array grows
+    with the number of copies but for one entry in 65,536."""
+    n = F.when(F.col("_loose").isNull(), F.lit(1)).otherwise(F.col("_n"))
+    blocks = df.withColumn("_left", F.explode(F.sequence(n, F.lit(1), F.lit(-_BLOCK))))
+    return blocks.withColumn("_copy", F.explode(F.array_repeat(F.lit(True), F.least(F.col("_left"), F.lit(_BLOCK)).cast("int"))))
+
+
 def insert_or_ignore(target: DataFrame, incoming: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:
     """Rows of `incoming` to append: the first of each key that `target` does not have.
 
-    Null keys are distinct from each other and from all others, as in a unique index.
+    Null keys are distinct from each other and from all others, as in a unique index.  They
+    pass the same aggregate as the others, as groups of equal rows that are counted, so
+    `incoming` is computed once.
     """
-    nulls = sum((F.col(k).isNull().cast("int") for k in keys), F.lit(0)) > 0
-    fresh = first_by(incoming.filter(~nulls), keys, *order).join(target.select(*keys), keys, "left_anti")
-    return fresh.select(*incoming.columns).unionByName(incoming.filter(nulls))
+    ranks = [(F.col(o) if isinstance(o, str) else o).alias(f"_o{k}") for k, o in enumerate(order)]
+    rest = [c for c in incoming.columns if c not in keys]
+    first = F.min(F.struct(*ranks, F.struct(*rest).alias("row")) if rest else F.lit(0)).alias("_first")
+    grouped = incoming.withColumn("_loose", _loose(keys, incoming.columns)).groupBy(*keys, "_loose").agg(first, F.count("*").alias("_n"))
+    fresh = _repeated(grouped.join(target.select(*keys), keys, "left_anti"))
+    return fresh.select(*(F.col(f"_first.row.{c}").alias(c) if c in rest else F.col(c) for c in incoming.columns))
 
 
 def upsert(target: DataFrame, incoming: DataFrame, keys: list[str], order: str, updated: list[str]) -> DataFrame:
@@ -37,23 +60,21 @@ def upsert(target: DataFrame, incoming: DataFrame, keys: list[str], order: str,
     Columns that are not updated keep the value of the first row of the key, the target's
     row coming before all.  Rows with a null in the key are distinct from all others, as in
     a unique index: they are inserted.  Both sides have the columns of `target`; `incoming` has `order`
-    as well.  One aggregate by key: no join, and one row a key and task is shuffled.
+    as well.  One aggregate by key: no join, one row a key and task is shuffled, and either
+    side is computed once.
     """
     columns = target.columns
     kept = [c for c in columns if c not in keys and c not in updated]
-    nulls = sum((F.col(k).isNull().cast("int") for k in keys), F.lit(0)) > 0
-    loose = target.filter(nulls).select(*columns).unionByName(incoming.filter(nulls).select(*columns))
-    target, incoming = target.filter(~nulls), incoming.filter(~nulls)
     both = target.select(*columns, F.lit(0).alias("_side"), F.lit(None).cast(incoming.schema[order].dataType).alias("_at")).unionByName(
         incoming.select(*columns, F.lit(1).alias("_side"), F.col(order).alias("_at"))
     )
     place = [F.col("_side").alias("s"), F.col("_at").alias("a")]
-    merged = both.groupBy(*keys).agg(
+    merged = both.withColumn("_loose", _loose(keys, columns)).groupBy(*keys, "_loose").agg(
         F.min(F.struct(*place, F.struct(*kept).alias("row")) if kept else F.lit(0)).alias("_first"),
         F.max(F.struct(*place, F.struct(*updated).alias("row")) if updated else F.lit(0)).alias("_last"),
+        F.count("*").alias("_n"),
     )
-    rows = merged.select(*(F.col(c) if c in keys else F.col(f"_last.row.{c}").alias(c) if c in updated else F.col(f"_first.row.{c}").alias(c) for c in columns))
-    return rows.unionByName(loose)
+    return _repeated(merged).select(*(F.col(c) if c in keys else F.col(f"_last.row.{c}").alias(c) if c in updated else F.col(f"_first.row.{c}").alias(c) for c in columns))
 
 
 def update_where(df: DataFrame, condition: Column, **values: Column) -> DataFrame:

@@ -12,6 +12,15 @@ def values(spark, expression, rows, schema="x string"):
     return [r[0] for r in spark.createDataFrame([(r,) if not isinstance(r, tuple) else r for r in rows], schema).select(expression).collect()]
 
 
+def test_only_what_is_not_ascii_reaches_python(spark):
+    sent = spark.createDataFrame([(None,), ("",), ("Plain & Simple",), ("ﬁne",), ("e\u0301",), ("\x7f",), ("\x80",)], "x string")
+    assert values(spark, text.composed(F.col("x")), [r.x for r in sent.collect()]) == [None, "", "Plain & Simple", "fine", "é", "\x7f", "\x80"]
+    kind = "c array<struct<name:string,role:string>>"
+    rows = [([("A", "primary"), (None, "featured")],), ([("ﬁ", "primary"), (None, None), ("B", "featured")],), ([],), (None,), ([None],)]
+    got = spark.createDataFrame(rows, kind).select(text.composed_credits(F.col("c")).alias("c")).collect()
+    assert [r.c and [(x.name, x.role) for x in r.c] for r in got] == [[("A", "primary"), (None, "featured")], [("fi", "primary"), (None, None), ("B", "featured")], [], None, [(None, None)]]
+
+
 def test_normalize_text(spark):
     given = ["  Rock & Roll!! ", "ﬁne ① Ａbc", "É—tude", "", None, "...", "a_b"]
     assert values(spark, text.normalize_text(F.col("x")), given) == ["rock and roll", "fine 1 abc", "é tude", "", None, "", "a b"]

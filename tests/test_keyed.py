@@ -18,6 +18,27 @@ def test_insert_or_ignore(spark):
     assert keyed.insert_or_ignore(target, incoming.limit(0), ["k"], "v").count() == 0
 
 
+def test_rows_without_a_whole_key_are_counted_and_given_back(spark):
+    n = 2 * 65536 + 3
+    copies = spark.range(n).selectExpr("CAST(null AS string) AS k", "7 AS v")
+    others = spark.createDataFrame([(None, None), ("a", 1), ("a", 0), (None, 8), (None, 8)], "k string, v int")
+    rows = keyed.insert_or_ignore(others.limit(0), copies.union(others), ["k"], "v")
+    assert {(r.k, r.v): r["count"] for r in rows.groupBy("k", "v").count().collect()} == {(None, 7): n, (None, None): 1, (None, 8): 2, ("a", 0): 1}
+    only_keys = keyed.insert_or_ignore(others.select("k").limit(0), others.select("k"), ["k"])
+    assert sorted((r.k for r in only_keys.collect()), key=str) == [None, None, None, "a"]
+    stored = spark.createDataFrame([(None, "x", 1), (None, "x", 1), ("a", "x", 1)], "k string, kept string, new int")
+    given = spark.createDataFrame([(None, "x", 1, 5), (None, "y", None, 5), ("a", "y", 2, 5)], "k string, kept string, new int, at int")
+    rows = keyed.upsert(stored, given, ["k"], "at", ["new"]).collect()
+    assert sorted(map(tuple, rows), key=str) == [("a", "x", 2), *[(None, "x", 1)] * 3, (None, "y", None)]
+
+
+def test_incoming_rows_are_computed_once(spark, sf_dir):
+    from spindrift.queries import QUERIES
+
+    plan = QUERIES["q_insert_ignore"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("FileScan") == 1
+
+
 def test_upsert_keeps_and_replaces(spark):
     target = spark.createDataFrame([("a", "first", "old")], "k string, kept string, new string")
     incoming = spark.createDataFrame([("a", "x", "n1", 1), ("a", "y", None, 2), ("b", "first b", "m2", 4), ("b", "z", "m1", 3)], "k string, kept string, new string, at int")
