@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..logs import event
 from ..operators.keyed import upsert
 from ..schemas import struct_of, validated
+from ..sources.paged import counts_of
 from ..storage import Added, Store, discard, settled
 from .resolution import persist
 
@@ -55,7 +56,9 @@ def run_scan(store: Store, sources: dict[str, Source], options: Options) -> Summ
     """Scan each source, resolve what it gives and publish all tables of a source at once.
 
     What a source gives is written once and then counted and resolved, so that a service is
-    asked once.  A run is in the history as running until it is completed or failed.  A source is scanned under a lease, and its `next_cursor`, if it has one, is stored.  A
+    asked once.  A run is in the history as running until it is completed or failed.  A source is
+    scanned under a lease, and its `next_cursor`, if it has one, is stored.  What its `calls`,
+    an observation of the rows it gives, has counted is logged when the run is complete.  A
     source that fails is recorded and the others go on; the run fails if the requested one
     fails or all do.  A dry run counts and writes nothing.
     """
@@ -83,7 +86,8 @@ def run_scan(store: Store, sources: dict[str, Source], options: Options) -> Summ
 
                 with store.lease(name, run_id, options.now):
                     store.transact(step)
-            event(log, "info", "scan.completed", provider=name, run_id=run_id, **counts)
+            calls = getattr(source, "calls", None)
+            event(log, "info", "scan.completed", provider=name, run_id=run_id, **counts, **(counts_of(calls) if calls is not None else {}))
             out.by_provider[name] = counts
             for k, v in counts.items():
                 setattr(out, k, getattr(out, k) + v)

@@ -8,12 +8,14 @@ tests replace by canned answers.
 from __future__ import annotations
 
 import json
+import threading
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: (key, position) to a page; the position is an offset or a cursor, None for the first page.
@@ -53,11 +55,11 @@ def fetch_page(fetch: Fetch, key: str, position: object, paging: Paging, sleep:
     raise AssertionError
 
 
-def chain(fetch: Fetch, key: str, paging: Paging) -> Iterator[dict]:
+def chain(fetch: Fetch, key: str, paging: Paging, sleep: Callable[[float], None] = time.sleep) -> Iterator[dict]:
     """Items of one key's pages in order."""
     position: object = None if paging.style == "cursor" else 0
     while True:
-        page = fetch_page(fetch, key, position, paging)
+        page = fetch_page(fetch, key, position, paging, sleep)
         items = page.get(paging.items) or []
         yield from items
         if paging.style == "cursor":
@@ -70,41 +72,109 @@ def chain(fetch: Fetch, key: str, paging: Paging) -> Iterator[dict]:
                 return
 
 
-def fetched(keys: DataFrame, key: str, fetch: Fetch, paging: Paging, width: int | None = None) -> DataFrame:
+#: Columns of metered rows: calls, those that failed for a while, and the time waited for them.
+METER = {"requests": "long", "failures": "long", "wait_ms": "long"}
+
+
+class Calls:
+    """Calls of one task since they were last taken."""
+
+    def __init__(self, fetch: Callable):
+        self.fetch, self.counts = fetch, dict.fromkeys(METER, 0)
+
+    def __call__(self, *args: object) -> dict | None:
+        self.counts["requests"] += 1
+        try:
+            return self.fetch(*args)
+        except Transient:
+            self.counts["failures"] += 1
+            raise
+
+    def sleep(self, seconds: float) -> None:
+        self.counts["wait_ms"] += round(seconds * 1000)
+        time.sleep(seconds)
+
+    def taken(self) -> dict[str, int]:
+        out, self.counts = self.counts, dict.fromkeys(METER, 0)
+        return out
+
+
+def _metered(rows: dict[str, list], calls: Calls) -> pd.DataFrame:
+    """`rows` with the calls since the last ones, all on the first row."""
+    n = len(next(iter(rows.values())))
+    return pd.DataFrame(rows | {c: [v] + [0] * (n - 1) for c, v in calls.taken().items()})
+
+
+def observed(rows: DataFrame, name: str = "calls") -> tuple[DataFrame, Observation]:
+    """Metered rows without their counters, and the sums of these once an action has run.
+
+    Counters are columns, not accumulators, so the rows of a task and its counts go the same
+    way: an attempt that failed gives neither.  Only if a finished shuffle stage is computed
+    again, after its executor was lost, can an observation see a row twice; where counts must
+    hold then too, write the metered rows first and sum what was written.
+    """
+    seen = Observation(name)
+    counted = rows.observe(seen, *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in METER))
+    return counted.filter("item IS NOT NULL").drop(*METER), seen
+
+
+def counts_of(seen: Observation, seconds: float = 30) -> dict[str, int]:
+    """What was observed; nothing where no action has read the rows, as an observation would
+    be waited for without end."""
+    out: dict[str, int] = {}
+    waiting = threading.Thread(target=lambda: out.update(seen.get), daemon=True)
+    waiting.start()
+    waiting.join(seconds)
+    return dict(out)
+
+
+def fetched(keys: DataFrame, key: str, fetch: Fetch, paging: Paging, width: int | None = None, metered: bool = False) -> DataFrame:
     """(key, position, item) of all pages of distinct keys, items as JSON.
 
     Keys are made distinct first, so no chain is fetched twice; `width` bounds how many
-    chains run at once.  Rows are sent on as they come: no chain is held in memory.
+    chains run at once.  Rows are sent on as they come: no chain is held in memory.  Metered
+    rows have the columns of `METER` as well; calls after the last item of a key, or of a
+    key without items, stand on a row without position and item (see `observed`).
     """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        calls = Calls(fetch)
         for rows in batches:
             for k in rows[key]:
                 held: list[str] = []
                 at = 0
-                for item in chain(fetch, k, paging):
+                block = lambda: {key: [k] * len(held), "position": list(range(at, at + len(held))), "item": held}  # noqa: B023, E731
+                for item in chain(calls, k, paging, calls.sleep):
                     held.append(json.dumps(item))
                     if len(held) == 500:
-                        yield pd.DataFrame({key: k, "position": range(at, at + len(held)), "item": held})
+                        yield _metered(block(), calls) if metered else pd.DataFrame(block())
                         at, held = at + len(held), []
                 if held:
-                    yield pd.DataFrame({key: k, "position": range(at, at + len(held)), "item": held})
+                    yield _metered(block(), calls) if metered else pd.DataFrame(block())
+                if metered and calls.counts["requests"]:
+                    yield _metered({key: [k], "position": [None], "item": [None]}, calls)
 
     distinct = keys.select(key).dropna().distinct()
-    return (distinct.repartition(width, key) if width else distinct).mapInPandas(read, f"{key} string, position long, item string")
+    schema = f"{key} string, position long, item string" + "".join(f", {c} {t}" for c, t in METER.items() if metered)
+    return (distinct.repartition(width, key) if width else distinct).mapInPandas(read, schema)
 
 
-def looked_up(keys: DataFrame, key: str, get: Callable[[str], dict | None], width: int | None = 16) -> DataFrame:
-    """(key, item) of one record each; keys that the service does not know are left out.
-    At most `width` records are asked for at once."""
+def looked_up(keys: DataFrame, key: str, get: Callable[[str], dict | None], width: int | None = 16, metered: bool = False) -> DataFrame:
+    """(key, item) of one record each; keys that the service does not know are left out, but
+    where metered have a row without item.  At most `width` records are asked for at once."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        calls = Calls(get)
         for rows in batches:
-            found = [(k, json.dumps(item)) for k in rows[key] if (item := get(k)) is not None]
-            yield pd.DataFrame(found, columns=[key, "item"])
+            found = [(k, None if item is None else json.dumps(item)) for k in rows[key] if (item := calls(k)) is not None or metered]
+            if metered and found:
+                yield _metered({key: [k for k, _ in found], "item": [item for _, item in found]}, calls)
+            elif not metered:
+                yield pd.DataFrame(found, columns=[key, "item"])
 
     distinct = keys.select(key).dropna().distinct()
-    return (distinct.repartition(width, key) if width else distinct).mapInPandas(read, f"{key} string, item string")
+    schema = f"{key} string, item string" + "".join(f", {c} {t}" for c, t in METER.items() if metered)
+    return (distinct.repartition(width, key) if width else distinct).mapInPandas(read, schema)
 
 
 @dataclass

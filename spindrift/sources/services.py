@@ -40,13 +40,13 @@ def followed_artists(spark: SparkSession, get: Get) -> DataFrame:
     return fetched(_one(spark, "me"), "key", page, Paging("cursor")).select("position", "item")
 
 
-def artist_albums(artists: DataFrame, get: Get, key: str = "artist_external_id", width: int | None = None) -> DataFrame:
+def artist_albums(artists: DataFrame, get: Get, key: str = "artist_external_id", width: int | None = None, metered: bool = False) -> DataFrame:
     """(artist, position, item) of the albums of all groups of each artist."""
-    return fetched(artists, key, _offsets(get, lambda k: f"/artists/{k}/albums", ALBUM_PAGE, include_groups=ALBUM_GROUPS), Paging("next"), width)
+    return fetched(artists, key, _offsets(get, lambda k: f"/artists/{k}/albums", ALBUM_PAGE, include_groups=ALBUM_GROUPS), Paging("next"), width, metered)
 
 
-def album_tracks(albums: DataFrame, get: Get, key: str = "album_id", width: int | None = None) -> DataFrame:
-    return fetched(albums, key, _offsets(get, lambda k: f"/albums/{k}/tracks", PAGE), Paging("next"), width)
+def album_tracks(albums: DataFrame, get: Get, key: str = "album_id", width: int | None = None, metered: bool = False) -> DataFrame:
+    return fetched(albums, key, _offsets(get, lambda k: f"/albums/{k}/tracks", PAGE), Paging("next"), width, metered)
 
 
 def my_playlists(spark: SparkSession, get: Get) -> DataFrame:
@@ -73,7 +73,7 @@ def community_artists(queries: DataFrame, get: Get, key: str = "query") -> DataF
     return found.select(key, F.posexplode(F.from_json(F.get_json_object("item", "$.artists"), "array<string>")).alias("position", "item"))
 
 
-def browsed_releases(artists: DataFrame, get: Get, link: str = "artist", key: str = "artist_external_id", width: int | None = None) -> DataFrame:
+def browsed_releases(artists: DataFrame, get: Get, link: str = "artist", key: str = "artist_external_id", width: int | None = None, metered: bool = False) -> DataFrame:
     """(artist, position, item) of the releases of each artist, or with the link
     `track_artist` of those it appears on, until the total is reached."""
     if link not in ("artist", "track_artist"):
@@ -83,20 +83,21 @@ def browsed_releases(artists: DataFrame, get: Get, link: str = "artist", key: st
         answer = get("/release", {link: k, "inc": RELEASE_INCLUDES, "limit": BROWSE_PAGE, "offset": at, "fmt": "json"})
         return {"items": answer["releases"], "total": answer["release-count"]}
 
-    return fetched(artists, key, page, Paging("total"), width)
+    return fetched(artists, key, page, Paging("total"), width, metered)
 
 
-def browsed_release_groups(artists: DataFrame, get: Get, key: str = "artist_external_id", width: int | None = None) -> DataFrame:
+def browsed_release_groups(artists: DataFrame, get: Get, key: str = "artist_external_id", width: int | None = None, metered: bool = False) -> DataFrame:
     def page(k: str, at: object) -> dict:
         answer = get("/release-group", {"artist": k, "limit": BROWSE_PAGE, "offset": at, "fmt": "json"})
         return {"items": answer["release-groups"], "total": answer["release-group-count"]}
 
-    return fetched(artists, key, page, Paging("total"), width)
+    return fetched(artists, key, page, Paging("total"), width, metered)
 
 
 class Metered:
     """A `Get` that counts its calls: `requests`, `failures` and `wait_ms` are accumulators,
-    so that calls made in tasks add up on the driver.  A retried task counts again."""
+    so that calls made in tasks add up on the driver.  A retried task counts again; readers
+    with `metered` give their calls as columns instead (see `paged.observed`)."""
 
     def __init__(self, spark: SparkSession, get: Get):
         self.get = get

@@ -6,10 +6,12 @@ import json
 import logging
 
 import pytest
+from pyspark.sql import functions as F
 
 from spindrift.logs import event, log_to
 from spindrift.plans.runs import Options, run_scan
 from spindrift.schemas import CANDIDATE
+from spindrift.sources.paged import Paging, fetched, observed
 from spindrift.storage import Store
 
 from .fixtures import candidate
@@ -45,3 +47,16 @@ def test_a_run_says_what_it_did(spark, tmp_path, lines):
     out, errors = lines[1]()
     assert [(r["event"], r["provider"]) for r in out] == [("scan.started", "mock"), ("scan.completed", "mock"), ("scan.started", "bad"), ("scan.failed", "bad")] and not errors
     assert out[1]["discovered"] == 1 and "abc" not in json.dumps(out)
+
+
+def test_a_run_says_how_often_it_asked(spark, tmp_path, lines):
+    def mock(s, o):
+        keys = s.createDataFrame([("a",), ("b",)], "key string")
+        rows, mock.calls = observed(fetched(keys, "key", lambda k, at: {"items": [at], "total": 3}, Paging("total"), metered=True))
+        one = s.createDataFrame([candidate(1)], CANDIDATE)
+        return one.join(rows.agg(F.count("*").alias("n_items")), F.col("n_items") == 6).select(*one.columns)
+
+    mock.calls = None
+    run_scan(Store(spark, f"file://{tmp_path}"), {"mock": mock}, Options(now=dt.datetime(2030, 5, 2), dry_run=True))
+    done = lines[1]()[0][-1]
+    assert done["event"] == "scan.completed" and done["discovered"] == 1 and done["requests"] == 6 and done["failures"] == 0

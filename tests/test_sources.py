@@ -2,6 +2,9 @@
 
 import datetime as dt
 import json
+import re
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +15,8 @@ from spindrift.plans.imports import import_counts
 from spindrift.sources import composite, paged, registry, services
 from spindrift.sources.fixture import fixture_source
 
+from .conftest import ROOT
+
 
 def document(**changes):
     candidate = {
@@ -204,3 +209,52 @@ def test_plan_and_write(spark):
     assert sorted((r.provider_track_id, r.status) for r in rows) == [("t0", "exported"), ("t2", "exported"), ("t3", "exported")]
     done = spark.createDataFrame([("created",), ("created",), ("skipped",)], "outcome string")
     assert tuple(import_counts(done).first()) == (2, 0, 0, 1)
+
+
+def test_calls_are_columns_of_the_rows_they_gave(spark):
+    def page(key, at):
+        if key == "busy" and at == 0 and not tries.append(at) and len(tries) == 1:
+            raise paged.Transient("busy", after_ms=20)
+        n = {"none": 0, "long": 1100, "busy": 3}[key]
+        return {"items": list(range(at, min(n, at + 100))), "total": n}
+
+    tries: list[int] = []
+    keys = spark.createDataFrame([("none",), ("long",), ("busy",), ("long",), (None,)], "key string")
+    rows = paged.fetched(keys, "key", page, paged.Paging("total"), metered=True)
+    got = {r.key: tuple(r)[1:] for r in rows.groupBy("key").agg(F.count("item"), F.count("*"), *(F.sum(c) for c in paged.METER)).collect()}
+    assert got == {"none": (0, 1, 1, 0, 0), "long": (1100, 1100, 11, 0, 0), "busy": (3, 3, 2, 1, 20)}
+    shown, seen = paged.observed(rows)
+    assert shown.columns == ["key", "position", "item"] and shown.count() == 1103
+    assert seen.get == {"requests": 14, "failures": 1, "wait_ms": 20}
+    known = paged.looked_up(keys, "key", lambda k: {"k": k} if k == "busy" else None, metered=True)
+    shown, seen = paged.observed(known, "lookups")
+    assert [r.key for r in shown.collect()] == ["busy"] and seen.get["requests"] == 3
+    assert paged.counts_of(seen)["failures"] == 0 and paged.counts_of(paged.observed(rows, "unread")[1], 0.5) == {}
+    shown, seen = paged.observed(paged.fetched(keys.limit(0), "key", page, paged.Paging("total"), metered=True), "nothing")
+    assert shown.count() == 0 and seen.get == {"requests": 0, "failures": 0, "wait_ms": 0}
+
+
+def test_a_retried_task_leaves_the_counts_as_they_are(tmp_path):
+    """In a session of its own, as tasks of this one are not retried."""
+    code = f"""
+import os, sys
+sys.path.insert(0, {str(ROOT)!r})
+from pyspark.sql import SparkSession
+from spindrift.sources import paged
+spark = SparkSession.builder.master("local[2,3]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+calls = spark.sparkContext.accumulator(0)
+def page(key, at):
+    calls.add(1)
+    with open({str(tmp_path)!r} + "/asked", "a") as f:
+        f.write(key)
+    if key == "b" and at == 2 and not os.path.exists({str(tmp_path)!r} + "/lost"):
+        open({str(tmp_path)!r} + "/lost", "w").close()
+        raise OSError("the executor was lost")
+    return {{"items": [at], "total": 3}}
+rows, seen = paged.observed(paged.fetched(spark.createDataFrame([("a",), ("b",)], "key string"), "key", page, paged.Paging("total"), metered=True))
+rows.write.parquet({str(tmp_path)!r} + "/rows")
+print("counts", spark.read.parquet({str(tmp_path)!r} + "/rows").count(), seen.get["requests"], len(open({str(tmp_path)!r} + "/asked").read()))
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=180)
+    n_rows, counted, asked = map(int, re.search(r"counts (\d+) (\d+) (\d+)", done.stdout).groups())
+    assert (n_rows, counted) == (6, 6) and asked > 6
