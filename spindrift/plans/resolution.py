@@ -179,7 +179,7 @@ def persist(candidates: DataFrame, tables: dict[str, DataFrame], run_id: str, co
     fresh = settled(fresh_candidates(candidates, tables), "fresh")
     links = tables["track_external_ids"].select("provider", F.col("external_id").alias("external_track_id"), "track_id")
     # Stored tracks are numbered from 0 in the order they came in; a batch sees them before its own.
-    top = (tables["tracks"].agg(F.max("ordinal")).first()[0] or -1) + 1 if not tables["tracks"].isEmpty() else 0
+    top = tables["tracks"].agg(F.coalesce(F.max("ordinal") + 1, F.lit(0))).first()[0]
     d = place_in_releases(decide(fresh, None, links, compose, indexed(tables["match_index"], top)), tables)
     clean = lambda c: normalize_text(F.col(c), compose)
 

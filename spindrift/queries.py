@@ -16,8 +16,8 @@ from pyspark.sql import types as T
 from .functions import classify, dates, hashing, links, text
 from .operators import keyed, nested, ranged
 from .plans import accounts, artists, exports, feed, imports, matching, resolution, runs, views
-from .schemas import TRACK, duplicate_keys, exactly_one, violations
-from .storage import shared_root
+from .schemas import CANDIDATE, TRACK, duplicate_keys, exactly_one, violations
+from .storage import Store, shared_root
 from .streaming import gates, incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -431,6 +431,77 @@ def q_resolve_batch(spark, d):
     return decided.join(made, "track_id", "left").select("ordinal", "kind", "rule", "points", "creator")
 
 
+def sized_candidates(part: DataFrame) -> DataFrame:
+    """Parts as candidates of tracks by brand and type (one ISRC) on a release by brand."""
+    size, key = F.col("p_size"), F.col("p_partkey").cast("string")
+    columns = {
+        "ordinal": F.col("p_partkey"), "provider": F.lit("mock"), "external_release_id": F.col("p_brand"), "external_track_id": F.concat_ws("/", "p_brand", "p_type", "p_size"), "source_label": F.lit("parts"),
+        "artist_external_id": F.col("p_type"), "artist_name": F.col("p_type"), "title": F.concat(F.lit("Part "), key), "release_title": F.concat(F.lit("Release "), key), "release_type": F.lit("single"),
+        "release_date": F.concat(F.lit("2030-05-"), F.lpad((size % 28 + 1).cast("string"), 2, "0")), "release_date_precision": F.lit("day"), "first_seen_at": F.lit("2030-04-01 12:00:00").cast("timestamp"),
+        "credits": F.array(F.struct(F.col("p_type").alias("name"), F.lit("primary").alias("role")), F.struct(F.col("p_brand").alias("name"), F.lit("featured").alias("role"))),
+        "duration_ms": size * 1000, "track_number": size, "isrc": F.concat_ws("-", F.lit("i"), "p_brand", "p_type"), "region": F.lit("US"), "availability": F.when(size < 40, F.lit("playable")).otherwise(F.lit("blocked")),
+        "provider_url": F.lit("https://example.test/p"), "evidence_url": F.lit("https://example.test/e"), "evidence_type": F.lit("parts"), "payload_hash": F.concat(F.lit("hash-"), key), "is_upcoming": size % 3 == 0,
+    }
+    return part.select(*(columns.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in CANDIDATE))
+
+
+@query("""
+WITH cand AS (SELECT *, row_number() OVER (ORDER BY batch, p_partkey) AS pos FROM (
+  SELECT *, CASE WHEN p_size <= 25 THEN 0 ELSE 1 END AS batch, p_brand || '/' || p_type || '/' || p_size AS ext, 'Part ' || p_partkey AS title, 'Release ' || p_partkey AS release,
+    '2030-05-' || lpad(CAST(p_size % 28 + 1 AS VARCHAR), 2, '0') AS day, row_number() OVER (PARTITION BY p_brand, p_type, p_size ORDER BY p_partkey) AS copy FROM part) WHERE copy = 1),
+d AS (SELECT *, first_value(title) OVER (PARTITION BY p_brand, p_type ORDER BY pos) AS track, first_value(release) OVER (PARTITION BY p_brand ORDER BY pos) AS of_release,
+  row_number() OVER (PARTITION BY p_brand, p_type ORDER BY pos) = 1 AS fresh FROM cand),
+norm AS (SELECT DISTINCT p_type AS name FROM d UNION SELECT p_brand FROM d)
+SELECT 'tracks' AS tbl, CAST(row_number() OVER (ORDER BY pos) - 1 AS VARCHAR) AS a, title AS b, of_release AS c FROM d WHERE fresh
+UNION ALL SELECT 'releases', release, day, '' FROM d WHERE release = of_release
+UNION ALL SELECT 'release_candidates', ext, CASE WHEN fresh THEN 'new:new_canonical' ELSE 'matched:exact_isrc' END, track FROM d
+UNION ALL SELECT 'track_external_ids', ext, track, '' FROM d
+UNION ALL SELECT 'release_external_ids', p_brand, min(of_release), arg_max(day, pos) FROM d GROUP BY p_brand
+UNION ALL SELECT 'announcements', p_brand, arg_min(release, pos), arg_max(day, pos) FROM d WHERE p_size % 3 = 0 GROUP BY p_brand
+UNION ALL SELECT DISTINCT 'date_history', p_brand, day, '' FROM d WHERE p_size % 3 = 0
+UNION ALL SELECT 'artists', name, trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')), '' FROM norm
+UNION ALL SELECT DISTINCT 'artist_follows', p_type, '', '' FROM d
+UNION ALL SELECT 'track_credits', title, '0:primary', p_type FROM d WHERE fresh
+UNION ALL SELECT 'track_credits', title, '1:featured', p_brand FROM d WHERE fresh
+UNION ALL SELECT 'feed_items', ext, CASE WHEN p_size % 3 = 0 THEN 'upcoming' ELSE 'new' END, track FROM d
+UNION ALL SELECT 'source_evidence', ext, 'hash-' || p_partkey, '' FROM d
+UNION ALL SELECT 'track_availabilities', ext, CASE WHEN p_size < 40 THEN 'playable' ELSE 'blocked' END, track FROM d
+""")
+def q_persist_tables(spark, d):
+    """What two batches leave in the tables: parts of small sizes, then all, of which those
+    known are passed over and the others meet stored tracks and releases.  Ids are shown as
+    the titles of what they stand for."""
+    rows, store = sized_candidates(table(spark, d, "part")), Store(spark, f"{shared_root(spark)}/persisted-{uuid.uuid4().hex}")
+    for n, batch in enumerate((rows.filter("duration_ms <= 25000"), rows)):
+        store.transact(lambda tables: resolution.persist(batch, tables, f"run-{n}")[0])  # noqa: B023
+    t = store.tables()
+    tracks, releases = t["tracks"].select("track_id", F.col("title").alias("track")), t["releases"].select("release_id", F.col("title").alias("release"))
+    artists_ = t["artists"].select("artist_id", F.col("name").alias("artist"))
+    known = t["release_candidates"].select("candidate_id", F.col("external_track_id").alias("ext"))
+    none = F.lit("")
+    shown = {
+        "tracks": (t["tracks"].join(releases, "release_id", "left"), F.col("ordinal").cast("string"), "title", "release"),
+        "releases": (t["releases"], "title", "release_date", F.coalesce("upc", none)),
+        "release_candidates": (t["release_candidates"].join(tracks, "track_id", "left"), "external_track_id", F.concat_ws(":", "match_status", "match_rule"), "track"),
+        "track_external_ids": (t["track_external_ids"].join(tracks, "track_id", "left"), "external_id", "track", none),
+        "release_external_ids": (t["release_external_ids"].join(releases, "release_id", "left"), "external_id", "release", F.get_json_object("provider_fields", "$.releaseDate")),
+        "announcements": (t["announcements"], "external_id", "title", "scheduled_for"),
+        "date_history": (t["date_history"], "external_id", "scheduled_for", none),
+        "artists": (t["artists"], "name", "normalized_name", none),
+        "artist_follows": (t["artist_follows"].join(artists_, "artist_id", "left"), "artist", none, none),
+        "track_credits": (t["track_credits"].join(tracks, "track_id", "left").join(artists_, "artist_id", "left"), "track", F.concat_ws(":", F.col("credit_order").cast("string"), "role"), "artist"),
+        "feed_items": (t["feed_items"].join(known, "candidate_id", "left").join(tracks, "track_id", "left"), "ext", "state", "track"),
+        "source_evidence": (t["source_evidence"].join(known, "candidate_id", "left"), "ext", "payload_hash", none),
+        "track_availabilities": (t["track_availabilities"].join(tracks, "track_id", "left"), "provider_track_id", "state", "track"),
+    }
+    column = lambda c, name: (F.col(c) if isinstance(c, str) else c).alias(name)
+    parts = [df.select(F.lit(name).alias("tbl"), column(a, "a"), column(b, "b"), column(c, "c")) for name, (df, a, b, c) in shown.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 # -- artists and imports ------------------------------------------------------------------------
 
 _SCORED = """
@@ -860,7 +931,7 @@ def q_lease(spark, d):
 def q_stream_dedupe(spark, d):
     import uuid
 
-    from .storage import shared_root
+    from .storage import Store, shared_root
 
     root = f"{shared_root(spark)}/dedupe-{uuid.uuid4().hex}"
     events = table(spark, d, "events")

@@ -383,3 +383,13 @@ def test_durations_of_one_title_are_searched_not_paired(spark):
     rows = matching.level_rows(matching.with_match_keys(spark.createDataFrame(tracks, TRACK)))
     asked = matching.asked_levels(matching.with_match_keys(spark.createDataFrame([candidate(0, title="Song", duration_ms=5000)], CANDIDATE)))
     assert asked.join(matching._by_duration(rows), "_key").count() <= asked.count()
+
+
+def test_a_single_stored_track_stands_before_the_next_batch(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}")
+    same = {"isrc": "USMCK2600001"}
+    for n, row in enumerate((candidate(0, **same), candidate(0, external_release_id="other", external_track_id="other", title="Other", **same))):
+        batch = spark.createDataFrame([row], CANDIDATE)
+        store.transact(lambda tables: persist(batch, tables, f"run-{n}")[0])  # noqa: B023
+    assert sorted((r.external_track_id, r.match_status) for r in store.table("release_candidates").collect()) == [("other", "matched"), ("track-0", "new")]
+    assert [r.ordinal for r in store.table("tracks").collect()] == [0]
