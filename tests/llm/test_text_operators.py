@@ -6,6 +6,7 @@ import re
 import struct
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
@@ -14,6 +15,7 @@ import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from spindrift.llm import quality_sql
 from spindrift.llm import queries as Q
 from spindrift.llm.bpe import SPACE, PieceVocabulary, _varint
 from spindrift.llm.decontamination import Phrases, decontaminate, phrase_table, search_shard, windows_of
@@ -153,6 +155,29 @@ def test_text_without_common_words_is_far_from_its_language(spark):
     assert all(rows[k].kept for k in range(60))
 
 
+def test_common_words_are_learned_for_any_language(spark):
+    """A language nobody listed has words; one without word spaces has none; rare and null
+    languages are held together.  The SQL gives the same rows."""
+    random.seed(11)
+    frequent = [a + b for a in "bdgk" for b in "aeiou"]
+    rare = ["".join(random.choice("aeiobdgk") for _ in range(random.randint(4, 7))) for _ in range(5000)]
+    text = lambda n, share: " ".join(random.choice(frequent) if random.random() < share else random.choice(rare) for _ in range(n))
+    han = lambda n: " ".join("".join(chr(random.randrange(0x4E00, 0x5E00)) for _ in range(8)) for _ in range(n))
+    docs = [(k, text(150, 0.3), "qx") for k in range(120)] + [(200, text(200, 0), "qx")]
+    docs += [(300 + k, han(120), "zh") for k in range(60)] + [(400, text(200, 0), "qy"), (401, text(200, 0.3), None), (402, None, "qx"), (403, text(120, 0.3), "")]
+    docs += [(500 + k, text(120, 0.3), "qz") for k in range(20)] + [(520, text(120, 0), "qz"), (0, "x" * 40 + " y", "qx")]
+    table = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    rows = {(r.doc_id, r.n_words): r for r in quality_rules(table).collect()}
+    far = [k for k, r in rows.items() if not r.kept]
+    assert sorted(far) == [(0, 2), (200, 200), (402, 0)]  # qz has too few documents for a list
+    assert rows[200, 200].rejected_by == ["common_distance"] and rows[400, 200].common_distance is None
+    con = duckdb.connect()
+    con.register("frame", table.toPandas())
+    con.sql("CREATE TABLE documents AS SELECT * FROM frame")
+    want = con.sql(f"SELECT doc_id, n_words, word_chars, n_symbols, base_failed, kept FROM ({quality_sql.SQL})").fetchall()
+    assert sorted(want) == sorted((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.base_failed, r.kept) for r in rows.values())
+
+
 # -- secrets -------------------------------------------------------------------------------
 
 
