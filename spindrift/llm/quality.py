@@ -25,7 +25,7 @@ MAX_LANGUAGES = 256
 #: That of all other languages, and of an empty or null one: character classes only.
 OTHER = ""
 #: Words that a task counts before it hands its counts on.
-COUNTED_WORDS = 200_000
+COUNTED_WORDS = 80_000
 #: Character classes in histogram order; the last takes every character beyond ASCII.
 CLASSES = ("lower", "upper", "digit", "space", "mark", "symbol", "beyond")
 MARKS = b".,;:!?'\"()-"
@@ -115,20 +115,20 @@ def language_counts(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
         wholes: dict[str, np.ndarray] = {}
 
         def rows() -> Iterator[pa.RecordBatch]:
-            for lang, whole in wholes.items():
-                words = [w for w in times[lang] if len(w) <= COMMON_LENGTH or len(w) <= 4 * COMMON_LENGTH and len(w.decode()) <= COMMON_LENGTH]
+            while wholes:  # a language's counts go when they are handed on
+                lang, whole = wholes.popitem()
+                n_times, n_with = times.pop(lang), spread.pop(lang)
+                words = [w for w in n_times if len(w) <= COMMON_LENGTH or len(w) <= 4 * COMMON_LENGTH and len(w.decode()) <= COMMON_LENGTH]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([lang] * (len(words) + 1), pa.string()),
                         pa.array([None, *words], pa.binary()).cast(pa.string()),
-                        pa.array([int(whole[0]), *map(spread[lang].__getitem__, words)], pa.int64()),
-                        pa.array([int(whole[1]), *map(times[lang].__getitem__, words)], pa.int64()),
+                        pa.array([int(whole[0]), *map(n_with.__getitem__, words)], pa.int64()),
+                        pa.array([int(whole[1]), *map(n_times.__getitem__, words)], pa.int64()),
                         pa.array([whole[2:], *repeat(None, len(words))], pa.list_(pa.int64())),
                     ],
                     names=["lang", "word", "n_docs", "n_times", "classes"],
                 )
-            for held in (times, spread, wholes):
-                held.clear()
 
         for batch in slices(batches):
             for text, lang in zip(_texts(batch), batch.column(2).to_pylist()):
