@@ -848,8 +848,13 @@ def q_link_rows(spark, d):
     return views.link_rows(links, items).select("link_id", "title", "artist", "status")
 
 
-@query("SELECT p_partkey, p_size < 25 OR p_type = 'PROMO' AS selected FROM part UNION ALL SELECT s_suppkey + 1000000, true FROM supplier")
+@query("""
+SELECT p_partkey, p_size < 25 OR p_type = 'PROMO' AS selected FROM part
+UNION ALL SELECT s_suppkey + 1000000, true FROM supplier WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = s_suppkey + 1000000)
+""")
 def q_selection(spark, d):
+    """Parts with a selection, and suppliers under numbers from 1,000,001 on, of which those
+    that are a part's number already are not added again."""
     part = table(spark, d, "part").select("p_partkey", F.lit(True).alias("selected"))
     chosen = table(spark, d, "part").filter("p_size < 25 OR p_type = 'PROMO'").select("p_partkey", F.lit(True).alias("selected"))
     more = table(spark, d, "supplier").select((F.col("s_suppkey") + 1_000_000).alias("p_partkey"), F.lit(True).alias("selected"))

@@ -38,3 +38,15 @@ def test_query_equals_sql(spark, sf_dir, duck, name):
 def test_entry_contract(spark):
     assert entry.entry(spark).count() == 200
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_selection_where_keys_meet(spark, tmp_path):
+    """Suppliers whose number is a part's number are there already: the SQL says so as well."""
+    con = duckdb.connect()
+    con.sql("CREATE TABLE part AS SELECT * FROM (VALUES (7::BIGINT, 30, 'PROMO'), (8, 30, 'SMALL'), (1000002, 40, 'SMALL'), (1000003, 20, 'SMALL')) t(p_partkey, p_size, p_type)")
+    con.sql("CREATE TABLE supplier AS SELECT * FROM (VALUES (1::BIGINT), (2), (3)) t(s_suppkey)")
+    for name in ("part", "supplier"):
+        con.sql(f"COPY {name} TO '{tmp_path}/{name}.parquet'")
+    got = sorted(tuple(r) for r in Q.QUERIES["q_selection"](spark, str(tmp_path)).collect())
+    assert got == [(7, True), (8, False), (1000001, True), (1000002, False), (1000003, True)]
+    assert got == sorted(con.sql(Q.SQL["q_selection"]).fetchall())
