@@ -9,6 +9,8 @@ equality join with pre-aggregated keys decides everything.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -26,6 +28,19 @@ _WIDTH = 2 * TOLERANCE_MS + 1
 EXACT = ((-3, "exact_isrc", 100, ("k_isrc",)), (-2, "exact_barcode_position", 99, ("k_place",)), (-1, "exact_musicbrainz", 98, ("k_recording", "k_group")))
 
 KINDS = ("automatic", "review", "new")
+#: Rows that one task makes keys of.  A row has up to 15 keys of its own, which a task sorts.
+ROWS_A_TASK = 20_000
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df` dealt out by ordinal, so that no task makes keys of many more than ROWS_A_TASK rows.
+
+    Columns of a few values compress so well that one split of a file can hold millions of
+    rows, whose keys are many times its size.  Rows are counted for it, which reads `df`
+    once more, without the columns that decide nothing.
+    """
+    n = math.ceil(df.count() / ROWS_A_TASK)
+    return df.repartition(n, "ordinal") if n > 1 else df
 
 
 def with_match_keys(df: DataFrame, compose: bool = True) -> DataFrame:
@@ -121,7 +136,7 @@ def match(candidates: DataFrame, tracks: DataFrame, compose: bool = True, by_rel
     ordinals.  Rules in order: equal ISRC; equal barcode and position; equal recording or
     (unless switched off) release group; then the score of tracks with an equal title.
     """
-    c, t = with_match_keys(candidates, compose), with_match_keys(tracks, compose)
+    c, t = with_match_keys(spread(candidates), compose), with_match_keys(spread(tracks), compose)
     return match_keyed(c, asked_levels(c, by_release_group), level_rows(t), candidates.columns)
 
 

@@ -393,3 +393,20 @@ def test_a_single_stored_track_stands_before_the_next_batch(spark, tmp_path):
         store.transact(lambda tables: resolution.persist(batch, tables, f"run-{n}")[0])  # noqa: B023
     assert sorted((r.external_track_id, r.match_status) for r in store.table("release_candidates").collect()) == [("other", "matched"), ("track-0", "new")]
     assert [r.ordinal for r in store.table("tracks").collect()] == [0]
+
+
+@pytest.mark.parametrize("side", ["candidates", "tracks"])
+def test_a_task_makes_keys_of_few_rows(spark, monkeypatch, side):
+    """Rows in one split are dealt out before their keys are made and sorted."""
+    monkeypatch.setattr(matching, "ROWS_A_TASK", 100)
+    few = spark.createDataFrame([candidate(ordinal=n + 1, title=f"Title {n % 7}", external_track_id=f"e{n}") for n in range(2)], CANDIDATE)
+    many = spark.createDataFrame([candidate(ordinal=n + 1, title=f"Title {n % 7}", external_track_id=f"e{n}") for n in range(500)], CANDIDATE).coalesce(1)
+    tracks = (many if side == "tracks" else few).select((F.col("ordinal") - 1000).alias("ordinal"), F.concat(F.lit("T"), "ordinal").alias("track_id"), *[f.name for f in TRACK if f.name not in ("ordinal", "track_id")])
+    out = matching.match(many if side == "candidates" else few, tracks)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [ordinal" in plan
+    sizes = [r["count"] for r in matching.spread(many).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 500 and max(sizes) < 200
+    whole = {r.ordinal: r.kind for r in out.collect()}
+    monkeypatch.setattr(matching, "ROWS_A_TASK", 1000)
+    assert whole == {r.ordinal: r.kind for r in matching.match(many if side == "candidates" else few, tracks).collect()}
