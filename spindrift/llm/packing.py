@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import keyed_text, slices, texts_of
+from .common import kept_by_worker, keyed_text, slices, texts_of
 
 
 class CapacityTree:
@@ -79,7 +78,7 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-@lru_cache(maxsize=2)
+@kept_by_worker(2)
 def byte_pair_encoder(path: str, pattern: str):
     """The public tokenizer whose ranks the file at `path` lists."""
     import base64

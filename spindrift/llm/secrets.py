@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import keyed_text, slices
+from .common import kept_by_worker, keyed_text, slices
 from .trigram_query import trigram_query, trigrams
 
 
@@ -114,7 +113,7 @@ class Scanner:
         return [[(a, b, self.rules[k].kind) for a, k, b in sorted(f)] for f in found]
 
 
-@lru_cache(maxsize=2)
+@kept_by_worker(2)
 def scanner(rules: tuple[Rule, ...]) -> Scanner:
     return Scanner(rules)
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -11,10 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .bpe import BYTE, CONTROL, SPACE, PieceVocabulary
-from .common import keyed_text, slices, texts_of
+from .common import kept_by_worker, keyed_text, slices, texts_of
 from .normalizer import Normalizer
 from .piece_cache import ChunkCache
 
+#: Chunks in each of a codec's two generations, some 300 bytes each.
+CACHED_CHUNKS = 200_000
+
 
 class Codec:
     """Encoder and decoder of one model, kept by each Python worker."""
@@ -22,7 +24,7 @@ class Codec:
     def __init__(self, model_path: str):
         self.vocabulary = v = PieceVocabulary(model_path)
         self.normalizer = Normalizer(v)
-        self.cache = ChunkCache(self._encode_chunk)
+        self.cache = ChunkCache(self._encode_chunk, CACHED_CHUNKS)
         self.is_byte = np.array([k == BYTE for k in v.kinds])
         byte_of = {i: bytes([b]) for b, i in v.byte_ids.items()}
         self.surface = [byte_of[i] if k == BYTE else b"" if k == CONTROL else p.replace(SPACE, " ").encode() for i, (p, k) in enumerate(zip(v.pieces, v.kinds))]
@@ -103,7 +105,7 @@ class Codec:
         return "".join(out)
 
 
-@lru_cache(maxsize=2)
+@kept_by_worker(2)
 def codec(model_path: str) -> Codec:
     return Codec(model_path)
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import BYTE, SPACE, PieceVocabulary
-from .common import keyed_text, slices, stored, texts_of
+from .common import kept_by_worker, keyed_text, slices, stored, texts_of
 from .hot_join import join_by_weight
 from .normalizer import Normalizer
 from .packing import encode_text
@@ -124,7 +123,7 @@ class Aligner:
         }
 
 
-@lru_cache(maxsize=1)
+@kept_by_worker(1)
 def aligner(byte_path: str, piece_path: str) -> Aligner:
     return Aligner(byte_path, piece_path)
 

@@ -3,19 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .bpe import PieceVocabulary
-from .common import keyed_text, slices, texts_of
+from .common import kept_by_worker, keyed_text, slices, texts_of
 from .normalizer import Normalizer
 from .piece_cache import ChunkCache
 
 
-@lru_cache(maxsize=2)
+@kept_by_worker(2)
 def _counter(model_path: str) -> tuple[PieceVocabulary, Normalizer, ChunkCache]:
     vocabulary = PieceVocabulary(model_path)
     return vocabulary, Normalizer(vocabulary), ChunkCache(vocabulary.count)

@@ -53,3 +53,32 @@ def test_stages_bear_edges(spark, sf_dir, edges, no_rows):
             assert out.columns == docs.columns, name
             out.collect()
         assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).count() == docs.count()
+
+
+def test_a_worker_keeps_one_operators_caches(spark, monkeypatch):
+    """Workers outlive a stage: what the last stage kept does not stay beside the next one's,
+    and the quality rules start with nothing kept."""
+    import public_tokenizers
+    import pyarrow as pa
+
+    from spindrift.llm.quality import document_features, language_counts
+    from spindrift.llm.secrets import RULES, scanner
+    from spindrift.llm.sentencepiece_codec import codec
+
+    def keep():
+        own = codec(public_tokenizers.path("piece_bpe_32k.model"))
+        own.encode("some words")
+        assert codec(public_tokenizers.path("piece_bpe_32k.model")) is own
+
+    keep()
+    assert codec.cache_info().currsize == 1
+    scanner(RULES)
+    assert (codec.cache_info().currsize, scanner.cache_info().currsize) == (0, 1)
+    docs = spark.createDataFrame([(1, "a b c", "en")], "doc_id long, text string, lang string")
+    # What tasks run over Arrow batches is called in this process.
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: f)
+    for task in (language_counts(docs, "doc_id", "text", "lang", 1, 20), document_features(docs, [])):
+        keep()
+        batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["a b c"]), pa.array(["en"])], names=["doc_id", "text", "lang"])
+        assert sum(b.num_rows for b in task(iter([batch]))) > 0
+        assert codec.cache_info().currsize == 0
