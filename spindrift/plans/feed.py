@@ -24,28 +24,34 @@ def feed_rows(
     """One wide row for each feed item that has its candidate.
 
     Children are aggregated before they are joined, so that no join multiplies rows; every
-    join is on a key.  `position`, from 0, is counted before items without a candidate go.
+    join is on a key.  All that a candidate has is joined first, then all that a track has,
+    then the release, so the wide rows are dealt out anew twice, and what the joined columns
+    are only read for goes before that.  `position`, from 0, is counted before items without a candidate go.
     Nothing is collected and no filter is applied: a filter on the result is pushed below
     the joins where it can be.
     """
     f = feed.select("feed_id", "candidate_id", "track_id", "release_id", "state", "first_seen_at", "position")
-    c = candidates.select("candidate_id", F.col("title").alias("c_title"), "artist_external_id", "release_date", "match_rule", "match_confidence", "match_reasons")
+    c = candidates.select("candidate_id", F.col("title").alias("c_title"), "artist_external_id", "release_date", "match_rule", "match_confidence", F.array_join("match_reasons", "; ").alias("match_reason"))
     t = tracks.select("track_id", F.col("title").alias("t_title"), F.col("release_id").alias("t_release_id"))
     r = releases.select(F.col("release_id").alias("r_id"), F.col("title").alias("r_title"), F.col("release_type").alias("r_type"), F.col("release_date_precision").alias("r_precision"))
     names = ordered_children(credits, ["track_id"], ["credit_order"], [F.col("credited_name").alias("name"), "role"], "credits")
     sources = ordered_children(evidence, ["candidate_id"], ["source_url", "provider"], [label(F.col("provider"), PROVIDER_LABELS, "Mock provider").alias("provider"), F.col("source_url").alias("href")], "sources")
     first = F.struct("provider_track_id", "region", "state")
+    names = names.filter(F.size("credits") > 0).select("track_id", credit_line(F.col("credits")).alias("credited"))
     places = availabilities.groupBy("track_id").agg(F.min(F.when(F.col("provider") == "spotify", first)).alias("playing"), F.min(F.struct("provider", "provider_track_id", "region")).alias("anywhere"))
-    wide = f.join(c, "candidate_id").join(t, "track_id", "left").withColumn("r_id", F.coalesce("release_id", "t_release_id")).join(r, "r_id", "left")
-    wide = wide.join(names, "track_id", "left").join(sources, "candidate_id", "left").join(places, "track_id", "left")
+    places = places.select("track_id", F.col("playing.state").alias("playing_state"), F.coalesce("playing.region", "anywhere.region").alias("place_region"))
+    wide = f.join(c, "candidate_id").join(sources, "candidate_id", "left").drop("candidate_id")
+    wide = wide.join(t, "track_id", "left").join(names, "track_id", "left").join(places, "track_id", "left")
     wide = mark_exists(wide, exports.filter("status = 'exported'").dropna(subset=["track_id"]), ["track_id"], "exported")
-    state = F.coalesce(F.col("playing.state"), F.lit("unavailable"))
+    wide = wide.withColumns({"r_id": F.coalesce("release_id", "t_release_id"), "shown_artist": F.coalesce("credited", "artist_external_id"), "shown_title": F.coalesce("t_title", "c_title")})
+    wide = wide.drop("track_id", "release_id", "t_release_id", "credited", "artist_external_id", "t_title").join(r, "r_id", "left")
+    state = F.coalesce("playing_state", F.lit("unavailable"))
     sources_shown = F.coalesce("sources", F.array().cast("array<struct<provider:string,href:string>>"))
     return wide.select(
         F.col("feed_id").alias("id"),
         "state",
-        F.when(F.size("credits") > 0, credit_line(F.col("credits"))).otherwise(F.col("artist_external_id")).alias("artist"),
-        F.coalesce("t_title", "c_title").alias("title"),
+        F.col("shown_artist").alias("artist"),
+        F.col("shown_title").alias("title"),
         F.coalesce("r_title", "c_title").alias("release_title"),
         F.coalesce("r_type", F.lit("other")).alias("release_type"),
         "release_date",
@@ -56,8 +62,8 @@ def feed_rows(
         state.alias("availability"),
         F.lit("NOT_CHECKED").alias("link_state"),
         F.col("match_confidence").cast("double").alias("confidence"),
-        F.array_join("match_reasons", "; ").alias("match_reason"),
-        F.coalesce("playing.region", "anywhere.region", F.lit("ZZ")).alias("region"),
+        "match_reason",
+        F.coalesce("place_region", F.lit("ZZ")).alias("region"),
         export_status(F.col("exported"), F.col("state"), state, F.col("match_rule")).alias("export_status"),
         cyclic_accent(F.col("position")).alias("accent"),
         "position",

@@ -50,3 +50,15 @@ def test_selection_where_keys_meet(spark, tmp_path):
     got = sorted(tuple(r) for r in Q.QUERIES["q_selection"](spark, str(tmp_path)).collect())
     assert got == [(7, True), (8, False), (1000001, True), (1000002, False), (1000003, True)]
     assert got == sorted(con.sql(Q.SQL["q_selection"]).fetchall())
+
+
+def test_feed_deals_wide_rows_out_twice(spark, sf_dir):
+    """Each of eight inputs is shuffled once by its key, and the joined rows twice more."""
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")
+    try:
+        plan = Q.QUERIES["q_feed"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(threshold, before)
+    assert plan.count("Exchange hashpartitioning") <= 10
