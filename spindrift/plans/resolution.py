@@ -24,7 +24,7 @@ from ..operators.keyed import first_by, insert_or_ignore, numbered, upsert
 from ..operators.nested import child_rows, ordered_children, with_children
 from ..schemas import TRACK
 from ..storage import Added, discard, settled
-from .matching import asked_levels, confidence, level_rows, match_keyed, with_match_keys
+from .matching import asked_levels, confidence, level_rows, match_keyed, spread, with_match_keys
 
 KEY = ["provider", "external_release_id", "external_track_id"]
 ALGORITHM = "v2-real-providers"
@@ -60,9 +60,13 @@ def decide(candidates: DataFrame, tracks: DataFrame, links: DataFrame, compose:
     The rounds start from the state in which every row is a track of its own, and a round
     decides again only rows that ask for a key, or have an identifier, of an earlier row
     that is a track by now and was none before, is none any more, or links another track.
+
+    Candidates are dealt out before their keys are made, and what is written of them stays so
+    from file to file.  Else one or two files held all asked keys; where the adaptive plan joins
+    by broadcast after their shuffle, it reads by map task, and one task read a whole file's.
     """
     own_id = derived_id("track", *KEY)
-    keyed = settled(with_match_keys(candidates, compose), "keyed")
+    keyed = settled(with_match_keys(spread(candidates), compose), "keyed")
     asked = settled(asked_levels(keyed), "asked")
     wanted = asked.select("_key").distinct()
     if index is None:

@@ -410,3 +410,22 @@ def test_a_task_makes_keys_of_few_rows(spark, monkeypatch, side):
     whole = {r.ordinal: r.kind for r in out.collect()}
     monkeypatch.setattr(matching, "ROWS_A_TASK", 1000)
     assert whole == {r.ordinal: r.kind for r in matching.match(many if side == "candidates" else few, tracks).collect()}
+
+
+def test_a_batch_in_one_split_is_written_in_even_files(spark, monkeypatch):
+    """Joins of the rounds read by file at times, so no file may hold most of a batch's keys."""
+    monkeypatch.setattr(matching, "ROWS_A_TASK", 50)
+    shares, write = {}, resolution.settled
+
+    def settled(df, name="table"):
+        done = write(df, name)
+        sizes = [r["count"] for r in done.groupBy(F.input_file_name()).count().collect()]
+        shares.setdefault(name, max(sizes, default=0) / max(1, sum(sizes)))
+        return done
+
+    monkeypatch.setattr(resolution, "settled", settled)
+    rows = [candidate(n, title=f"Title {n}", external_release_id=f"r{n}", external_track_id=f"t{n}") for n in range(400)]
+    no_links = spark.createDataFrame([], "provider string, external_track_id string, track_id string")
+    got = resolution.decide(spark.createDataFrame(rows, CANDIDATE).coalesce(1), spark.createDataFrame([], TRACK), no_links).collect()
+    assert sorted(r.ordinal for r in got) == list(range(400)) and {r.kind for r in got} == {"new"}
+    assert shares["keyed"] < 0.5 and shares["asked"] < 0.5
